@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.jaccard_join import jaccard_components
+from millrace.llm.token_output import token_output
+
+WORD_BPE = {"file": "word_bpe_49k.json", "vocabulary": 49_408}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, width=3, num=90, den=100)
 
 
+def word_tokens(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(docs, public_tokenizers.path(WORD_BPE["file"]), WORD_BPE["vocabulary"], order)
+
+
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op5_token_id_output, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -77,3 +80,21 @@ def shingles(h: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
         whole = (part * factors[: len(part)]).sum(dtype=np.uint64, keepdims=True)
         out[out_offsets[d]] = mix(whole + salt(len(part)))[0]
     return out, out_offsets
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+    """The batch in runs of rows of about `most` bytes of the column (a longer row is a run of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def held(key: tuple, make):
+    """A value kept for the life of the Python worker, which runs many tasks."""
+    kept = sys.modules.setdefault("_millrace_held", types.ModuleType("_millrace_held")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
