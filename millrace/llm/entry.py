@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.token_output import token_output
+from millrace.llm.url_filter import judge_urls
+from millrace.llm.warc import archive
 
 WORD_BPE = {"file": "word_bpe_49k.json", "vocabulary": 49_408}
 
@@ -31,9 +33,37 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
+rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+tags AS (SELECT host || tail AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE host <> ''),
+links AS (SELECT a, regexp_extract(tag, '(?is)(?:href\s*=\s*["'']?|url\s*=\s*["'']?)[a-z]+://([^"''\s>]+)', 1) AS t FROM tags
+  WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b|\bhttp-equiv\s*=\s*["'']?refresh\b')),
+e AS (SELECT a, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '^[^/?#]*([^#]*)', 1) AS b FROM links WHERE t <> ''),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS n, a AS m FROM both_ways UNION SELECT reach.n, b.b FROM reach JOIN both_ways b ON b.a = reach.m),
+passed AS (SELECT n, min(rv) AS v FROM (SELECT n, (SELECT arg_max(rv, length(rh || rp)) FROM rules WHERE (regexp_extract(m, '^[^/?#]*') = rh OR ends_with(regexp_extract(m, '^[^/?#]*'), '.' || rh)) AND starts_with(regexp_extract(m, '^[^/?#]*([^?#]*)', 1), rp)) AS rv FROM reach) GROUP BY n),
+own AS (SELECT page_id, host, path, host || tail AS k, (SELECT arg_max(rh || rp, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+  (SELECT arg_max(rv, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS v FROM q)
+SELECT page_id, host, path, rule, coalesce(own.v, passed.v, 'allow') AS verdict FROM own LEFT JOIN passed ON passed.n = own.k"""
+
+
+def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_id_output, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op5_token_id_output, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
