@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.jaccard_join import jaccard_components
+from millrace.llm.quality import classify
 from millrace.llm.token_output import token_output
 from millrace.llm.url_filter import judge_urls
 from millrace.llm.warc import archive
@@ -33,6 +34,10 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -62,7 +67,7 @@ def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_id_output, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op5_token_id_output, op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
