@@ -10,6 +10,7 @@ from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.quality import classify
 from millrace.llm.token_output import token_output
 from millrace.llm.url_filter import judge_urls
+from millrace.llm.vector_topk import top_k
 from millrace.llm.warc import archive
 
 WORD_BPE = {"file": "word_bpe_49k.json", "vocabulary": 49_408}
@@ -19,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10, scale=1024)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, width=3, num=90, den=100)
@@ -67,8 +82,8 @@ def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_id_output, op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_exact_topk, op5_token_id_output, op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op7_url_filter": OP7_SQL}
