@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm import decontaminate, licenses, mixing
 from millrace.llm.jaccard_join import jaccard_components
+from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.quality import classify
 from millrace.llm.token_output import token_output
 from millrace.llm.url_filter import judge_urls
@@ -34,6 +37,43 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+#: Target weights of the production mix; all other sources share REST.
+MIX, REST = {"src0": 0.20, "src1": 0.15, "src2": 0.10, "src3": 0.10, "src4": 0.05, "src5": 0.05}, 0.35
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX, REST, block=32, period=100)
+    return placed.select("row.doc_id", "row.source", "block", "slot", "place")
+
+
+OP2_SQL = """
+WITH RECURSIVE names AS (SELECT ['src0', 'src1', 'src2', 'src3', 'src4', 'src5'] AS n, [20, 15, 10, 10, 5, 5, 35] AS a),
+sched(t, done, pick) AS (
+  SELECT -1, [0, 0, 0, 0, 0, 0, 0], -1
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t, done, list_min(list_transform(list_filter(range(1, 8), lambda i: done[i] < a[i] AND (done[i] * 100) // a[i] <= t + 1),
+      lambda i: CAST(ceil((done[i] + 1) * 100 / a[i]) AS BIGINT) * 100 + i)) % 100 AS p FROM sched, names WHERE t < 99)),
+slots AS (SELECT pick AS g, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn, t AS slot FROM sched WHERE pick > 0),
+d AS (SELECT doc_id, source, coalesce(list_position(n, source), 7) AS g, a FROM documents, names),
+r AS (SELECT doc_id, source, g, a[coalesce(g, 7)] AS q, row_number() OVER (PARTITION BY g ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM (SELECT * REPLACE (CASE WHEN g = 0 THEN 7 ELSE g END AS g) FROM d))
+SELECT doc_id, source, k // 32 AS block, ((k // 32) // q) * 100 + s.slot AS slot, CAST(k % 32 AS INTEGER) AS place
+FROM r JOIN slots s ON s.g = r.g AND s.turn = (k // 32) % q"""
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lean.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, width=3, num=90, den=100)
@@ -81,9 +121,15 @@ def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
 
 
+OPERATORS = (
+    op1_exact_topk, op2_source_mixing, op3_benchmark_decontamination, op4_license_scan, op5_token_id_output,
+    op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op9_line_dedup, op10_ngram_jaccard_join,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op5_token_id_output, op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL}

@@ -28,11 +28,21 @@ def odd_factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * STEP) | np.uint64(1)
 
 
-def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """Words between the ASCII white space of every text, A-Z lower-cased; word array and the offsets of each text."""
+def whole(texts: pa.Array) -> pa.Array:
+    """The texts as large strings in buffers of their own, nulls as empty. Kernels that map bytes, such as
+    ascii_lower, misread arrays whose first offset is not 0, as slices are after a cast."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = data.slice(int(at[0]), int(at[-1] - at[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), data)
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Words between the ASCII white space of every text, A-Z lower-cased; word array and the offsets of each text."""
+    texts = whole(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
     words, offsets = words.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
