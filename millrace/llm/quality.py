@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.textops import hash_strings, slices, split_words
+from millrace.llm.textops import hash_strings, slices, split_words, whole
 
 SAMPLE = 6_000
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
@@ -30,7 +30,7 @@ OWN = 20  # features of a line, besides those of its neighbours
 
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines x OWN features, bytes of each line, line offsets of each text)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = whole(texts)
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 scores = pa.array(score_texts(piece.column("text"), model), pa.float64())
                 yield pa.RecordBatch.from_arrays([*piece.columns, scores], names=[*piece.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
