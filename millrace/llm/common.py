@@ -74,66 +74,70 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str, max_rou
     return labels
 
 
-def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    ends = [components.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
-    out = reduce(lambda df, e: df.join(e, e.columns[0], "left"), ends, pairs)
-    return out.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
 def _shared_keys(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, node, component) with the rarest elements of each set as groups: sets of n elements that link share
+    """(sig, node, n, component) with the rarest elements of each set as groups: sets of n elements that link share
     one of their n - ceil(n * num / den) + 1 first elements in any one order, here that of rising frequency."""
     nodes = live.select("node", "component").distinct()
     each = sets.join(nodes, "node").select("node", "component", "n", F.explode("elements").alias("e"))
     often = each.groupBy("e").agg(F.count("*").alias("often"))
     first = F.row_number().over(Window.partitionBy("node").orderBy("often", "e"))
     keys = each.join(often, "e").withColumn("first", first)
-    return keys.where(f"first <= n - ceil(n * {num}D / {den} - 1e-9) + 1 AND often > 1").select(F.col("e").alias("sig"), "node", "component")
+    return keys.where(f"first <= n - ceil(n * {num}D / {den} - 1e-9) + 1 AND often > 1").select(F.col("e").alias("sig"), "node", "n", "component")
 
 
-def link_groups(live: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, rounds: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
+def link_groups(live: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between members of the same groups, and the components (node, component) they make.
 
-    live: (sig, node) of groups; sets: (node, n, elements) of their members; verify keeps the pairs (a, b) that
-    link. A group is not expanded into pairs: in rounds, one leader of each group, the member of the most groups,
-    is compared with the members that are not yet in its component, and then leaves the group. A group whose
-    members share one component is settled. Large groups of copies settle in the first rounds; members of the
-    groups that don't are grouped anew by the rarest elements of their sets, which parts those that only have a
-    frequent passage in common. What is left then is compared in full across components, so no link is lost.
+    live: (sig, node) of groups; sets: (node, n, elements) of their members; verify keeps the rows (a, b, ...)
+    whose sets link. A group is not expanded into pairs: in rounds, one leader of each group, the member of the
+    most groups, is compared with the members that are not yet in its component, and then leaves the group. A
+    group whose members share one component is settled. Large groups of copies settle in the first rounds;
+    members of the groups that don't are grouped anew by the rarest elements of their sets, which parts those
+    that only have a frequent passage in common. What is left then is compared in full across components, so no
+    link is lost.
     """
-    live = scratch.save(live.withColumn("component", F.col("node")), "groups-0")
-    sizes = sets.select("node", "n")
-    links = components = None
+    weight = live.groupBy("node").agg(F.count("*").alias("weight"))
+    info = sets.select("node", "n").join(weight, "node")
+    live = scratch.save(live.join(info, "node").withColumn("component", F.col("node")), "groups-0")
+    links, merges = [], []
     for i in range(2 * rounds + 1):
         if live.isEmpty():
             break
-        weight = live.groupBy("node").agg(F.count("*").alias("weight"))
-        marked = live.join(weight, "node")
-        lead = marked.groupBy("sig").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("m")).select("sig", (-F.col("m.least")).alias("leader"))
         if i < 2 * rounds:
+            lead = live.groupBy("sig").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"), "n", "component")).alias("m"))
+            lead = lead.select("sig", (-F.col("m.least")).alias("other"), F.col("m.n").alias("n_other"), F.col("m.component").alias("c_other"))
             marked = live.join(lead, "sig")
-            pairs = marked.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            met = marked.where("node <> other AND component <> c_other")
         else:  # what is left, in full across components
-            other = live.select("sig", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = live.join(other, "sig").where("node < b AND component <> other").select(F.col("node").alias("a"), "b")
-        near = pairs.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        near = near.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b")
-        if i:
-            near = _across(near, components)
-        new = scratch.save(verify(near).distinct(), f"links-{i}")
-        links = new if links is None else links.unionByName(new)
-        components = scratch.save(connected_components(links, scratch, f"cc-{i}"), f"components-{i}")
+            other = live.select("sig", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"))
+            met = live.join(other, "sig").where("node < other AND component <> c_other")
+        met = met.where(f"{den} * least(n, n_other) >= {num} * greatest(n, n_other)")
+        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.least("component", "c_other").alias("ca"), F.greatest("component", "c_other").alias("cb"))
+        new = scratch.save(verify(pairs.distinct()), f"links-{i}")
+        found = not new.isEmpty()
+        if found:
+            links.append(new.select("a", "b"))
+            merges.append(connected_components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"cc-{i}"))
         if i == 2 * rounds:
             break
-        rest = marked.where("node <> leader").select("sig", "node").join(components, "node", "left")
-        rest = rest.withColumn("component", F.coalesce("component", "node"))
-        rest = scratch.save(_unsettled(rest), f"groups-{i + 1}")
+        rest = marked.where("node <> other").drop("other", "n_other", "c_other")
+        rest = scratch.save(_unsettled(_renamed(rest, merges[-1]) if found else rest), f"groups-{i + 1}")
         if i == rounds - 1 and not rest.isEmpty():
-            rest = scratch.save(_unsettled(_shared_keys(rest, sets, num, den)), f"groups-{i + 1}-anew")
+            keys = _shared_keys(rest, sets, num, den).withColumn("weight", F.lit(1).cast("long"))
+            rest = scratch.save(_unsettled(keys), f"groups-{i + 1}-anew")
         live = rest
         scratch.drop(f"groups-{i}")
-    return links, components
+    if not links:
+        return None, None
+    links = reduce(DataFrame.unionByName, links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    return links, scratch.save(reduce(_renamed, merges, ends), "components")
+
+
+def _renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """df with components replaced by those that they have merged into."""
+    names = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+    return df.join(names, "component", "left").withColumn("component", F.coalesce("_into", "component")).select(*df.columns)
 
 
 def _unsettled(live: DataFrame) -> DataFrame:

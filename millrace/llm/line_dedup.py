@@ -59,7 +59,7 @@ def shingle_set(line: str, width: int) -> F.Column:
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
 
 def duplicate_lines(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
