@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
-from millrace.llm.textops import held, slices, split_words
+from millrace.llm.textops import held, slices, split_words, whole
 
 MAGIC, HEAD, BLOCK, SHARD_TOKENS = b"MRTOK1", "<6sBxIQ", 4096, 1 << 20
 SHARDS = "part long, seq long, part_start long, n_docs long, n_tokens long, shard binary"
@@ -102,23 +102,61 @@ def _tokenizer(path: str):
     return held(("tokenizer", path), make)
 
 
+class WordIds:
+    """Ids of words, kept by the Python worker over its tasks; begun anew beyond `most` words, so memory is bounded."""
+
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.lens, self.flat, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """Code of each word; words are distinct."""
+        if len(self.codes) + len(words) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self.codes]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(lens.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + total))
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+        self.used += total
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.lens = np.concatenate([self.lens, lens])
+        return np.fromiter((self.codes[w] for w in words), np.int64, len(words))
+
+
 def encode(texts: pa.Array, path: str, end_id: int, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, the end id after each, and the count of each text.
 
-    by_word: for vocabularies whose pre-tokenizer drops white space, so that a text's ids are those of its words;
-    each distinct word of the batch is then encoded once.
+    by_word: for vocabularies that fold case and whose pre-tokenizer drops white space and parts letters from
+    punctuation, so that a text's ids are those of its words; each distinct word is then encoded once.
     """
     tokenizer = _tokenizer(path)
-    if by_word:
+    texts = whole(texts)
+    if by_word and len(texts):
+        marks = [pc.match_substring(texts, t.content).to_numpy(zero_copy_only=False) for t in tokenizer.get_added_tokens_decoder().values()]
+        marked = np.any(marks, axis=0) if marks else np.zeros(len(texts), bool)
+        if marked.any():  # texts that spell a special token are encoded whole
+            cuts = np.flatnonzero(np.diff(marked)) + 1
+            runs = [encode(texts.slice(a, b - a), path, end_id, not marked[a]) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+            return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        # punctuation after an ASCII letter is a word of its own (but for apostrophes, which contractions hold)
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
         words, offsets = split_words(texts, lower=False)
         coded = words.dictionary_encode()
-        codes, own = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        known = held(("words", path), lambda: WordIds(tokenizer))
+        codes = known.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        lens, flat = known.lens, known.flat
     else:
-        own = pc.fill_null(texts, "").to_pylist()
-        codes, offsets = np.arange(len(own)), np.arange(len(own) + 1)
-    lists = [e.ids for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)] if own else []
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(lens.sum()))
+        lists = [e.ids for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        codes, offsets = np.arange(len(lists)), np.arange(len(lists) + 1)
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(lens.sum()))
     begins = np.cumsum(lens) - lens
     each = lens[codes] if len(lens) else np.zeros(0, np.int64)
     before = np.concatenate([[0], np.cumsum(each)])
@@ -147,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list[str], v
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, most=2 << 20):
+            for piece in slices(batch, most=4 << 20):
                 ids, counts = encode(piece.column("text"), tokenizer, end_id, by_word)
                 kept.append((piece.column("doc_id").to_pylist(), counts, ids))
                 size += len(ids)
