@@ -464,8 +464,8 @@ def fragment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fragment_search(table(spark, sf_dir, "pages"), [F.col("url"), F.col("html")], "Track(", ["page_id"]).select("page_id")
 
 
-@query(r"""SELECT s_suppkey, regexp_replace(regexp_replace(lower(trim(v)), '["'']', '', 'g'), '[.,;:()\[\]{}-]', ' ', 'g') AS loose_raw,
-trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) AS strict, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM (SELECT s_suppkey, '  "' || s_name || '" Ltd.' AS v FROM supplier)""".replace("AS loose_raw", "AS loose").replace("regexp_replace(regexp_replace(lower(trim(v))", "regexp_replace(regexp_replace(regexp_replace(lower(trim(v))").replace("' ', 'g') AS loose", "' ', 'g'), ' +', ' ', 'g') AS loose"))
+@query(r"""SELECT s_suppkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(v)), '["'']', '', 'g'), '[.,;:()\[\]{}-]', ' ', 'g'), ' +', ' ', 'g') AS loose,
+trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) AS strict, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM (SELECT s_suppkey, '  "' || s_name || '" Ltd.' AS v FROM supplier)""")
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit('  "'), "s_name", F.lit('" Ltd.'))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.company_name(name).alias("loose"), text.company_name_strict(name).alias("strict"), text.digits(name).alias("digits"))
