@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most: documents are long, and Spark's 10,000 would hold tens of MB at
+    once in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so a lost executor costs a re-read, not a re-run.
 

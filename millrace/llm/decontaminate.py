@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, small_batches
 from millrace.llm.textops import hash_strings, shingles, slices, split_words
 
 WIDTH, DRIFT, HASHES = 5, 4, 4_000_000
@@ -123,7 +123,7 @@ def _hits(docs: DataFrame, known: np.ndarray, width: int) -> DataFrame:
     def run(batches):
         hashes = known.value
         for batch in batches:
-            for piece in slices(batch, most=4 << 20):
+            for piece in slices(batch):
                 for w in windows(piece.column("text"), width):
                     near = np.minimum(np.searchsorted(hashes, w[2]), len(hashes) - 1)
                     keep = np.flatnonzero(hashes[near] == w[2])
@@ -138,6 +138,7 @@ def _hits(docs: DataFrame, known: np.ndarray, width: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, width: int = WIDTH, scratch: Scratch | None = None) -> DataFrame:
     """(doc, text_hash, item, covered) of the texts that hold an item; docs has (doc_id, text), benchmark (item_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession, "leaks")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
     items = scratch.save(benchmark_windows(items, width), "windows").dropDuplicates(["item", "at", "hash"])

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import small_batches
 from millrace.llm.textops import hash_strings, mix, odd_factors, slices, split_words, whole
 
 SAMPLE, FEATURES, UNKNOWN = 4_000, 1 << 16, "unknown"
@@ -217,6 +218,7 @@ def corpus_paragraphs(docs: DataFrame, sample: int) -> list[str]:
 
 def scan(docs: DataFrame, similar: float = 0.8, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, license, probability, confirmed, n_paragraphs, n_licenses) of every row of docs."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(corpus_paragraphs(docs, sample)))
     schema = "doc_id long, license string, probability double, confirmed boolean, n_paragraphs int, n_licenses int"
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import small_batches
 from millrace.llm.textops import hash_strings, slices, split_words, whole
 
 SAMPLE = 6_000
@@ -170,6 +171,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Trains on labels (doc_id, quality) outside the held-out fold, on at most about `sample` documents."""
+    small_batches(docs.sparkSession)
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).groupBy("doc_id")
     usable = usable.agg(F.min("quality").alias("y"), F.max("quality").alias("hi")).where("y = hi").select("doc_id", "y")
     share = min(1.0, sample / max(usable.count(), 1))

@@ -92,7 +92,7 @@ def shingles(h: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     return out, out_offsets
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """The batch in runs of rows of about `most` bytes of the column (a longer row is a run of its own)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(sizes), 0
@@ -100,6 +100,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # what long texts took would stay with the worker
 
 
 def held(key: tuple, make):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, small_batches
 from millrace.llm.textops import held, slices, split_words, whole
 
 MAGIC, HEAD, BLOCK, SHARD_TOKENS = b"MRTOK1", "<6sBxIQ", 4096, 1 << 20
@@ -105,7 +105,7 @@ def _tokenizer(path: str):
 class WordIds:
     """Ids of words, kept by the Python worker over its tasks; begun anew beyond `most` words, so memory is bounded."""
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 300_000):
         self.tokenizer, self.most = tokenizer, most
         self.clear()
 
@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list[str], v
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, most=4 << 20):
+            for piece in slices(batch):
                 ids, counts = encode(piece.column("text"), tokenizer, end_id, by_word)
                 kept.append((piece.column("doc_id").to_pylist(), counts, ids))
                 size += len(ids)
@@ -226,6 +226,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer: str, vocabulary: int, order: list[str] | None = None, end_id: int = 1, by_word: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Encodes docs, writes them as shards to the shared folder and reads them back."""
     scratch = scratch or Scratch(docs.sparkSession, "tokens")
+    small_batches(docs.sparkSession)
     path = f"{scratch.path}/shards"
     write_tokens(docs, path, tokenizer, order or ["doc_id"], vocabulary, end_id, by_word)
     return read_tokens(docs.sparkSession, path)

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -15,10 +16,15 @@ ODD = [
 ]
 
 
-def plain(text):
+@functools.cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH)
+
+
+def plain(text):
+    return whole_tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_encode_equals_whole_text_encoding():
