@@ -48,13 +48,11 @@ def pieces(line: str, width: int) -> F.Column:
 def bands(lines: DataFrame, width: int) -> DataFrame:
     """(node, sig) of every band of the lines (h, line), which should be dealt by h."""
     n_bins = GROUPS * ROWS
-    n = F.greatest(F.length("line") - (width - 1), F.lit(1))
-    # of long lines only hashes that are likely to be the least of their bin are looked at: 4 to 8 a bin
-    part = F.least(F.lit(1.0), 4.0 * n_bins / F.pow(F.lit(2.0), F.floor(F.log2(n)))) * float(1 << 56)
-    cut = lines.select("h", part.cast("long").alias("limit"), F.explode(pieces("line", width)).alias("piece"))
-    at = cut.select("h", "limit", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (width - 1), F.lit(1)))).alias("i"))
-    x = at.select("h", "limit", F.xxhash64(F.substring("piece", F.col("i"), F.lit(width))).alias("x"))
-    x = x.select("h", "limit", F.shiftrightunsigned("x", 8).alias("u"), F.pmod("x", F.lit(n_bins)).alias("bin")).where("u < limit")
+    cut = lines.select("h", F.explode(pieces("line", width)).alias("piece"))
+    at = cut.select("h", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (width - 1), F.lit(1)))).alias("i"))
+    # every shingle counts: a long line may have few distinct ones, so no hash can be passed over by the line's length
+    x = at.select("h", F.xxhash64(F.substring("piece", F.col("i"), F.lit(width))).alias("x"))
+    x = x.select("h", F.shiftrightunsigned("x", 8).alias("u"), F.pmod("x", F.lit(n_bins)).alias("bin"))
     least = x.groupBy("h").agg(*[F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"m{k}") for k in range(n_bins)])
     layouts = [[ROWS * g + r for r in range(ROWS)] for g in range(GROUPS)] + [[g + GROUPS * r for r in range(ROWS)] for g in range(GROUPS)]
     sigs = [F.when(F.coalesce(*[F.col(f"m{k}") for k in own]).isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"m{k}") for k in own])) for i, own in enumerate(layouts)]

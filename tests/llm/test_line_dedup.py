@@ -82,5 +82,19 @@ def test_very_long_line(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_long_lines_of_few_shingles(spark):
+    """Rulers and repeated phrases: however long, near copies have the same few shingles."""
+    units = ["-", "*", ".", "-=", "la ", "| --- ", "buy now! "]
+    rows, d = [], 0
+    for n in (260, 300, 5_000, 100_000):
+        for u in units:
+            line = u * (n // len(u))
+            rows += [(d, line), (d + 1, line + u[0])]
+            d += 2
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert sum(n for *_, n in got) == len(rows) - len(units)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
