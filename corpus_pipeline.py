@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five words, similarity 0.8."""
-    groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100)
+    groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100, counted=False)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
 

@@ -1,4 +1,5 @@
-"""N-gram Jaccard join by PartEnum signatures: every link at or above a similarity, and the components they make.
+"""N-gram Jaccard join by PartEnum signatures: the components of all links at or above a similarity, and each
+document's number of links.
 
 A document's set holds the hashes of its distinct word shingles. Sets fall into size bands; two sets whose
 Jaccard similarity is at least num/den lie in the same or in neighbouring bands and differ in at most k
@@ -7,7 +8,9 @@ part of two similar sets is the same, and signs parts; the smallest bands sign s
 signatures propose candidates, exact set arithmetic decides.
 
 Copies (equal sets) collapse before anything is compared. A signature's group is not expanded into pairs, but
-settled by leaders in rounds (link_groups).
+settled by leaders in rounds (link_groups); that finds the components, but not each of their links. As no link
+leaves its component, all links are then counted there: a component is cut into tiles of bounded size, and each
+pair of tiles is compared in full, as a product of incidence matrices.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its own
 component. Rows with a null id take no part and give no row. Repeated rows of one id count as one document
@@ -26,6 +29,8 @@ from millrace.llm.textops import hash_strings, mix, salt, shingles, slices, spli
 
 #: Slack of parts over the k + 1 that the pigeonhole principle needs; lets a set sign only its fuller parts.
 SLACK = 1.3
+#: Sets and elements that a tile of a component should hold, and columns of an incidence matrix.
+TILE, TILE_ELEMENTS, COLUMNS = 128, 1_000_000, 8_192
 
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
@@ -191,9 +196,71 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, pairs.schema)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id reachable by links, itself included) and
-    n_links, the verified links that joined it to others (0 for copies and singles)."""
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of x with each of y."""
+    every, code = np.unique(np.concatenate(x + y), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for low in range(0, len(every), COLUMNS):
+        a, b = np.searchsorted(code, [low, low + COLUMNS])
+        held = np.zeros((len(x) + len(y), min(COLUMNS, len(every) - low)), np.float32)
+        held[row[a:b], code[a:b] - low] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def count_links(components: DataFrame, sets: DataFrame, weights: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links): the documents of the sets that link with the node's set. components: (node, component),
+    sets: (node, n, elements), weights: (node, weight) with the documents of each set."""
+    each = sets.select("node", "n").join(components, "node").join(weights, "node")
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS)).cast("int")
+    each = each.join(each.groupBy("component").agg(tiles.alias("tiles")), "component")
+    each = each.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    each = each.join(sets.select("node", "elements"), "node")
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = ["component", "lo", "hi"]
+    cells = each.select("component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "weight", "elements")
+
+    def compared(key, rows):
+        sides = [[r for r in rows if r[0] == tile] for tile in key[1:]]
+        if not sides[0] or not sides[1]:
+            return []
+        x, y = ([r[3] for r in side] for side in sides)
+        m, n = (np.array([len(s) for s in side], np.float64) for side in (x, y))
+        common = _common(x, y)
+        link = den * common >= num * (m[:, None] + n[None, :] - common)
+        wx, wy = (np.array([r[2] for r in side], np.int64) for side in sides)
+        if key[1] == key[2]:
+            np.fill_diagonal(link, False)
+            return [([r[1] for r in sides[0]], link @ wy)]
+        return [([r[1] for r in sides[0]], link @ wy), ([r[1] for r in sides[1]], link.T @ wx)]
+
+    def run(batches):
+        key, rows = None, []
+
+        def made():
+            for nodes, counts in compared(key, rows) if rows else []:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["node", "n_links"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in cell), strict=True)
+            values = zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "weight")), batch.column("elements"), strict=True)
+            for own, (tile, node, weight, elements) in zip(keys, values, strict=True):
+                if own != key:
+                    yield from made()
+                    key, rows = own, []
+                rows.append((tile, node, weight, elements.values.to_numpy().copy()))
+        yield from made()
+
+    counts = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "node long, n_links long")
+    return counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, counted: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id reachable by links, itself included) and, if
+    `counted`, n_links, the number of other documents at or above the similarity, copies among them."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     small_batches(spark)
@@ -223,13 +290,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     found = scratch.save(docs.join(candidates, "doc").mapInArrow(elements, "node long, n long, elements array<long>").dropDuplicates(["node"]), "sets")
 
-    links, components = link_groups(live, found, lambda pairs: _verify(pairs, found, num, den), num, den, scratch)
-    if links is None:
-        return member.select(F.col("doc").alias(id_col), "n_shingles", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    _, components = link_groups(live, found, lambda pairs: _verify(pairs, found, num, den), num, den, scratch)
+    if not counted:
+        groups = member.select(F.col("doc").alias(id_col), "n_shingles", "rep")
+        if components is None:
+            return groups.withColumnRenamed("rep", "component_id")
+        return groups.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(id_col, "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # a set's documents link with one another, as equal sets do
+    weights = member.where("n_shingles > 0").groupBy("rep").agg(F.count("*").alias("weight"))
+    member = member.join(weights, "rep", "left")
+    n_links = F.coalesce(F.col("weight") - 1, F.lit(0).cast("long"))
+    if components is None:
+        return member.select(F.col("doc").alias(id_col), "n_shingles", F.col("rep").alias("component_id"), n_links.alias("n_links"))
+    degree = count_links(components, found, weights.withColumnRenamed("rep", "node"), num, den)
     return (
-        member.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        member.join(components.join(degree, "node", "left").withColumnRenamed("node", "rep"), "rep", "left")
+        .select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"), (n_links + F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
     )
-

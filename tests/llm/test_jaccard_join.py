@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from millrace.llm import jaccard_join
 from millrace.llm.jaccard_join import bands, jaccard_components, signatures
 
 
@@ -92,3 +93,16 @@ def test_similar_sets_share_a_signature(num):
         assert at[1] - at[0] in (0, 1)
         b = at[0]
         assert np.intersect1d(signatures(x, b, *table[b][1:]), signatures(y, b, *table[b][1:])).size
+
+
+@pytest.mark.parametrize("tile", [128, 5])
+def test_every_link_is_counted(spark, monkeypatch, tile):
+    """Against all pairs: links inside a component that joined nothing, copies, and tiles that meet."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rows = corpus(np.random.default_rng(5), 40, 200, 0.4)
+    rows = list({d: (d, t) for d, t in rows}.values()) + [(2000, None), (2001, "alone in all of this"), (2002, "a b c d e f"), (2003, "A B C D E F")]
+    sets = {d: shingle_set(t, 3) for d, t in rows}
+    want = {d: sum(d != e and bool(x) and bool(y) and 100 * len(x & y) >= 90 * len(x | y) for e, y in sets.items()) for d, x in sets.items()}
+    assert max(want.values()) > 10 and want[2002] == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_components(docs, 3, 90, 100).collect()} == want
