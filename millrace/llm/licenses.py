@@ -1,6 +1,8 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (runs of text between line feeds) are classified by a multinomial logistic regression over hashed word
+Paragraphs are lines, and runs of several lines without a blank one, whose comment marks are taken off, as notices
+are often wrapped; runs are cut into pieces of 2 * STEP words that overlap by half. Of a piece that has enough of a template's word bigrams somewhere, the stretch that has most of
+them is a paragraph as well, so that a notice isn't lost in what surrounds it. Paragraphs are classified by a multinomial logistic regression over hashed word
 unigrams and bigrams: one class a licence family, and a class for text that is no licence. It is trained here, on
 varied copies of the family templates below and on a bounded, hash-chosen sample of at most about SAMPLE corpus
 paragraphs as negatives. Probabilities are calibrated by a temperature, fitted on variations that training has not
@@ -12,7 +14,8 @@ Weights are sparse: a word or pair that no template has costs one lookup, so sca
 shuffle, and the model (FEATURES flags and the few weights that aren't zero) is of bounded size.
 
 Defined results: a document's licence is the family of its most probable confirmed paragraph (ties: the first),
-else UNKNOWN if a paragraph is licence-like, else null. A null or empty text has no paragraphs and no licence.
+else UNKNOWN if a paragraph is licence-like, else null. n_paragraphs counts the lines that aren't blank, n_licenses the licence-like lines, or the
+licence-like pieces of runs where they are more. A null or empty text has no paragraphs and no licence.
 Repeated rows are each scanned; null ids are kept; other columns are ignored.
 """
 
@@ -28,6 +31,9 @@ from millrace.llm.common import small_batches
 from millrace.llm.textops import hash_strings, mix, odd_factors, slices, split_words, whole
 
 SAMPLE, FEATURES, UNKNOWN = 4_000, 1 << 16, "unknown"
+STEP = 112  # more than a stretch, which has twice the longest template's words at most
+#: Marks of comments at the start and end of lines.
+MARKS = r"^\s*(?:(?:/+\*+!?|\*+/?|/{2,}!?|#+|<!--+|--+|;+|%+|>+|\"{3}|'{3}|(?i:rem|dnl)\b)\s*)+|\s*(?:\*+/|--+>|\"{3}|'{3}|\*|#)?\s*$"
 #: Notices by which texts are put under a licence, by family (fixed values; {y} a year, {h} a holder).
 TEMPLATES = {
     "MIT": [
@@ -68,6 +74,52 @@ def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
 
 
+def runs(parts: pa.Array, text: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of runs of two or more lines without a blank one, without comment marks, and the place of each one's text."""
+    bare = pc.replace_substring_regex(parts, MARKS, "")
+    at = np.flatnonzero(np.asarray(pc.greater(pc.binary_length(bare), 0)).astype(bool)) if len(parts) else np.zeros(0, int)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (np.diff(text[at]) > 0)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(at)))
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), bare.take(pa.array(at[own], pa.int64())))
+    words, offsets = split_words(pc.binary_join(lists, pa.scalar(" ", pa.large_string())))
+    n = np.diff(offsets)
+    many = np.maximum(-(-n // STEP) - 1, np.minimum(n, 1))
+    run = np.repeat(np.arange(len(n)), many)
+    begin = offsets[run] + STEP * (np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many))
+    sizes = np.minimum(begin + 2 * STEP, offsets[run + 1]) - begin
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(own, pa.int64())))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())), text[at[starts[run]]]
+
+
+def stretches(parts: pa.Array, place: np.ndarray, feature: np.ndarray, grams: list[set], similar: float) -> tuple[list[str], list[int]]:
+    """Of each piece and each template that may be in it, the stretch of up to twice the template's length with most
+    of its bigrams, if they are enough; (texts, places of the pieces). place, feature: what the pieces have, once."""
+    found, owner = [], []
+    for g in grams:
+        mine = np.zeros(FEATURES, bool)
+        mine[list(g)] = True
+        for i in np.flatnonzero(np.bincount(place[mine[feature]], minlength=len(parts)) >= similar * len(g)):
+            one = parts.slice(int(i), 1)
+            words, n = split_words(one)[0], len(split_words(one)[0])
+            pairs = features(one)[1][n:]
+            at = np.flatnonzero(mine[pairs])
+            best = (0, 0, 0)
+            for a, b in zip(at, np.searchsorted(at, at + 2 * len(g) + 8), strict=True):
+                a_at = int(np.searchsorted(at, a))
+                if b - a_at > best[0]:
+                    best = max(best, (len(set(pairs[at[a_at:b]].tolist())), -int(a), int(at[b - 1]) + 2))
+            if best[0] >= similar * len(g):
+                found.append(" ".join(words.slice(-best[1], best[2] + best[1]).to_pylist()))
+                owner.append(int(i))
+    return found, owner
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, feature) of every word unigram and bigram."""
     words, offsets = split_words(texts)
@@ -182,9 +234,21 @@ def train(negatives: list[str], seed: int = 7, steps: int = 150) -> dict:
 def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     """(family or UNKNOWN or None, probability, confirmed, paragraphs, licence-like paragraphs) of each text."""
     parts, text = paragraphs(texts)
+    full = np.bincount(text[np.asarray(pc.greater(pc.binary_length(pc.utf8_trim_whitespace(parts)), 0)).astype(bool)], minlength=len(texts)) if len(parts) else np.zeros(len(texts), int)
+    joined, of = runs(parts, text)
+    lines, n_runs = len(parts), len(joined)
+    place, feature = features(pa.concat_arrays([parts.cast(pa.large_string()), joined]))
+    wanted = np.zeros(FEATURES, bool)
+    wanted[[x for own in model["grams"] for g in own for x in g]] = True
+    in_run = (place >= lines) & wanted[feature]
+    more, owner = stretches(joined, *_once(place[in_run] - lines, feature[in_run]), [g for own in model["grams"] for g in own], similar)
+    extra = features(pa.array(more, pa.large_string()))
+    place, feature = np.concatenate([place, extra[0] + lines + n_runs]), np.concatenate([feature, extra[1]])
+    parts = pa.concat_arrays([x.cast(pa.large_string()) for x in (parts, joined, pa.array(more, pa.large_string()))])
+    text = np.concatenate([text, of, of[np.array(owner, int)]])
+    run = np.concatenate([np.full(lines, -1), np.arange(n_runs), np.array(owner, int)])
     column = np.full(FEATURES, -1, np.int32)
     column[model["kept"]] = np.arange(len(model["kept"]))
-    place, feature = features(parts)
     use = column[feature] >= 0
     place, feature = _once(place[use], feature[use])
     some, inverse = np.unique(place, return_inverse=True)
@@ -192,7 +256,6 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     np.add.at(z, inverse, model["weights"][column[feature]])
     p = _softmax(z / model["temperature"]) if len(some) else z
     like = np.flatnonzero(p[:, :-1].sum(axis=1) >= 0.5) if len(some) else np.zeros(0, int)
-    full = np.bincount(text[np.asarray(pc.greater(pc.binary_length(pc.utf8_trim_whitespace(parts)), 0)).astype(bool)], minlength=len(texts)) if len(parts) else np.zeros(len(texts), int)
     out = [(None, 0.0, False, int(n), 0) for n in full]
     for i in like:
         at = text[some[i]]
@@ -203,8 +266,10 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
         name, best, sure, n, found = out[at]
         if (confirmed, chance) > (sure, best):
             name, best, sure = (model["families"][family] if confirmed else UNKNOWN), chance, confirmed
-        out[at] = (name or UNKNOWN, best, sure, n, found + 1)
-    return out
+        out[at] = (name or UNKNOWN, best, sure, n, found + (run[some[i]] < 0))
+    kinds = np.unique(run[some[like]]) if len(like) else np.zeros(0, int)
+    in_runs = np.bincount(of[kinds[kinds >= 0]], minlength=len(texts))
+    return [(*o[:4], max(int(o[4]), int(k))) for o, k in zip(out, in_runs, strict=True)]
 
 
 def corpus_paragraphs(docs: DataFrame, sample: int) -> list[str]:

@@ -1,5 +1,8 @@
+import textwrap
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from millrace.llm import licenses as L
 
@@ -43,5 +46,18 @@ def test_varied_notices_are_recognised():
     assert right >= 0.85 * total
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+@pytest.mark.parametrize("width", [40, 72])
+def test_wrapped_notices(mark, width):
+    model = L.train(PROSE, seed=1)
+    for family in ("MIT", "BSD-3-Clause", "GPL-3.0"):
+        lines = [mark + x for x in textwrap.wrap(max(L.TEMPLATES[family], key=len), width)]
+        head = ["/*"] * (mark == " * ") + [mark + "Copyright 2020 J. Doe", mark.rstrip()]
+        for text in (head + lines + [mark.rstrip(), "import os"], PROSE * 200 + lines + PROSE * 200):
+            found = L.scan_texts(pa.array(["\n".join(PROSE), "\n".join(text), None]), model, 0.8)
+            assert found[1][0] == family and found[1][2] and found[1][4] >= 1, (family, found)
+            assert found[0][0] is None and found[2] == (None, 0.0, False, 0, 0)
+
+
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
