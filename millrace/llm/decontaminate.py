@@ -5,8 +5,10 @@ become typed placeholders whose values are kept aside. Windows of WIDTH canonica
 and joined, so a question with other numbers and names still meets its template. Every text has two views, with
 and without names as placeholders, as texts in capitals have no names to see.
 
-A joined window puts words of an item at a distance from words of a document. Matches whose distances differ by
-up to DRIFT words belong together; slots must be consistent there: an item's value stands for one value of the
+A run of names is one placeholder. A joined window puts words of an item on words of a document. All matches of an
+item within SPAN times its words of the document (up to twice as many, as such spans overlap by half) belong
+together, so asides and longer names may come between. Of them, an ascending chain counts, in which no word of
+the item or the document comes twice, and slots must be consistent: an item's value stands for one value of the
 document, and slots that say otherwise don't count. A document is contaminated where at least `share` of an
 item's words are covered.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch, small_batches
 from millrace.llm.textops import hash_strings, shingles, slices, split_words
 
-WIDTH, DRIFT, HASHES = 5, 4, 4_000_000
+WIDTH, DRIFT, SPAN, HASHES = 5, 4, 3, 4_000_000
 #: Words that are units after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams t ton tons tonne tonnes oz ounce ounces lb lbs pound pounds "
@@ -40,7 +42,7 @@ UNITS = (
     "hz khz mhz ghz w kw mw v volt volts a amp amps j kj kcal cal n pa kpa bar k c f degree degrees percent cent cents dollar dollars euro euros usd eur kb mb gb tb mph kmh"
 ).split()
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
-HITS = "doc long, text_hash long, at int, hash long, slots array<long>"
+HITS = "doc long, text_hash long, at int, hash long, slots array<long>, places array<int>"
 
 
 def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,34 +74,97 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def windows(texts: pa.Array, width: int = WIDTH):
-    """Windows that are templates: (text, place, hash, slot values by word; 0 outside placeholders)."""
+    """Windows that are templates, of both views: (text, place of the first word, hash, start, end, slot values by
+    token, 0 outside placeholders; place and number of words by token). A run of names is one token."""
     plain, named, values, offsets = canonical(texts)
-    found, before = [], None
+    places = (np.arange(len(plain)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.int32)
+    found = []
     for view in (plain, named):
-        hashes, at = shingles(view, offsets, width)
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        place = np.arange(len(hashes)) - at[text]
-        start = offsets[text] + place
-        end = np.minimum(start + width, offsets[text + 1])
-        slot = (view == NUMBER) | (view == UNIT) | (view == NAME)
+        name = view == NAME
+        first = np.ones(len(view), bool)
+        first[1:] = ~(name[1:] & name[:-1]) | (places[1:] == 0)
+        at = np.flatnonzero(first)
+        kept = np.concatenate([[0], np.cumsum(first)])[offsets]
+        own, lens, place = view[at], np.diff(np.append(at, len(view))).astype(np.int32), places[at]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        value = sums[at + lens] - sums[at]
+        hashes, ends = shingles(own, kept, width)
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        start = kept[text] + np.arange(len(hashes)) - ends[text]
+        end = np.minimum(start + width, kept[text + 1])
+        slot = (own == NUMBER) | (own == UNIT) | (own == NAME)
         literal = np.concatenate([[0], np.cumsum(~slot)])
         good = literal[end] - literal[start] >= np.where(end - start < width, 1, 2)
-        if before is not None:
-            good &= hashes != before
-        before = hashes
-        found.append((text[good], place[good], hashes[good], start[good], end[good], np.where(slot, values | np.uint64(1), np.uint64(0))))
+        if view is named:  # others are windows of the first view
+            names = np.concatenate([[0], np.cumsum(own == NAME)])
+            good &= names[end] > names[start]
+        found.append((text[good], place[start[good]], hashes[good], start[good], end[good], np.where(slot, value | np.uint64(1), np.uint64(0)), place, lens))
     return found
 
 
-def _rows(text, place, hashes, start, end, slots, width: int, keep: np.ndarray):
+def _rows(text, place, hashes, start, end, slots, places, lens, keep: np.ndarray):
     text, place, hashes, start, end = (x[keep] for x in (text, place, hashes, start, end))
-    lists = [slots[a:b].view(np.int64) for a, b in zip(start, end, strict=True)]
-    return text, place.astype(np.int32), hashes.view(np.int64), lists
+    lists = [[x[a:b] for a, b in zip(start, end, strict=True)] for x in (slots.view(np.int64), places, lens)]
+    return text, place.astype(np.int32), hashes.view(np.int64), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int32(), pa.int32()), strict=True))
+
+
+def _chain(cells: list[tuple], n_words: int) -> list[tuple]:
+    """The heaviest of the chains of cells (doc place, item place, words, value, meant) that ascend in both texts."""
+    tree: list[tuple[int, int]] = [(0, -1)] * (n_words + 1)
+    back = []
+    # cells of one place of the document come with the last place of the item first, so that they don't follow each other
+    cells = sorted(cells, key=lambda c: (c[0], -c[1], -c[2]))
+    for i, (_, q, words, *_) in enumerate(cells):
+        best, at = (0, -1), q
+        while at:
+            best, at = max(best, tree[at]), at & (at - 1)
+        back.append(best[1])
+        best, at = (best[0] + words, i), q + words
+        while at <= n_words:
+            tree[at], at = max(tree[at], best), at + (at & -at)
+    best, at = (0, -1), n_words
+    while at:
+        best, at = max(best, tree[at]), at & (at - 1)
+    out, i = [], best[1]
+    while i >= 0:
+        out.append(cells[i])
+        i = back[i]
+    return out
+
+
+def _consistent(cells: list[tuple]) -> list[tuple]:
+    """The cells whose item value stands for the document value that it has most often there."""
+    votes: dict[int, dict[int, dict[int, int]]] = {}
+    for p, q, words, value, meant in cells:
+        if value:
+            votes.setdefault(value, {}).setdefault(meant, {}).setdefault(q, p)
+    chosen = {v: max(m, key=lambda x: (len(m[x]), -min(m[x].values()))) for v, m in votes.items()}
+    return [c for c in cells if not c[3] or chosen[c[3]] == c[4]]
+
+
+def covered_words(cells: set[tuple], n_words: int, share: float) -> int:
+    """Words of an item that an ascending and consistent chain of cells covers."""
+    literal = {c[:3] for c in cells if not c[3]}
+    cells = [c for c in cells if not c[3] or c[:3] not in literal]
+    near: dict[int, list] = {}
+    for c in cells:
+        shift = c[0] - c[1]
+        for band in (shift // (2 * DRIFT) * 2, (shift + DRIFT) // (2 * DRIFT) * 2 + 1):
+            near.setdefault(band, []).append(c)
+    best = 0
+    for own in [cells, *near.values()]:
+        reach = set()
+        for _, q, words, *_ in own:
+            reach.update(range(q, q + words))
+        if len(reach) > best and len(reach) >= share * n_words - 1e-9:
+            for chain in (_chain(_consistent(own), n_words), _consistent(_chain(own, n_words))):
+                best = max(best, sum(c[2] for c in chain))
+    return best
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item, n_words, at, hash, slots) of every template window of the items."""
-    schema = "item long, n_words int, at int, hash long, slots array<long>"
+    """(item, n_words, at, hash, slots, places, lens) of every template window of the items."""
+    schema = "item long, n_words int, at int, hash long, slots array<long>, places array<int>, lens array<int>"
 
     def run(batches):
         for batch in batches:
@@ -107,10 +172,10 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
                 items = piece.column("item").to_numpy(zero_copy_only=False)
                 offsets = canonical(piece.column("text"))[3]
                 for w in windows(piece.column("text"), width):
-                    text, at, hashes, lists = _rows(*w, width, np.ones(len(w[0]), bool))
+                    text, at, hashes, *lists = _rows(*w, np.ones(len(w[0]), bool))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(items[text], pa.int64()), pa.array(np.diff(offsets)[text], pa.int32()), pa.array(at), pa.array(hashes), pa.array(lists, pa.list_(pa.int64()))],
-                        names=["item", "n_words", "at", "hash", "slots"],
+                        [pa.array(items[text], pa.int64()), pa.array(np.diff(offsets)[text], pa.int32()), pa.array(at), pa.array(hashes), *lists],
+                        names=["item", "n_words", "at", "hash", "slots", "places", "lens"],
                     )
 
     return benchmark.mapInArrow(run, schema)
@@ -128,9 +193,9 @@ def _hits(docs: DataFrame, known: np.ndarray, width: int) -> DataFrame:
                     near = np.minimum(np.searchsorted(hashes, w[2]), len(hashes) - 1)
                     keep = np.flatnonzero(hashes[near] == w[2])
                     if len(keep):
-                        text, at, own, lists = _rows(*w, width, keep)
+                        text, at, own, slots, places, _ = _rows(*w, keep)
                         text = pa.array(text)
-                        yield pa.RecordBatch.from_arrays([piece.column("doc").take(text), piece.column("text_hash").take(text), pa.array(at), pa.array(own), pa.array(lists, pa.list_(pa.int64()))], names=["doc", "text_hash", "at", "hash", "slots"])
+                        yield pa.RecordBatch.from_arrays([piece.column("doc").take(text), piece.column("text_hash").take(text), pa.array(at), pa.array(own), slots, places], names=["doc", "text_hash", "at", "hash", "slots", "places"])
 
     return docs.mapInArrow(run, HITS)
 
@@ -155,16 +220,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, widt
     else:
         hits = docs.sparkSession.createDataFrame([], HITS)
 
-    met = hits.join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "hash")
-    shift = F.col("at") - F.col("item_at")
-    # two sets of bands, half a band apart: distances up to DRIFT apart share one
-    bands = F.array(F.floor(shift / (2 * DRIFT)) * 2, F.floor((shift + DRIFT) / (2 * DRIFT)) * 2 + 1)
-    met = met.withColumn("band", F.explode(bands))
-    cells = met.select("doc", "text_hash", "item", "n_words", "band", "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "pair"))
-    place = ["doc", "text_hash", "item", "n_words", "band"]
-    cells = cells.select(*place, (F.col("item_at") + F.col("k")).alias("word"), F.col("pair.item_slots").alias("value"), F.col("pair.slots").alias("meant")).distinct()
-    words = cells.groupBy(*place, "value", "meant").agg(F.count_distinct("word").alias("n"))
-    agreed = words.groupBy(*place, "value").agg(F.max("n").alias("n")).groupBy(*place).agg(F.sum("n").alias("n"))
+    met = hits.join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots", "places": "item_places"}), "hash")
+    # spans of the document, each of which shares a half with the next: what is within SPAN items is in one
+    span = F.floor(F.col("at") / (SPAN * F.col("n_words")))
+    met = met.withColumn("span", F.explode(F.array(span, span - 1))).where("span >= 0")
+    place = ["doc", "text_hash", "item", "n_words", "span"]
+    cells = F.collect_set(F.struct("places", "item_places", "lens", "item_slots", "slots")).alias("cells")
+    grouped = met.groupBy(*place).agg(F.sum(F.expr("aggregate(lens, 0, (x, y) -> x + y)")).alias("most"), cells).where(F.col("most") >= share * F.col("n_words") - 1e-9)
+
+    def run(batches):
+        for batch in batches:
+            counts = []
+            for n_words, windows in zip(batch.column("n_words").to_pylist(), batch.column("cells"), strict=True):
+                own = {c for w in windows.as_py() for c in zip(*w.values(), strict=True)}
+                counts.append(covered_words(own, n_words, share))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "text_hash", "item", "n_words")), pa.array(counts, pa.int32())], names=["doc", "text_hash", "item", "n_words", "n"])
+
+    agreed = grouped.select("doc", "text_hash", "item", "n_words", "cells").mapInArrow(run, "doc long, text_hash long, item long, n_words int, n int")
     held = agreed.withColumn("covered", F.col("n") / F.col("n_words")).where(F.col("covered") >= share)
     best = held.groupBy("doc", "text_hash").agg(F.max(F.struct("covered", (-F.col("item")).alias("least"))).alias("best"))
     return scratch.save(best.select("doc", "text_hash", (-F.col("best.least")).alias("item"), F.least("best.covered", F.lit(1.0)).alias("covered")), "found")

@@ -77,3 +77,22 @@ def test_very_long_text_and_common_passage(spark):
     docs = [(i, f"{item} {i}") for i in range(300)] + [(1000, " ".join(words(rng, 60_000)) + " " + item), (1001, " ".join(words(rng, 60_000)))]
     found, _ = run(spark, docs, [(0, item)])
     assert found == {(i, 0) for i in range(300)} | {(1000, 0)}
+
+
+def test_asides_and_longer_names(spark):
+    """Whole items with asides in them, at distances that no band of a few words holds."""
+    rng = np.random.default_rng(6)
+    short, long = words(rng, 30), words(rng, 100)
+    named = "so Tom gave Kim two red cards and then Kim sold Tom some blue cards while Tom and Kim sat there with Tom all day"
+    grown = named.replace("Tom", "Ann Mary Lou Smith").replace("Kim", "Max van Dyk Berg")
+    aside = lambda n: words(rng, n)
+    docs = {
+        1: short[:15] + aside(10) + short[15:],
+        2: long[:25] + aside(4) + long[25:50] + aside(4) + long[50:75] + aside(4) + long[75:],
+        3: aside(40) + short[:10] + aside(12) + short[10:20] + aside(12) + short[20:] + aside(40),
+        4: grown.split(),
+        5: short[15:] + aside(10) + short[:15],  # not in order
+        6: short[:15] + aside(500) + short[15:],  # too far apart
+    }
+    found, _ = run(spark, [(d, " ".join(t)) for d, t in docs.items()], [(1, " ".join(short)), (2, " ".join(long)), (3, named)])
+    assert found == {(1, 1), (2, 2), (3, 1), (4, 3)}
