@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,19 +66,23 @@ def upsert_match(incoming: DataFrame, existing: DataFrame, id_col: str, key: str
 
     Candidates share the key; each optional column narrows them while more than one is left, if it is given.
     """
-    cols = [F.col(c).alias(f"_{c}") for c in optional]
-    found = incoming.join(existing.select(F.col(id_col).alias("matched"), F.col(key).alias("_key"), *cols), incoming[key] == F.col("_key"), "left")
-    own = Window.partitionBy("row")
-    keep = F.col("matched").isNotNull()
-    for c in optional:
-        many = F.sum(keep.cast("int")).over(own) > 1
-        found = found.withColumn("_keep", keep).withColumn("_many", many)
-        keep = F.col("_keep") & (~F.col("_many") | F.coalesce(F.col(c), F.lit("")).eqNullSafe("") | F.col(c).eqNullSafe(F.col(f"_{c}")))
-        found = found.withColumn("_keep", keep)
-        keep = F.col("_keep")
-    found = found.withColumn("_keep", keep)
-    out = found.groupBy("row").agg(F.sum(F.col("_keep").cast("int")).cast("int").alias("candidates"), F.min(F.when(F.col("_keep"), F.col("matched"))).alias("matched"))
-    return out.withColumn("matched", F.when(F.col("candidates") == 1, F.col("matched")))
+    # candidates are counted by key and each choice of optional columns, so that no pairs are made
+    given = [f"_given_{c}" for c in optional]
+    pool = existing.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.expr(f"array({', '.join(f'CAST(`{c}` AS STRING)' for c in optional)})").alias("_all"))
+    every = F.array(*[F.array(*[F.col("_all")[i] if mask >> i & 1 else F.lit(None).cast("string") for i in range(len(optional))]) for mask in range(1 << len(optional))])
+    by = pool.select("_key", "_id", F.posexplode(every).alias("_mask", "_by")).groupBy("_key", "_mask", "_by").agg(F.count("*").cast("int").alias("_n"), F.min("_id").alias("_least"))
+
+    def counted(rows):
+        values = F.array(*[F.when(F.col("_used").bitwiseAND(1 << i) != 0, F.col(g)) for i, g in enumerate(given)])
+        rows = rows.drop("_n", "_least").withColumn("_want", values)
+        met = rows.join(by, (rows[key] == by["_key"]) & (rows["_used"] == by["_mask"]) & (rows["_want"] == by["_by"]), "left")
+        return met.select("row", key, *given, "_used", F.coalesce("_n", F.lit(0)).alias("_n"), "_least")
+
+    found = counted(incoming.select("row", key, *[F.col(c).cast("string").alias(g) for c, g in zip(optional, given, strict=True)], F.lit(0).alias("_used")))
+    for i, g in enumerate(given):
+        narrows = (F.col("_n") > 1) & (F.coalesce(F.col(g), F.lit("")) != "")
+        found = counted(found.withColumn("_used", F.when(narrows, F.col("_used").bitwiseOR(1 << i)).otherwise(F.col("_used"))))
+    return found.select("row", F.col("_n").alias("candidates"), F.when(F.col("_n") == 1, F.col("_least")).alias("matched"))
 
 
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:

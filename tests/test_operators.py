@@ -50,6 +50,16 @@ def test_upsert_match(spark):
     assert rows(registry.upsert_match(new, old, "id", "num", ["ent"])) == [(10, 1, 2), (11, 2, None), (12, 1, 3), (13, 0, None), (14, 2, None)]
 
 
+def test_upsert_match_of_whole_tables(spark):
+    """All against all of one key, which pairs of candidates would make 40 billion of."""
+    n = 200_000
+    own = spark.range(n).selectExpr("id", "'k' AS num", "CAST(id % 100000 AS STRING) AS ent", "CAST(id AS STRING) AS day")
+    new = own.selectExpr("id AS row", "num", "CASE WHEN id % 4 > 0 THEN ent END AS ent", "CASE WHEN id % 2 = 0 THEN day ELSE '' END AS day")
+    got = registry.upsert_match(new, own, "id", "num", ["ent", "day"])
+    assert got.where("matched IS NOT NULL AND matched <> row").isEmpty()
+    assert rows(got.groupBy("candidates", (F.col("row") % 4).alias("r")).count()) == [(1, 0, 50_000), (1, 2, 50_000), (2, 1, 50_000), (2, 3, 50_000)]
+
+
 def test_staff_load(spark):
     d = dt.date(2026, 3, 2)
     df = spark.createDataFrame([("a", d, dt.date(2026, 3, 3), 12.0), ("a", d, dt.date(2026, 3, 3), 8.0), ("b", d, d, 4.0)], "staff string, start_date date, end_date date, hours double")
