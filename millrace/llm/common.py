@@ -10,18 +10,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. Only a local master, whose tasks see the
+    driver's disk, may go without: it gets a temporary folder, and the session stays as it is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -49,40 +50,60 @@ class Scratch:
     def read(self, label: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{label}")
 
-    def drop(self, label: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
+            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, label: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """Components of an undirected graph given as edges (a, b): rows (node, component), component the least node.
 
-    Union-find by minimum labels: each round takes the least label of a node's neighbours (a pre-aggregated
-    minimum, so a hub is no hot group) and then jumps to the label's own label, which halves path lengths.
+    The graph is contracted in rounds. Nodes are ordered by a hash of their names, each node moves into the least
+    of itself and its neighbours, and the edges are carried over to where their ends have moved; loops and repeats
+    go. The node that is last in that order always moves, so rounds end; of a path about half of the nodes move in
+    a round, however its names lie along it, and a star is gone after two, so rounds grow with the logarithm of the
+    graph. The order is another one every few rounds. The least neighbour is a pre-aggregated minimum, so a hub is
+    no hot group. Names are traced through the rounds at the end, from the last and smallest one back.
+
     Self-loops and repeated edges are allowed, nulls are ignored, no edges give no rows.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    both = scratch.save(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{label}-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = scratch.save(labels, f"{label}-0")
-    for i in range(1, max_rounds + 1):
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy(both.a.alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        low = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        root = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        step = low.join(root, "low").select("node", F.least("low", "jump").alias("component"), (F.col("component") != F.least("low", "jump")).alias("moved"))
-        step = scratch.save(step, f"{label}-{i}")
-        scratch.drop(f"{label}-{i - 1}")
-        labels = step.select("node", "component")
-        if step.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    scratch.drop(f"{label}-edges")
-    return labels
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    live, moves = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges-0"), []
+    while not live.isEmpty():
+        i = len(moves)
+        placed = lambda c, i=i: F.struct(F.xxhash64(c, F.lit(i // 4)).alias("place"), F.col(c).alias("into"))
+        ends = live.select(F.col("a").alias("node"), placed("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), placed("a").alias("to")))
+        move = ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", placed("node"))["into"].alias("into"))
+        moves.append(scratch.save(move, f"{label}-moves-{i}"))
+        ends = [moves[-1].select(F.col("node").alias(c), F.col("into").alias(f"{c}2")) for c in "ab"]
+        moved = live.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        live = scratch.save(moved.distinct(), f"{label}-edges-{i + 1}")
+        scratch.drop(f"{label}-edges-{i}")
+    if not moves:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    whole = moves[-1]
+    for i, move in reversed(list(enumerate(moves[:-1]))):
+        later = whole.select(F.col("node").alias("into"), F.col("into").alias("last"))
+        whole = move.join(later, "into", "left").select("node", F.coalesce("last", "into").alias("into"))
+        if i % 4 == 0:
+            whole = scratch.save(whole, f"{label}-names-{i}")
+    least = whole.groupBy("into").agg(F.min("node").alias("component"))
+    found = scratch.save(whole.join(least, "into").select("node", "component"), f"{label}-components")
+    scratch.drop(*(f"{label}-{kind}-{i}" for i in range(len(moves)) for kind in ("moves", "names")), f"{label}-edges-{len(moves)}")
+    return found
+
+
+def renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """df with components replaced by those that they have merged into."""
+    names = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+    return df.join(names, "component", "left").withColumn("component", F.coalesce("_into", "component")).select(*df.columns)
+
+
+def unsettled(live: DataFrame) -> DataFrame:
+    """The groups (sig, component, ...) whose members are in several components."""
+    split = live.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return live.join(split, "sig", "left_semi")
 
 
 def _shared_keys(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -132,10 +153,10 @@ def link_groups(live: DataFrame, sets: DataFrame, verify: Callable[[DataFrame],
         if i == 2 * rounds:
             break
         rest = marked.where("node <> other").drop("other", "n_other", "c_other")
-        rest = scratch.save(_unsettled(_renamed(rest, merges[-1]) if found else rest), f"groups-{i + 1}")
+        rest = scratch.save(unsettled(renamed(rest, merges[-1]) if found else rest), f"groups-{i + 1}")
         if i == rounds - 1 and not rest.isEmpty():
             keys = _shared_keys(rest, sets, num, den).withColumn("weight", F.lit(1).cast("long"))
-            rest = scratch.save(_unsettled(keys), f"groups-{i + 1}-anew")
+            rest = scratch.save(unsettled(keys), f"groups-{i + 1}-anew")
         live = rest
         scratch.drop(f"groups-{i}")
     if not links:
@@ -143,15 +164,3 @@ def link_groups(live: DataFrame, sets: DataFrame, verify: Callable[[DataFrame],
     links = reduce(DataFrame.unionByName, links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     return links, scratch.save(reduce(_renamed, merges, ends), "components")
-
-
-def _renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
-    """df with components replaced by those that they have merged into."""
-    names = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
-    return df.join(names, "component", "left").withColumn("component", F.coalesce("_into", "component")).select(*df.columns)
-
-
-def _unsettled(live: DataFrame) -> DataFrame:
-    """The groups whose members are in several components."""
-    split = live.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    return live.join(split, "sig")

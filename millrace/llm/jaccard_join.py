@@ -3,14 +3,18 @@ document's number of links.
 
 A document's set holds the hashes of its distinct word shingles. Sets fall into size bands; two sets whose
 Jaccard similarity is at least num/den lie in the same or in neighbouring bands and differ in at most k
-elements, k from the band alone. PartEnum cuts the hash domain into more than k parts, so that at least one
-part of two similar sets is the same, and signs parts; the smallest bands sign subsets of parts instead. Equal
-signatures propose candidates, exact set arithmetic decides.
-
-Copies (equal sets) collapse before anything is compared. A signature's group is not expanded into pairs, but
-settled by leaders in rounds (link_groups); that finds the components, but not each of their links. As no link
-leaves its component, all links are then counted there: a component is cut into tiles of bounded size, and each
-pair of tiles is compared in full, as a product of incidence matrices.
+elements, k from the band alone. PartEnum cuts the hash domain into n1 parts, so that two similar sets differ in at
+most k2 elements in some of them, and each part into n2 smaller ones, of which all subsets of n2 - k2 are signed:
+in a part with few differences one of those subsets has none. `plan` chooses n1, n2 and k2 for each k. There are
+`need` - 1 more parts than the pigeonhole principle asks for, so that similar sets share `need` signatures at
+least; sets that share fewer with all others have no links and leave before anything is compared.
+
+Copies (equal sets) collapse first. A signature's group is not expanded into pairs: in ROUNDS rounds, each group
+has a leader, the member of the most groups, and the sets that share a group with a leader form its ball. Balls,
+and in the end the groups whose members are still in several components, are cut into cells of bounded size, in
+which sets are compared as products of incidence matrices; of a cell only the edges of a spanning forest come out.
+Exact set arithmetic decides. All links lie inside the components that this finds and are counted there, in cells
+as well: rows grow with the size of a component over TILE, and only arithmetic with its square.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its own
 component. Rows with a null id take no part and give no row. Repeated rows of one id count as one document
@@ -19,18 +23,25 @@ whose set is that of its smallest representation. Columns besides the id and the
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, link_groups, small_batches
+from millrace.llm.common import Scratch, connected_components, renamed, small_batches, unsettled
 from millrace.llm.textops import hash_strings, mix, salt, shingles, slices, split_words
 
-#: Slack of parts over the k + 1 that the pigeonhole principle needs; lets a set sign only its fuller parts.
-SLACK = 1.3
-#: Sets and elements that a tile of a component should hold, and columns of an incidence matrix.
-TILE, TILE_ELEMENTS, COLUMNS = 128, 1_000_000, 8_192
+#: Signatures that any set may have in a band; elements that may differ for each signature more that similar sets
+#: must share.
+LEAST, SPARE = 24, 20
+#: Sets and elements that a cell should hold on a side, and columns of an incidence matrix.
+TILE, TILE_ELEMENTS, COLUMNS, ROUNDS = 512, 1_000_000, 4_096, 2
+#: Rows of signatures that a task should hold, copies that it knows, and bytes of a signature and of its owner.
+HELD, KNOWN, SIG, OWN = 3_000_000, 200_000, 5, 6
 
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
@@ -44,38 +55,54 @@ def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _tag(band: int, part: np.ndarray | int) -> np.ndarray:
-    return mix(np.atleast_1d(np.asarray(part, np.uint64)) + salt(band + 1))
+@lru_cache(None)
+def _table(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.array(bands(largest, num, den), np.int64)
+    return found[:, 0], found[:, 2]
+
+
+def need(k: int) -> int:
+    """Signatures of a band that similar sets share at least."""
+    return 1 + k // SPARE
+
+
+@lru_cache(None)
+def plan(k: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) whose signatures cover the largest share of the domain, with no more of them than two of three
+    parts for every other difference make."""
+    most, found = max(LEAST, 3 * (k // 2 + need(k))), []
+    for k2 in range(min(k, 4) + 1):
+        n1 = k // (k2 + 1) + need(k)
+        found += [((1 - k2 / n2) / n1, -k2, n1, n2) for n2 in range(k2 + 1, 26) if n1 * comb(n2, k2) <= most]
+    _, k2, n1, n2 = max(found)
+    return n1, n2, -k2
 
 
-def signatures(elements: np.ndarray, band: int, high: int, k: int) -> np.ndarray:
-    """PartEnum signatures of one sorted set for one band."""
-    own = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+def per_element(num: int, den: int, size: int = 1_000) -> float:
+    """Signatures for each element of a set."""
+    lows, ks = _table(2 * size, num, den)
+    band = int(np.searchsorted(lows, size, side="right")) - 1
+    return sum(n1 * comb(n2, k2) for n1, n2, k2 in (plan(int(k)) for k in ks[max(band - 1, 0) : band + 1])) / size
+
+
+def signatures(flat: np.ndarray, offsets: np.ndarray, band: int, k: int) -> np.ndarray:
+    """PartEnum signatures of sorted sets, all of one band: one row a set."""
+    sets = len(offsets) - 1
     if k == 0:  # only equal sets, which have collapsed before
-        return np.zeros(0, np.uint64)
-    if k <= 2:  # subsets of parts: every element is a part, up to `off` of them are left out
-        halves, off = (1, k) if k == 1 or high <= 14 else (2, 1)
-        side = (elements >> np.uint64(63)).astype(int) if halves == 2 else np.zeros(len(elements), int)
-        found = []
-        for s in range(halves):
-            mine = own[side == s]
-            whole = mine.sum(dtype=np.uint64)
-            sums = [np.array([whole]), whole - mine]
-            if off == 2:
-                i, j = np.triu_indices(len(mine), 1)
-                sums.append(whole - mine[i] - mine[j])
-            found.append(mix(np.concatenate(sums) ^ _tag(band, s)))
-        return np.concatenate(found)
-    parts = int(np.ceil(SLACK * (k + 1)))
-    part = ((elements >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    bounds = np.searchsorted(part, np.arange(parts + 1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-    sums, filled = sums[bounds[1:]] - sums[bounds[:-1]], np.diff(bounds)
-    # k + 1 parts are enough: the fullest ones, with all that are as full. The part in which two similar sets
-    # agree is then signed by both, as it is equally full in both.
-    least = np.partition(filled, parts - k - 1)[parts - k - 1]
-    at = np.flatnonzero(filled >= least)
-    return mix(sums[at] ^ _tag(band, at))
+        return np.zeros((sets, 0), np.uint64)
+    n1, n2, k2 = plan(k)
+    cells = n1 * n2
+    at = ((flat >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    filled = np.bincount(np.repeat(np.arange(sets) * cells, np.diff(offsets)) + at, minlength=sets * cells)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
+    ends = np.cumsum(filled)
+    own = (sums[ends] - sums[ends - filled]).reshape(-1, n2)
+    whole = own.sum(axis=1, dtype=np.uint64)
+    part = mix(np.arange(n1, dtype=np.uint64) + salt(band + 1))
+    found = np.empty((sets * n1, comb(n2, k2)), np.uint64)
+    for j, left_out in enumerate(combinations(range(n2), k2)):
+        found[:, j] = mix((whole - own[:, list(left_out)].sum(axis=1, dtype=np.uint64)) ^ mix(np.tile(part, sets) + np.uint64(j)))
+    return found.reshape(sets, -1)
 
 
 def _pieces(batches):
@@ -84,178 +111,332 @@ def _pieces(batches):
         yield from slices(batch)
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of all rows in one array, and their offsets."""
     words, offsets = split_words(batch.column("text"))
     body, at = shingles(hash_strings(words), offsets, width)
-    return [np.unique(body[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+    sets = [np.unique(body[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
+
 
+def _digests(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two arrays of signed longs."""
+    found = []
+    for x in (mix(flat), mix(flat ^ np.uint64(0x5851F42D4C957F2D))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        found.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
+    return found[0], found[1]
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    a, b = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
 
+def _short(digest: np.ndarray) -> np.ndarray:
+    """What signatures name their owner by: the last OWN bytes of a digest. Two sets of one name both become
+    candidates."""
+    return digest & np.int64((1 << 8 * OWN) - 1)
 
-def set_digests(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n_shingles, d1, d2) of every document; equal digests mean equal sets."""
+
+def set_digests(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc, n_shingles, d1, d2, need) of every document; equal digests mean equal sets."""
 
     def run(batches):
         for batch in _pieces(batches):
-            sets = _sets(batch, width)
-            digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
-                names=["doc", "n_shingles", "d1", "d2"],
-            )
+            flat, offsets = _sets(batch, width)
+            n = np.diff(offsets)
+            lows, ks = _table(2 * int(n.max(initial=1)), num, den)
+            least = 1 + ks[np.maximum(np.searchsorted(lows, n, side="right") - 2, 0)] // SPARE
+            columns = [batch.column("doc"), pa.array(n), *map(pa.array, _digests(flat, offsets)), pa.array(least, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "d1", "d2", "need"])
 
-    return docs.mapInArrow(run, "doc long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc long, n_shingles long, d1 long, d2 long, need long")
 
 
-def _signature_blobs(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Signatures packed by bucket of the signature: (bucket, sigs, owners), the owner 64 bits of the set's
-    digest. Copies within a task sign once."""
+def _cut(values: np.ndarray, size: int) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :size]
+
+
+def _uncut(data: list[bytes], size: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, size)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :size] = raw
+    return out.view(np.uint64).ravel()
+
+
+def signature_blobs(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Signatures packed by bucket of the signature: (bucket, sigs, owners), SIG and OWN bytes each. Copies that a
+    task knows sign once."""
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
-        table: list[tuple[int, int, int]] = []
-        lows = np.zeros(0, np.int64)
+        known: set[int] = set()
         for batch in _pieces(batches):
-            found, owners = [], []
-            for s in _sets(batch, width):
-                n = len(s)
-                if not n or (key := _digest(s)) in seen:
-                    continue
-                seen.add(key)
-                if not table or n > table[-1][1]:
-                    table = bands(2 * n, num, den)
-                    lows = np.array([b[0] for b in table])
-                band = int(np.searchsorted(lows, n, side="right")) - 1
-                own = [signatures(s, i, table[i][1], table[i][2]) for i in (band, band - 1) if i >= 0]
-                found += own
-                owners.append(np.full(sum(map(len, own)), key[0], np.int64))
-            if not found:
+            flat, offsets = _sets(batch, width)
+            n, names = np.diff(offsets), _digests(flat, offsets)[0]
+            fresh = np.zeros(len(n), bool)
+            for i, name in enumerate(names.tolist()):
+                if n[i] and name not in known:
+                    known.add(name)
+                    fresh[i] = True
+            if len(known) > KNOWN:
+                known.clear()
+            if not fresh.any():
                 continue
+            lows, ks = _table(2 * int(n.max()), num, den)
+            band = np.searchsorted(lows, n, side="right") - 1
+            found, owners = [], []
+            for b in np.unique(band[fresh]).tolist():
+                mine = np.flatnonzero(fresh & (band == b))
+                body = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in mine])
+                ends = np.concatenate([[0], np.cumsum(n[mine])])
+                for other in (b, b - 1):
+                    if other >= 0:
+                        own = signatures(body, ends, other, int(ks[other]))
+                        found.append(own.ravel())
+                        owners.append(np.repeat(names[mine], own.shape[1]))
             sig, owner = np.concatenate(found), np.concatenate(owners)
             if not len(sig):
                 continue
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
+            bucket = ((sig >> np.uint64(8 * SIG)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
+            sig, owner, bucket = _cut(sig[order], SIG), _cut(_short(owner[order]), OWN), bucket[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(starts[1:], len(bucket))
+            cuts = list(zip(starts, np.append(starts[1:], len(bucket)), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts], pa.int64()), pa.array([sig[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
+                [pa.array(bucket[starts], pa.int64()), pa.array([sig[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in cuts], pa.binary())],
                 names=["bucket", "sigs", "owners"],
             )
 
     return docs.mapInArrow(run, "bucket long, sigs binary, owners binary")
 
 
-def _shared_signatures(blobs: DataFrame) -> DataFrame:
-    """(sig, d1) of the signatures that at least two sets have; blobs of one bucket lie in one partition."""
+def _tell(sig: np.ndarray, owner: np.ndarray, told: np.ndarray):
+    """Rows to tell of the signatures with two owners, and the rows to keep: one a signature, told if its group was."""
+    order = np.lexsort((owner, sig))
+    sig, owner, told = sig[order], owner[order], told[order]
+    start = np.ones(len(sig), bool)
+    start[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(start)
+    lows, highs = np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
+    shared = (lows != highs) | np.logical_or.reduceat(told, at)
+    new = np.ones(len(sig), bool)
+    new[1:] = start[1:] | (owner[1:] != owner[:-1])
+    say = np.repeat(shared, np.diff(np.append(at, len(sig)))) & new & ~told
+    return (sig[say], owner[say]), (sig[at], owner[at], shared)
 
-    def run(batches):
-        sigs, owners = [], []
-        for batch in batches:
-            sigs += [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
-            owners += [np.frombuffer(x, np.int64) for x in batch.column("owners").to_pylist()]
-        if not sigs:
-            return
-        sig, owner = np.concatenate(sigs), np.concatenate(owners)
-        del sigs, owners
-        order = np.argsort(sig)
-        sig, owner = sig[order], owner[order]
-        same = np.zeros(len(sig) + 1, bool)
-        same[1:-1] = sig[1:] == sig[:-1]
-        kept = np.flatnonzero(same[1:] | same[:-1])
-        for i in range(0, len(kept), 100_000):
-            at = kept[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(owner[at])], names=["sig", "d1"])
-
-    return blobs.mapInArrow(run, "sig long, d1 long")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, ...) that link: den * intersection >= num * union."""
-    pairs_columns = pairs.columns
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-        .select(*pairs.columns, "x", "y")
-    )
+
+def shared_signatures(blobs: DataFrame) -> DataFrame:
+    """(sig, owner) of the signatures that at least two sets have, a few more than once; blobs of one bucket lie in
+    one partition. A task keeps one row of each signature: a frequent one's rows are told as they come."""
 
     def run(batches):
+        kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
+        rows, held = [], 0
+
+        def told():
+            nonlocal kept, rows, held
+            sig, owner = (np.concatenate([kept[i], *(r[i] for r in rows)]) for i in (0, 1))
+            rows, held = [], 0
+            if not len(sig):
+                return
+            (sig, owner), kept = _tell(sig, owner, np.concatenate([kept[2], np.zeros(len(sig) - len(kept[0]), bool)]))
+            for i in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].view(np.int64)) for x in (sig, owner)], names=["sig", "owner"])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(pairs_columns).filter(pa.array(keep, pa.bool_()))
+            packed = batch.column("sigs").to_pylist()
+            bucket = np.repeat(batch.column("bucket").to_numpy(zero_copy_only=False), [len(x) // SIG for x in packed])
+            sig = _uncut(packed, SIG) | (bucket.astype(np.uint64) << np.uint64(8 * SIG))
+            rows.append((sig, _uncut(batch.column("owners").to_pylist(), OWN)))
+            held += len(sig)
+            if held > max(HELD, len(kept[0])):
+                yield from told()
+        yield from told()
 
-    return both.mapInArrow(run, pairs.schema)
+    return blobs.mapInArrow(run, "sig long, owner long")
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each of x with each of y."""
-    every, code = np.unique(np.concatenate(x + y), return_inverse=True)
-    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    each = x if y is x else x + y
+    code, row = np.concatenate(each), np.repeat(np.arange(len(each)), [len(s) for s in each])
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    shared = ~new  # elements of one set alone meet nothing
+    shared[:-1] |= ~new[1:]
+    row, new = row[shared], new[shared]
+    code = np.cumsum(new) - 1
     out = np.zeros((len(x), len(y)), np.float64)
-    for low in range(0, len(every), COLUMNS):
+    for low in range(0, int(new.sum()), COLUMNS):
         a, b = np.searchsorted(code, [low, low + COLUMNS])
-        held = np.zeros((len(x) + len(y), min(COLUMNS, len(every) - low)), np.float32)
+        held = np.zeros((len(each), int(code[b - 1]) + 1 - low), np.float32)
         held[row[a:b], code[a:b] - low] = 1
-        out += held[: len(x)] @ held[len(x) :].T
+        out += held[: len(x)] @ held[-len(y) :].T
+    if y is x:
+        np.fill_diagonal(out, [len(s) for s in x])
     return out
 
 
+def _links(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    m, n = (np.array([len(s) for s in side], np.float64) for side in (x, y))
+    common = _common(x, y)
+    return den * common >= num * (m[:, None] + n[None, :] - common)
+
+
+def _forest(x: list[np.ndarray], y: list[np.ndarray] | None, names: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set of x and y (all of x, if y is None), the place of one that it is connected with; sets of one
+    name are connected as they are."""
+    link, m = _links(x, x if y is None else y, num, den), len(names)
+    rows, columns = np.nonzero(link)
+    if y is not None:
+        columns = columns + len(x)
+    coded = np.unique(names, return_inverse=True)[1]
+    label = np.arange(m)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rows, label[columns])
+        np.minimum.at(new, columns, label[rows])
+        least = np.full(int(coded.max()) + 1, m)
+        np.minimum.at(least, coded, new)
+        new = np.minimum(new, least[coded])
+        new = np.minimum(new, new[new])
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _by_cell(batches, key: list[str], values: list[str]):
+    """(key, rows) of every cell; rows have the values and the elements. Batches come sorted by cell."""
+    at, rows = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+        own = zip(*(batch.column(c).to_pylist() for c in values), batch.column("elements"), strict=True)
+        for cell, (*value, elements) in zip(keys, own, strict=True):
+            if cell != at:
+                if rows:
+                    yield at, rows
+                at, rows = cell, []
+            rows.append((*value, elements.values.to_numpy().copy()))
+    if rows:
+        yield at, rows
+
+
+def _dealt(cells: DataFrame, key: list[str]) -> DataFrame:
+    return cells.repartition(*key).sortWithinPartitions(*key)
+
+
+def forests(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between components, of spanning forests of the links of each cell; cells: (cell, lo, hi, side,
+    node, component). In a cell whose lo and hi differ, sets of different sides are compared, else all sets."""
+    key = ["cell", "lo", "hi"]
+    mixed = cells.groupBy(*key).agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select(*key)
+    rows = _dealt(cells.join(mixed, key, "left_semi").join(sets.select("node", "elements"), "node"), key)
+
+    def run(batches):
+        for cell, own in _by_cell(batches, key, ["side", "component"]):
+            sides = [[r for r in own if r[0] == 0], [r for r in own if r[0] == 1]] if cell[1] != cell[2] else [own]
+            if not all(sides):
+                continue
+            own = [r for side in sides for r in side]
+            components = np.array([r[1] for r in own], np.int64)
+            label = _forest([r[2] for r in sides[0]], [r[2] for r in sides[1]] if len(sides) > 1 else None, components, num, den)
+            edges = np.unique(np.stack([components, components[label]], 1), axis=0)
+            edges = edges[edges[:, 0] != edges[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _tiles(n: F.Column, elements: F.Column) -> F.Column:
+    return F.ceil(F.greatest(n / TILE, elements / TILE_ELEMENTS, F.lit(1))).cast("int")
+
+
+def tiled(groups: DataFrame, key: str) -> DataFrame:
+    """Cells (cell, lo, hi, side) of groups (key, node, n, ...): a group is cut into tiles, and each pair of tiles
+    is a cell."""
+    tiles = groups.groupBy(key).agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
+    each = groups.join(tiles, key).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    each = each.withColumns({"cell": F.col(key), "lo": F.least("tile", "other"), "hi": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+    return each.drop("tiles", "tile", "other")
+
+
+def balls(pairs: DataFrame) -> DataFrame:
+    """Cells of leaders and those who share a group with them; pairs: (lead, node, n, component). The leader is in
+    each cell of its ball."""
+    sizes = pairs.groupBy("lead").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
+    each = pairs.join(sizes, "lead").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tile = F.explode(F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile")))
+    each = each.withColumn("lo", tile)
+    return each.select(F.col("lead").alias("cell"), "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "node", "component")
+
+
+def enough(live: DataFrame) -> DataFrame:
+    """Of groups (sig, node, need, many, ...), each standing for `many`, those of members that have as many as links need."""
+    able = live.groupBy("node").agg(F.sum("many").alias("have"), F.max("need").alias("need")).where("have >= need").select("node")
+    return live.join(able, "node", "left_semi")
+
+
+def once(live: DataFrame) -> DataFrame:
+    """Of groups (sig, node, need) with the same members one stays, and `many` counts them; groups of one go."""
+    members = live.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("size > 1")
+    kept = members.groupBy("size", "h1", "h2").agg(F.min("sig").alias("sig"), F.count("*").alias("many")).select("sig", "many")
+    return live.select("sig", "node", "need").join(kept, "sig")
+
+
+def settle(live: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """Components (node, component) of the links among members of the same groups (sig, node, need, many); sets:
+    (node, n, elements). None if there are no links."""
+    sizes = sets.select("node", "n")
+    live = scratch.save(live.join(sizes, "node").withColumn("component", F.col("node")), "groups-0")
+    merges = []
+
+    def merged(edges: DataFrame, label: str) -> bool:
+        edges = scratch.save(edges, label)
+        found = not edges.isEmpty()
+        if found:
+            merges.append(connected_components(edges, scratch, f"{label}-cc"))
+        scratch.drop(label)
+        return found
+
+    for i in range(ROUNDS):
+        if live.isEmpty():
+            break
+        weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
+        lead = live.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", F.xxhash64("node").alias("tie"), "node"))["node"].alias("lead"))
+        met = scratch.save(live.join(lead, "sig"), f"met-{i}")
+        found = merged(forests(balls(met.select("lead", "node", "n", "component").distinct()), sets, num, den), f"ball-{i}")
+        rest = met.where("node <> lead").drop("lead")
+        live = scratch.save(enough(unsettled(renamed(rest, merges[-1]) if found else rest)), f"groups-{i + 1}")
+        scratch.drop(f"met-{i}", f"groups-{i}")
+    if not live.isEmpty():
+        merged(forests(tiled(live, "sig"), sets, num, den), "rest")
+    if not merges:
+        return None
+    nodes = reduce(DataFrame.unionByName, [m.select("node") for m in merges]).distinct().withColumn("component", F.col("node"))
+    return scratch.save(reduce(renamed, merges, nodes), "components")
+
+
 def count_links(components: DataFrame, sets: DataFrame, weights: DataFrame, num: int, den: int) -> DataFrame:
     """(node, n_links): the documents of the sets that link with the node's set. components: (node, component),
     sets: (node, n, elements), weights: (node, weight) with the documents of each set."""
     each = sets.select("node", "n").join(components, "node").join(weights, "node")
-    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS)).cast("int")
-    each = each.join(each.groupBy("component").agg(tiles.alias("tiles")), "component")
-    each = each.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    each = each.join(sets.select("node", "elements"), "node")
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cell = ["component", "lo", "hi"]
-    cells = each.select("component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "weight", "elements")
-
-    def compared(key, rows):
-        sides = [[r for r in rows if r[0] == tile] for tile in key[1:]]
-        if not sides[0] or not sides[1]:
-            return []
-        x, y = ([r[3] for r in side] for side in sides)
-        m, n = (np.array([len(s) for s in side], np.float64) for side in (x, y))
-        common = _common(x, y)
-        link = den * common >= num * (m[:, None] + n[None, :] - common)
-        wx, wy = (np.array([r[2] for r in side], np.int64) for side in sides)
-        if key[1] == key[2]:
-            np.fill_diagonal(link, False)
-            return [([r[1] for r in sides[0]], link @ wy)]
-        return [([r[1] for r in sides[0]], link @ wy), ([r[1] for r in sides[1]], link.T @ wx)]
+    key = ["cell", "lo", "hi"]
+    rows = _dealt(tiled(each, "component").select(*key, "side", "node", "weight").join(sets.select("node", "elements"), "node"), key)
 
     def run(batches):
-        key, rows = None, []
-
-        def made():
-            for nodes, counts in compared(key, rows) if rows else []:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["node", "n_links"])
-
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in cell), strict=True)
-            values = zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "weight")), batch.column("elements"), strict=True)
-            for own, (tile, node, weight, elements) in zip(keys, values, strict=True):
-                if own != key:
-                    yield from made()
-                    key, rows = own, []
-                rows.append((tile, node, weight, elements.values.to_numpy().copy()))
-        yield from made()
+        for cell, own in _by_cell(batches, key, ["side", "node", "weight"]):
+            sides = [[r for r in own if r[0] == 0], [r for r in own if r[0] == 1]] if cell[1] != cell[2] else [own, own]
+            if not all(sides):
+                continue
+            x = [r[3] for r in sides[0]]
+            link = _links(x, x if sides[0] is sides[1] else [r[3] for r in sides[1]], num, den)
+            nodes, weight = ([np.array([r[i] for r in side], np.int64) for side in sides] for i in (1, 2))
+            if cell[1] == cell[2]:
+                np.fill_diagonal(link, False)
+            counts = [link @ weight[1], link.T @ weight[0]]
+            for side in range(1 if cell[1] == cell[2] else 2):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[side]), pa.array(counts[side])], names=["node", "n_links"])
 
-    counts = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "node long, n_links long")
-    return counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return rows.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, counted: bool = True) -> DataFrame:
@@ -266,31 +447,35 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
 
-    rows = scratch.save(set_digests(docs, width), "digests")
-    first = rows.groupBy("doc").agg(F.min(F.struct("n_shingles", "d1", "d2")).alias("s")).select("doc", "s.*")
+    rows = scratch.save(set_digests(docs, width, num, den), "digests")
+    first = rows.groupBy("doc").agg(F.min(F.struct("n_shingles", "d1", "d2", "need")).alias("s")).select("doc", "s.*")
     sets = first.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("rep"))
-    member = scratch.save(first.join(sets, ["n_shingles", "d1", "d2"], "left").select("doc", "n_shingles", "d1", "d2", F.coalesce("rep", "doc").alias("rep")), "members")
+    member = scratch.save(first.join(sets, ["n_shingles", "d1", "d2"], "left").select("doc", "n_shingles", "d1", "d2", "need", F.coalesce("rep", "doc").alias("rep")), "members")
     scratch.drop("digests")
-
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_signatures(_signature_blobs(docs, width, num, den, buckets).repartition("bucket"))
-    shared = scratch.save(shared, "shared")
-    grouped = shared.join(member.where("doc = rep AND n_shingles > 0").select("d1", F.col("rep").alias("node")), "d1").select("sig", "node").distinct()
-    size = grouped.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    live = scratch.save(grouped.join(size, "sig"), "live")
-    scratch.drop("shared")
+    reps = member.where("doc = rep AND n_shingles > 0")
+
+    elements = reps.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(elements * per_element(num, den) / HELD) + 1)
+    shared = scratch.save(shared_signatures(signature_blobs(docs, width, num, den, buckets).repartition(buckets, "bucket")), "shared")
+    named = reps.select(F.expr(f"d1 & {(1 << 8 * OWN) - 1}L").alias("owner"), F.col("rep").alias("node"), "need")
+    groups = shared.join(named, "owner").select("sig", "node", "need").distinct().withColumn("many", F.lit(1).cast("long"))
+    live = scratch.save(enough(groups), "able")
+    live = scratch.save(once(live), "once")
+    live = scratch.save(enough(live), "live")
+    scratch.drop("shared", "able", "once")
     candidates = member.select("doc", "d1", "d2").join(live.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
 
-    def elements(batches):
+    def sets_of(batches):
         for batch in _pieces(batches):
-            sets = _sets(batch, width)
-            own = pa.array([_digest(s) == key for s, key in zip(sets, zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist()), strict=True)], pa.bool_())
-            columns = [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"]).filter(own)
+            flat, offsets = _sets(batch, width)
+            d1, d2 = _digests(flat, offsets)
+            own = (d1 == batch.column("d1").to_numpy(zero_copy_only=False)) & (d2 == batch.column("d2").to_numpy(zero_copy_only=False))
+            columns = [batch.column("doc"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"]).filter(pa.array(own))
 
-    found = scratch.save(docs.join(candidates, "doc").mapInArrow(elements, "node long, n long, elements array<long>").dropDuplicates(["node"]), "sets")
+    found = scratch.save(docs.join(candidates, "doc").mapInArrow(sets_of, "node long, n long, elements array<long>").dropDuplicates(["node"]), "sets")
 
-    _, components = link_groups(live, found, lambda pairs: _verify(pairs, found, num, den), num, den, scratch)
+    components = settle(live, found, num, den, scratch)
     if not counted:
         groups = member.select(F.col("doc").alias(id_col), "n_shingles", "rep")
         if components is None:

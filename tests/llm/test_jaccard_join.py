@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import jaccard_join
-from millrace.llm.jaccard_join import bands, jaccard_components, signatures
+from millrace.llm.jaccard_join import _tell, bands, jaccard_components, need, plan, signatures
 
 
 def shingle_set(text, w):
@@ -47,8 +47,9 @@ def corpus(rng, n_base, n, common):
     return rows
 
 
-@pytest.mark.parametrize("w,num,seed", [(3, 90, 0), (5, 80, 1)])
-def test_equals_brute_force(spark, w, num, seed):
+@pytest.mark.parametrize("w,num,seed,tile", [(3, 90, 0, 512), (5, 80, 1, 512), (5, 80, 2, 5)])
+def test_equals_brute_force(spark, monkeypatch, w, num, seed, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
     rows = corpus(np.random.default_rng(seed), 60, 260, 0.4)
     assert run(spark, rows, w, num) == brute(rows, w, num, 100)
 
@@ -75,11 +76,16 @@ def test_odd_rows(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def offsets(sets):
+    return np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
 @pytest.mark.parametrize("num", [80, 90])
-def test_similar_sets_share_a_signature(num):
+def test_similar_sets_share_signatures(num):
+    """As many as `need` says, of the smaller set's band: what leaves a candidate out for having fewer relies on it."""
     rng = np.random.default_rng(num)
-    table = bands(3000, num, 100)
-    for _ in range(400):
+    table, least = bands(3000, num, 100), 99
+    for _ in range(600):
         n = int(rng.integers(1, 700))
         common = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
         spare = n * (100 - num) // num
@@ -92,7 +98,35 @@ def test_similar_sets_share_a_signature(num):
         at = [next(i for i, b in enumerate(table) if b[0] <= len(s) <= b[1]) for s in (x, y)]
         assert at[1] - at[0] in (0, 1)
         b = at[0]
-        assert np.intersect1d(signatures(x, b, *table[b][1:]), signatures(y, b, *table[b][1:])).size
+        both = signatures(np.concatenate([x, y]), offsets([x, y]), b, table[b][2])
+        shared = np.intersect1d(both[0], both[1]).size
+        assert shared >= need(table[b][2])
+        least = min(least, shared - need(table[b][2]))
+    assert least < 3
+
+
+def test_plans_cover_the_differences():
+    for k in [*range(1, 200), 1_000, 5_000]:
+        n1, n2, k2 = plan(k)
+        assert (n1 - need(k) + 1) * (k2 + 1) > k and 0 <= k2 < n2
+        assert k2
+
+
+def test_frequent_signatures_are_told_as_they_come(monkeypatch):
+    """One signature of most rows, in many small batches: a task keeps a row of it, and no owner is lost."""
+    rng = np.random.default_rng(0)
+    sig = np.where(rng.random(3_000) < 0.7, 7, rng.integers(0, 1_000, 3_000)).astype(np.uint64)
+    owner = rng.integers(0, 900, 3_000).astype(np.uint64)
+    kept, told = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)), set()
+    for i in range(0, 3_000, 100):
+        both = [np.concatenate([k, x[i : i + 100]]) for k, x in zip(kept, (sig, owner))]
+        said, kept = _tell(*both, np.concatenate([kept[2], np.zeros(100, bool)]))
+        told |= set(zip(*(x.tolist() for x in said)))
+        assert len(kept[0]) == len(set(sig[: i + 100].tolist()))
+    owners = {}
+    for s, o in zip(sig.tolist(), owner.tolist()):
+        owners.setdefault(s, set()).add(o)
+    assert told == {(s, o) for s, own in owners.items() if len(own) > 1 for o in own}
 
 
 @pytest.mark.parametrize("tile", [128, 5])
