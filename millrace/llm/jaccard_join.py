@@ -9,10 +9,11 @@ in a part with few differences one of those subsets has none. `plan` chooses n1,
 `need` - 1 more parts than the pigeonhole principle asks for, so that similar sets share `need` signatures at
 least; sets that share fewer with all others have no links and leave before anything is compared.
 
-Copies (equal sets) collapse first. A signature's group is not expanded into pairs: in ROUNDS rounds, each group
-has a leader, the member of the most groups, and the sets that share a group with a leader form its ball. Balls,
-and in the end the groups whose members are still in several components, are cut into cells of bounded size, in
-which sets are compared as products of incidence matrices; of a cell only the edges of a spanning forest come out.
+Copies (equal sets) collapse first. A signature's group is not expanded into pairs: each group has a leader, the
+member of the most groups, and the sets that share a group with a leader form its ball, which holds the group.
+Balls are cut into cells of bounded size. In a cell, sketches of a few bits an element tell which sets may link at
+all, and these are compared as products of incidence matrices; of a cell only the edges of a spanning forest come out. Balls of several cells are compared with their leader and inside
+each cell first, and where the members of a group are still in several components then, in all pairs of cells.
 Exact set arithmetic decides. All links lie inside the components that this finds and are counted there, in cells
 as well: rows grow with the size of a component over TILE, and only arithmetic with its square.
 
@@ -37,9 +38,9 @@ from millrace.llm.textops import hash_strings, mix, salt, shingles, slices, spli
 
 #: Signatures that any set may have in a band; elements that may differ for each signature more that similar sets
 #: must share.
-LEAST, SPARE = 24, 20
+LEAST, SPARE = 24, 12
 #: Sets and elements that a cell should hold on a side, and columns of an incidence matrix.
-TILE, TILE_ELEMENTS, COLUMNS, ROUNDS = 512, 1_000_000, 4_096, 2
+TILE, TILE_ELEMENTS, COLUMNS = 512, 1_000_000, 4_096
 #: Rows of signatures that a task should hold, copies that it knows, and bytes of a signature and of its owner.
 HELD, KNOWN, SIG, OWN = 3_000_000, 200_000, 5, 6
 
@@ -303,22 +304,67 @@ def _forest(x: list[np.ndarray], y: list[np.ndarray] | None, names: np.ndarray,
         label = new
 
 
-def _by_cell(batches, key: list[str], values: list[str]):
-    """(key, rows) of every cell; rows have the values and the elements. Batches come sorted by cell."""
+def _by_cell(batches, key: list[str], values: list[str], what: str = "elements"):
+    """(key, rows) of every cell; rows have the values, and elements or a sketch. Batches come sorted by cell."""
     at, rows = None, []
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
-        own = zip(*(batch.column(c).to_pylist() for c in values), batch.column("elements"), strict=True)
-        for cell, (*value, elements) in zip(keys, own, strict=True):
+        own = zip(*(batch.column(c).to_pylist() for c in values), batch.column(what), strict=True)
+        for cell, (*value, held) in zip(keys, own, strict=True):
             if cell != at:
                 if rows:
                     yield at, rows
                 at, rows = cell, []
-            rows.append((*value, elements.values.to_numpy().copy()))
+            rows.append((*value, held.as_py() if what == "sketch" else held.values.to_numpy().copy()))
     if rows:
         yield at, rows
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Whether the number of elements that fall to each bit is odd; at least two bits an element, a power of two."""
+    bits = 64 << max(0, int(2 * len(elements) - 1).bit_length() - 6)
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(x: list[tuple[bytes, int]], y: list[tuple[bytes, int]], num: int, den: int) -> np.ndarray:
+    """Pairs of (sketch, size) that may link: two sets differ in as many elements as their sketches do in bits, at
+    least. A longer sketch folds to the length of a shorter one."""
+    size, width = np.array([n for _, n in [*x, *y]], np.float64), min(len(s) for s, _ in [*x, *y])
+    bits = []
+    for data, _ in [*x, *y]:
+        own = np.frombuffer(data, np.uint64)
+        while len(own) > width // 8:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        bits.append(own)
+    bits, out = np.stack(bits), np.zeros((len(x), len(y)), bool)
+    for i in range(len(x)):
+        apart = np.bitwise_count(bits[len(x) :] ^ bits[i]).sum(axis=1)
+        other = size[len(x) :]
+        out[i] = (apart * (den + num) <= (size[i] + other) * (den - num)) & (den * np.minimum(size[i], other) >= num * np.maximum(size[i], other))
+    return out
+
+
+def with_partners(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of cells (cell, lo, hi, side, node, component) that may link with one of another component there."""
+    key = ["cell", "lo", "hi"]
+    rows = _dealt(cells.select(*key, "side", "node", "component").join(sets.select("node", "n", "sketch"), "node"), key)
+
+    def run(batches):
+        for cell, own in _by_cell(batches, key, ["side", "node", "component", "n"], "sketch"):
+            sides = [[r for r in own if r[0] == 0], [r for r in own if r[0] == 1]] if cell[1] != cell[2] else [own, own]
+            if not all(sides):
+                continue
+            component = [np.array([r[2] for r in side], np.int64) for side in sides]
+            near = may_link(*([(r[4], r[3]) for r in side] for side in sides), num, den) & (component[0][:, None] != component[1][None, :])
+            kept = [r for i, side in enumerate(sides[: 2 - (cell[1] == cell[2])]) for r, any_near in zip(side, near.any(axis=1 - i), strict=True) if any_near]
+            columns = [*([value] * len(kept) for value in cell), *([r[i] for r in kept] for i in range(3))]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*key, "side", "node", "component"])
+
+    return rows.mapInArrow(run, "cell long, lo int, hi int, side int, node long, component long")
+
+
 def _dealt(cells: DataFrame, key: list[str]) -> DataFrame:
     return cells.repartition(*key).sortWithinPartitions(*key)
 
@@ -327,8 +373,7 @@ def forests(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between components, of spanning forests of the links of each cell; cells: (cell, lo, hi, side,
     node, component). In a cell whose lo and hi differ, sets of different sides are compared, else all sets."""
     key = ["cell", "lo", "hi"]
-    mixed = cells.groupBy(*key).agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select(*key)
-    rows = _dealt(cells.join(mixed, key, "left_semi").join(sets.select("node", "elements"), "node"), key)
+    rows = _dealt(with_partners(cells, sets, num, den).join(sets.select("node", "elements"), "node"), key)
 
     def run(batches):
         for cell, own in _by_cell(batches, key, ["side", "component"]):
@@ -360,15 +405,22 @@ def tiled(groups: DataFrame, key: str) -> DataFrame:
 
 
 def balls(pairs: DataFrame) -> DataFrame:
-    """Cells of leaders and those who share a group with them; pairs: (lead, node, n, component). The leader is in
-    each cell of its ball."""
-    sizes = pairs.groupBy("lead").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
-    each = pairs.join(sizes, "lead").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tile = F.explode(F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile")))
-    each = each.withColumn("lo", tile)
+    """Cells of leaders and those who share a group with them; pairs: (lead, node, tiles, component). The leader is
+    in each cell of its ball."""
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    each = pairs.withColumn("lo", F.explode(F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(tile))))
     return each.select(F.col("lead").alias("cell"), "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "node", "component")
 
 
+def led(live: DataFrame) -> DataFrame:
+    """live with the leader of each group (the member of the most groups) and the tiles of the leader's ball."""
+    weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
+    lead = live.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", F.xxhash64("node").alias("tie"), "node"))["node"].alias("lead"))
+    met = live.join(lead, "sig")
+    sizes = met.select("lead", "node", "n").distinct().groupBy("lead").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
+    return met.join(sizes, "lead")
+
+
 def enough(live: DataFrame) -> DataFrame:
     """Of groups (sig, node, need, many, ...), each standing for `many`, those of members that have as many as links need."""
     able = live.groupBy("node").agg(F.sum("many").alias("have"), F.max("need").alias("need")).where("have >= need").select("node")
@@ -397,18 +449,17 @@ def settle(live: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratc
         scratch.drop(label)
         return found
 
-    for i in range(ROUNDS):
-        if live.isEmpty():
-            break
-        weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
-        lead = live.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", F.xxhash64("node").alias("tie"), "node"))["node"].alias("lead"))
-        met = scratch.save(live.join(lead, "sig"), f"met-{i}")
-        found = merged(forests(balls(met.select("lead", "node", "n", "component").distinct()), sets, num, den), f"ball-{i}")
-        rest = met.where("node <> lead").drop("lead")
-        live = scratch.save(enough(unsettled(renamed(rest, merges[-1]) if found else rest)), f"groups-{i + 1}")
-        scratch.drop(f"met-{i}", f"groups-{i}")
+    met = scratch.save(led(live), "met")
+    scratch.drop("groups-0")
+    ball = met.select("lead", "node", "n", "tiles", "component").distinct()
+    found = merged(forests(balls(ball), sets, num, den), "balls")
+    # of a ball in one cell all pairs have been compared, and so have those of all groups that it leads
+    rest = met.where("tiles > 1 AND node <> lead").drop("lead", "tiles")
+    live = scratch.save(enough(unsettled(renamed(rest, merges[-1]) if found else rest)), "groups-1")
+    scratch.drop("met")
     if not live.isEmpty():
-        merged(forests(tiled(live, "sig"), sets, num, den), "rest")
+        ball = led(live).select("lead", "node", "n", "component").distinct()
+        merged(forests(tiled(ball, "lead"), sets, num, den), "rest")
     if not merges:
         return None
     nodes = reduce(DataFrame.unionByName, [m.select("node") for m in merges]).distinct().withColumn("component", F.col("node"))
@@ -470,10 +521,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             flat, offsets = _sets(batch, width)
             d1, d2 = _digests(flat, offsets)
             own = (d1 == batch.column("d1").to_numpy(zero_copy_only=False)) & (d2 == batch.column("d2").to_numpy(zero_copy_only=False))
-            columns = [batch.column("doc"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"]).filter(pa.array(own))
+            sketches = pa.array([sketch(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            columns = [batch.column("doc"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))), sketches]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements", "sketch"]).filter(pa.array(own))
 
-    found = scratch.save(docs.join(candidates, "doc").mapInArrow(sets_of, "node long, n long, elements array<long>").dropDuplicates(["node"]), "sets")
+    found = scratch.save(docs.join(candidates, "doc").mapInArrow(sets_of, "node long, n long, elements array<long>, sketch binary").dropDuplicates(["node"]), "sets")
 
     components = settle(live, found, num, den, scratch)
     if not counted:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import jaccard_join
-from millrace.llm.jaccard_join import _tell, bands, jaccard_components, need, plan, signatures
+from millrace.llm.jaccard_join import _tell, bands, jaccard_components, may_link, need, plan, signatures, sketch
 
 
 def shingle_set(text, w):
@@ -105,6 +105,24 @@ def test_similar_sets_share_signatures(num):
     assert least < 3
 
 
+def test_sketches_lose_no_link():
+    rng, sets = np.random.default_rng(3), []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 400) if len(sets) < 40 else rng.integers(150, 250)), dtype=np.uint64)
+        for _ in range(4):
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    own = [(sketch(s), len(s)) for s in sets]
+    near = may_link(own, own, 80, 100)
+    common = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    sizes = np.array([len(s) for s in sets])
+    link = 100 * common >= 80 * (sizes[:, None] + sizes[None, :] - common)
+    assert not (link & ~near).any()
+    own, link = own[60:], link[60:, 60:]  # sketches of much smaller sets would be short
+    near = may_link(own, own, 80, 100)
+    assert not (link & ~near).any() and link.sum() > 300 and near.sum() < 2 * link.sum()
+
+
 def test_plans_cover_the_differences():
     for k in [*range(1, 200), 1_000, 5_000]:
         n1, n2, k2 = plan(k)
