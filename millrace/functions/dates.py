@@ -11,7 +11,7 @@ MONTHS = ["январь", "февраль", "март", "апрель", "май"
 
 def iso(value: Column) -> Column:
     """The date of a YYYY-MM-DD text, else null."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, F.lit("yyyy-MM-dd")))
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd"))
 
 
 def business_days(start: Column, end: Column) -> Column:
@@ -89,3 +89,14 @@ def documents_valid(documents: Column, today: Column) -> Column:
         return F.coalesce(d["unlimited"], F.lit(False)) | F.when(d["category"].isin("certificate", "permit"), dated).otherwise(d["expires"].isNull() | dated)
 
     return (F.size(documents) > 0) & F.forall(documents, valid)
+
+
+def period_end(value: Column) -> Column:
+    """(end, open): the date of a period's end (of a month, its first), or open for one that lasts ("н.в.")."""
+    lasts = F.coalesce(value.rlike(r"(?iu)н\.?\s*в\.?"), F.lit(False))
+    return F.struct(F.when(~lasts, F.try_to_date(F.nullif(any_date(value), F.lit("")), "yyyy-MM-dd")).alias("end"), lasts.alias("open"))
+
+
+def backup_due(last: Column, now: Column, hours: Column) -> Column:
+    """Whether `hours` have passed since the last backup; never without a period or a last backup."""
+    return F.coalesce((hours > 0) & (F.unix_timestamp(now) - F.unix_timestamp(last) >= hours * 3600), F.lit(False))

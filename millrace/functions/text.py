@@ -134,3 +134,30 @@ def tone(status: Column, tones: dict[str, str], default: str = "neutral") -> Col
     """Looks a status up in a fixed map."""
     found = F.create_map(*[F.lit(x) for pair in tones.items() for x in pair])
     return F.coalesce(F.element_at(found, status), F.lit(default))
+
+
+def safe_file_name(value: Column, other: str = "закупка") -> Column:
+    """Runs of what is neither letter, digit, dot, underscore, blank nor hyphen become one underscore."""
+    name = F.trim(F.regexp_replace(text(value), r"[^\p{L}\p{N}._ -]+", "_"))
+    return F.when(name == "", other).otherwise(name)
+
+
+def block_name(value: Column) -> Column:
+    """Name of an output file: no .pdf at the end, none of the characters that file systems refuse, single blanks."""
+    bare = F.regexp_replace(F.trim(text(value)), r"(?i)\.pdf$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "), r"[. ]+$", "")
+
+
+def rubles(value: Column) -> Column:
+    """Whole rubles with no-break spaces between thousands."""
+    return F.concat(F.translate(F.format_number(F.floor(value + 0.5), 0), ",", "\u00a0"), F.lit("\u00a0₽"))
+
+
+def fnv1a(value: Column) -> Column:
+    """32 bits over the UTF-16 units of a text, as a hexadecimal text without leading zeros."""
+    units = F.encode(value, "UTF-16BE")
+    at = F.when(F.length(units) > 0, F.sequence(F.lit(1), F.greatest(F.length(units) - 1, F.lit(1)), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    unit = lambda i: F.conv(F.hex(F.substring(units, i, F.lit(2))), 16, 10).cast("long")
+    mask = F.lit(0xFFFFFFFF)
+    folded = F.aggregate(at, F.lit(2_166_136_261).cast("long"), lambda h, i: (h.bitwiseXOR(unit(i)) * F.lit(16_777_619)).bitwiseAND(mask))
+    return F.lower(F.hex(folded))

@@ -61,13 +61,15 @@ def rebid_ladder(df: DataFrame, start: Column, cost: Column, steps: int, percent
     return out.withColumn("reduction", start - F.col("price")).withColumn("margin", safe_ratio(F.col("profit"), F.col("price")) * 100).withColumn("loss", F.col("profit") < 0)
 
 
-def scenario_financials(gross: Column, rate: Column, costs: Column, partner_share: Column, minimum: Column) -> Column:
-    """Net price, VAT, full cost, profit, margin, markup and headroom; null for a VAT rate outside 0..100."""
+def scenario_financials(gross: Column, rate: Column, costs: Column, partner_share: Column, minimum: Column, strict: bool = False) -> Column:
+    """Net price, VAT, full cost, profit, margin, markup and headroom; null for a VAT rate outside 0..100, or an error
+    if `strict`."""
     net = gross / (1 + rate / 100)
     full = costs + net * F.greatest(F.lit(0.0), partner_share) / 100
     profit = net - full
     fields = {"net": net, "vat": gross - net, "full_cost": full, "profit": profit, "margin": safe_ratio(profit, net) * 100, "markup": safe_ratio(profit, full) * 100, "headroom": gross - minimum}
-    return F.when(rate.between(0, 100), F.struct(*[v.alias(k) for k, v in fields.items()]))
+    found = F.when(rate.between(0, 100), F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return found.otherwise(F.raise_error(F.lit("a VAT rate must be from 0 to 100 percent"))) if strict else found
 
 
 def go_no_go(df: DataFrame, keys: list[str]) -> DataFrame:
