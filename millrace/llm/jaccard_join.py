@@ -454,8 +454,9 @@ def settle(live: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratc
     ball = met.select("lead", "node", "n", "tiles", "component").distinct()
     found = merged(forests(balls(ball), sets, num, den), "balls")
     # of a ball in one cell all pairs have been compared, and so have those of all groups that it leads
-    rest = met.where("tiles > 1 AND node <> lead").drop("lead", "tiles")
-    live = scratch.save(enough(unsettled(renamed(rest, merges[-1]) if found else rest)), "groups-1")
+    rest = met.where("node <> lead").drop("lead")
+    rest = unsettled(renamed(rest, merges[-1]) if found else rest).where("tiles > 1").drop("tiles")
+    live = scratch.save(enough(rest), "groups-1")
     scratch.drop("met")
     if not live.isEmpty():
         ball = led(live).select("lead", "node", "n", "component").distinct()
