@@ -1,37 +1,43 @@
 """Line deduplication: near copies of lines by MinHash, in DataFrame and SQL functions alone.
 
-Lines that are equal collapse first. A distinct line's set holds the hashes of its character shingles. One hash a
-shingle serves all of the signature: the hash domain is cut into GROUPS * ROWS bins and the least hash of each
-bin is a signature value, equal for two lines with the probability of their Jaccard similarity (a bin without
-hashes is a value as well). ROWS bins make a band, and each bin is in two bands, so there are 2 * GROUPS; lines
-that agree in a band are candidates, which at similarity 0.8 misses about 8 in 1,000 links, at 0.85 one or two.
-Candidates are verified by exact set arithmetic and linked lines are united; of each component the first
-occurrence, by document and line, stays.
-
-Shingles are exploded, hashed and reduced by generated code, and as the distinct lines are dealt by their
-hash, a line's signature is reduced where it is made. A common line is one row before any join; its
-occurrences meet the decision in a join whose large side can be split.
-
-Defined results: lines end at line feeds; blank lines (spaces and tabs at most) stay where they are and are
-compared with nothing. A line shorter than a shingle is a set of its own and has only equal copies. Lines are
-known by 64-bit hashes. A null text stays null and has no lines. Rows that repeat an id keep and lose the same
-lines. A null id comes before all others. An empty table gives no rows. Extra columns are carried.
+A line's set holds the hashes of its distinct character shingles. Its signature has BANDS values: the hash domain is
+a circle with BANDS starts, and a band is the ROWS least hashes from its start on, which two lines share with about
+the ROWS-th power of their Jaccard similarity (sets with less than ROWS shingles are a band as they are). Lines that
+agree in a band are candidates: of links at similarity 0.8 about 5 in 1,000 are missed, at 0.85 a tenth of that.
+Candidates are verified by exact arithmetic on the whole sets and linked lines are united; of each component the
+first occurrence, by document and line, stays.
+
+Signatures are made inside the row where a line is read, so lines are shuffled without their text; only
+candidates have theirs shuffled. Equal lines are one row before any join. A band's group is not expanded into
+pairs: in ROUNDS rounds one leader of each group, the member whose hash comes first, is compared with the others
+and leaves the group; groups whose members share one component are settled. The rest is cut into tiles of about
+TILE lines or TILE_CHARS characters, and pairs of tiles are compared inside one row each, which gives the
+components that link and no pairs of lines.
+
+Defined results: lines end at line feeds; blank lines (spaces, tabs and carriage returns at most) stay where they
+are and are compared with nothing. A line shorter than a shingle has only equal copies. Equal lines are known by
+two 64-bit hashes; different lines that share the first one are compared with nothing. A null text stays null and
+has no lines. Rows that repeat an id keep and lose the same lines. A null id comes before all others. An empty
+table gives no rows. Extra columns are carried.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, link_groups
+from millrace.llm.common import Scratch, connected_components, renamed, unsettled
 
-GROUPS, ROWS, CHUNK, PIECE = 8, 5, 256, 16
+BANDS, ROWS, ROUNDS, TILE, TILE_CHARS = 10, 4, 2, 128, 250_000
+CHUNK, PIECE = 256, 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h) of every line that isn't blank."""
     found = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return found.where(F.trim(F.translate("line", "\t\r", "  ")) != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"))
+    return found.where(F.col("line").rlike(r"[^ \t\r]")).withColumn("h", F.xxhash64("line"))
 
 
 def _cut(value: F.Column, step: int, width: int) -> F.Column:
@@ -39,70 +45,129 @@ def _cut(value: F.Column, step: int, width: int) -> F.Column:
     return F.transform(starts, lambda c: F.substring(value, c * step + 1, F.lit(step + width - 1)))
 
 
-def pieces(line: str, width: int) -> F.Column:
+def pieces(line: F.Column, width: int) -> F.Column:
     """The line in pieces of PIECE shingles, cut in two steps, as taking a substring counts from the start of the
     text and to its end."""
-    return F.flatten(F.transform(_cut(F.col(line), CHUNK, width), lambda p: _cut(p, PIECE, width)))
-
+    return F.flatten(F.transform(_cut(line, CHUNK, width), lambda p: _cut(p, PIECE, width)))
 
-def bands(lines: DataFrame, width: int) -> DataFrame:
-    """(node, sig) of every band of the lines (h, line), which should be dealt by h."""
-    n_bins = GROUPS * ROWS
-    cut = lines.select("h", F.explode(pieces("line", width)).alias("piece"))
-    at = cut.select("h", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (width - 1), F.lit(1)))).alias("i"))
-    # every shingle counts: a long line may have few distinct ones, so no hash can be passed over by the line's length
-    x = at.select("h", F.xxhash64(F.substring("piece", F.col("i"), F.lit(width))).alias("x"))
-    x = x.select("h", F.shiftrightunsigned("x", 8).alias("u"), F.pmod("x", F.lit(n_bins)).alias("bin"))
-    least = x.groupBy("h").agg(*[F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"m{k}") for k in range(n_bins)])
-    layouts = [[ROWS * g + r for r in range(ROWS)] for g in range(GROUPS)] + [[g + GROUPS * r for r in range(ROWS)] for g in range(GROUPS)]
-    sigs = [F.when(F.coalesce(*[F.col(f"m{k}") for k in own]).isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"m{k}") for k in own])) for i, own in enumerate(layouts)]
-    return least.select(F.col("h").alias("node"), F.explode(F.array_compact(F.array(*sigs))).alias("sig"))
 
+def shingle_set(line: F.Column, width: int) -> F.Column:
+    """The sorted hashes of a line's distinct shingles."""
 
-def shingle_set(line: str, width: int) -> F.Column:
     def of(piece):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(piece) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(piece, i, F.lit(width))))
 
-    return F.array_distinct(F.flatten(F.transform(pieces(line, width), of)))
-
-
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(pieces(line, width), of))))
+
+
+def signed(lines: DataFrame, width: int) -> DataFrame:
+    """lines with `sigs`, the value of each band; none for lines shorter than a shingle."""
+    starts = [(2**64 // BANDS) * b - 2**63 for b in range(BANDS)]
+    own = lines.withColumn("own", F.when(F.length("line") >= width, shingle_set(F.col("line"), width)))
+    # the hashes before each start, by where the start falls among them
+    marked = own.withColumns({"marked": F.sort_array(F.concat("own", F.array(*[F.lit(s) for s in starts]))), "around": F.concat("own", F.slice("own", 1, ROWS))})
+    sigs = [F.xxhash64(F.lit(b), F.slice("around", (F.array_position("marked", F.lit(s)) - b).cast("int"), ROWS)) for b, s in enumerate(starts)]
+    return marked.withColumn("sigs", F.when(F.col("own").isNotNull(), F.array(*sigs))).drop("own", "marked", "around")
+
+
+def _agree(common: F.Column, sizes: F.Column, num: int, den: int) -> F.Column:
+    return (den + num) * common >= num * sizes
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The components (a, b) of the pairs (node, lead, component, c_lead) of lines that link."""
+    sides = [texts.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line")) for c in ("node", "lead")]
+    both = pairs.join(sides[0], "node").join(sides[1], "lead")
+    x, y = (shingle_set(F.col(f"{c}_line"), width) for c in ("node", "lead"))
+    linked = both.withColumns({"x": x, "y": y}).where(_agree(F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), num, den))
+    return linked.select(F.col("component").alias("a"), F.col("c_lead").alias("b"))
+
+
+def compared_in_tiles(live: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The components (a, b) that links between members of the groups (sig, node, n, component) connect; n is a line's length."""
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_CHARS, F.lit(1))).cast("int")
+    each = live.join(live.groupBy("sig").agg(tiles.alias("tiles")), "sig").join(texts.select("node", "line"), "node")
+    each = each.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # a tile holds about TILE lines
+    packed = each.groupBy("sig", "tile", "tiles").agg(F.collect_list(F.struct("component", "line")).alias("lines"))
+    meet = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    meet = meet.select("sig", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "lines")
+    cells = meet.groupBy("sig", "lo", "hi").agg(F.collect_list("lines").alias("sides"))
+    sides = [F.transform(F.element_at("sides", i), lambda r: F.struct(r["component"].alias("component"), shingle_set(r["line"], width).alias("own"))) for i in (1, -1)]
+
+    def fits(a, b):
+        near = (den * F.least(F.size(a["own"]), F.size(b["own"])) >= num * F.greatest(F.size(a["own"]), F.size(b["own"]))) & (a["component"] != b["component"])
+        return near & _agree(F.size(F.array_intersect(a["own"], b["own"])), F.size(a["own"]) + F.size(b["own"]), num, den)
+
+    def meets(a):
+        return F.transform(F.array_distinct(F.transform(F.filter("y", lambda b: fits(a, b)), lambda b: b["component"])), lambda c: F.struct(a["component"].alias("a"), c.alias("b")))
+
+    edges = cells.select(sides[0].alias("x"), sides[1].alias("y")).select(F.array_distinct(F.flatten(F.transform("x", meets))).alias("edges"))
+    return edges.select(F.inline("edges"))
+
+
+def line_components(live: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """Components (node, component) of the links among lines that share a group (sig, node, n); None without links."""
+    live, merges = live.withColumn("component", F.col("node")), []
+
+    def merged(edges: DataFrame, label: str) -> bool:
+        edges = scratch.save(edges, label)
+        found = not edges.isEmpty()
+        if found:
+            merges.append(connected_components(edges, scratch, f"{label}-cc"))
+        scratch.drop(label)
+        return found
+
+    for i in range(ROUNDS):
+        if live.isEmpty():
+            break
+        first = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("place"), "node", "component"))
+        lead = live.groupBy("sig").agg(first.alias("m")).select("sig", F.col("m.node").alias("lead"), F.col("m.component").alias("c_lead"))
+        met = scratch.save(live.join(lead, "sig").where("node <> lead"), f"met-{i}")
+        pairs = met.where("component <> c_lead").select("node", "lead", "component", "c_lead").distinct()
+        found = merged(verified(pairs, texts, width, num, den), f"led-{i}")
+        rest = met.drop("lead", "c_lead")
+        live = scratch.save(unsettled(renamed(rest, merges[-1]) if found else rest), f"groups-{i}")
+        scratch.drop(f"met-{i}", f"groups-{i - 1}")
+    if not live.isEmpty():
+        merged(compared_in_tiles(live, texts, width, num, den), "rest")
+    if not merges:
+        return None
+    nodes = reduce(DataFrame.unionByName, [m.select("node") for m in merges]).distinct().withColumn("component", F.col("node"))
+    return scratch.save(reduce(renamed, merges, nodes), "components")
 
 
 def duplicate_lines(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no) of every line that goes: all of a component but its first occurrence."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = docs.select("doc_id", "text")
-    distinct = lines_of(docs).groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    distinct = distinct.withColumn("size", F.greatest(F.length("line") - (width - 1), F.lit(1)))
-    distinct = scratch.save(distinct, "distinct")
-
-    # the signatures follow a new deal by h, which carries the text once and serves the reduction
-    signed = bands(distinct.where(F.length("line") >= width).select("h", "line").repartition("h"), width)
-    signed = scratch.save(signed, "bands")
-    shared = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    live = scratch.save(signed.join(shared, "sig"), "live")
-    scratch.drop("bands")
+    twin = F.xxhash64(F.lit(1), "line").alias("h2")
+    each = signed(lines_of(docs), width).select("h", twin, "sigs", F.struct("doc_id", "line_no").alias("at"))
+    distinct = scratch.save(each.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count("*").alias("many"), F.first("sigs").alias("sigs")), "distinct")
 
+    every = distinct.select(F.col("h").alias("node"), F.explode("sigs").alias("sig"))
+    shared = every.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
+    live = scratch.save(every.join(shared, "sig"), "live")
     nodes = live.select(F.col("node").alias("h")).distinct()
-    sets = distinct.select("h", "line").join(nodes, "h", "left_semi").select(F.col("h").alias("node"), shingle_set("line", width).alias("elements"))
-    sets = scratch.save(sets.withColumn("n", F.size("elements")), "sets")
-    _, components = link_groups(live, sets, lambda pairs: verify(pairs, sets, num, den), num, den, scratch)
+    texts = lines_of(docs).select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.max("line").alias("last"))
+    texts = scratch.save(texts.where("line = last").select(F.col("h").alias("node"), "line"), "texts")
+    live = live.join(texts.select("node", F.length("line").alias("n")), "node")
+    components = line_components(live, texts, width, num, den, scratch)
+    scratch.drop("live", "texts")
 
-    known = distinct.select("h", "at", "n")
+    known = distinct.select("h", "h2", "at", "many")
     if components is not None:
         known = known.join(components.select(F.col("node").alias("h"), "component"), "h", "left")
     else:
         known = known.withColumn("component", F.lit(None).cast("long"))
-    known = known.where("n > 1 OR component IS NOT NULL").withColumn("group", F.coalesce("component", "h"))
+    known = known.where("many > 1 OR component IS NOT NULL").withColumn("twin", F.when(F.col("component").isNull(), F.col("h2"))).withColumn("component", F.coalesce("component", "h"))
     known = scratch.save(known, "known")
-    kept = known.groupBy("group").agg(F.min("at").alias("keep"))
-    verdict = scratch.save(known.join(kept, "group").select("h", "keep"), "verdict")
-    occurrences = lines_of(docs).select("doc_id", "line_no", "h")
-    gone = occurrences.join(verdict, "h").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")))
+    kept = known.groupBy("component", "twin").agg(F.min("at").alias("keep"))
+    verdict = known.join(kept, (known.component == kept.component) & known.twin.eqNullSafe(kept.twin)).select("h", "h2", "keep")
+    verdict = scratch.save(verdict, "verdict")
+    scratch.drop("known", "distinct")
+    occurrences = lines_of(docs).select("doc_id", "line_no", "h", twin)
+    gone = occurrences.join(verdict, ["h", "h2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")))
     return scratch.save(gone.select("doc_id", "line_no"), "gone")
 
 

@@ -1,5 +1,8 @@
 import numpy as np
 
+import pytest
+
+from millrace.llm import line_dedup as D
 from millrace.llm.line_dedup import dedup_lines
 
 
@@ -96,5 +99,36 @@ def test_long_lines_of_few_shingles(spark):
     assert sum(n for *_, n in got) == len(rows) - len(units)
 
 
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.95), (0.85, 0.97), (0.9, 0.99)])
+def test_recall(spark, similarity, least):
+    """Pairs of just this similarity, by how often one of the two goes."""
+    rng, rows = np.random.default_rng(int(100 * similarity)), []
+    for k in range(400):
+        line = list(sentence(rng, int(rng.integers(12, 60))))
+        other = line.copy()
+        while True:  # edits until one more would be too many
+            at = int(rng.integers(len(other)))
+            edited = other[:at] + [chr(0x400 + int(rng.integers(400)))] + other[at + 1 :]
+            x, y = grams("".join(line)), grams("".join(edited))
+            if len(x & y) < similarity * len(x | y):
+                break
+            other = edited
+        rows += [(2 * k, "".join(line)), (2 * k + 1, "".join(other))]
+    found = sum(n for *_, n in run(spark, rows))
+    assert least * 400 <= found <= 400
+
+
+def test_groups_that_leaders_do_not_settle(spark, monkeypatch):
+    """Many lines of one base, near one another and far: compared in tiles, which must find all that pairs would."""
+    monkeypatch.setattr(D, "TILE", 7)
+    rng, base, rows = np.random.default_rng(6), sentence(np.random.default_rng(5), 30), []
+    for d in range(120):
+        line = list(base)
+        for at in rng.integers(0, len(line), int(rng.integers(0, 14))):
+            line[at] = chr(0x400 + int(rng.integers(30)))
+        rows.append((d, "".join(line)))
+    assert sum(a != b for a, b in zip(run(spark, rows), brute(rows))) <= 2  # what banding may miss
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
