@@ -8,7 +8,8 @@ varied copies of the family templates below and on a bounded, hash-chosen sample
 paragraphs as negatives. Probabilities are calibrated by a temperature, fitted on variations that training has not
 seen, and the unknown class takes licence-like paragraphs whose best family stays below a threshold, fitted so
 that families left out of training fall under it. A family is confirmed if at least `similar` of the word bigrams
-of one of its templates are in the paragraph.
+of one of its templates are in the paragraph, all that hold a number or a word that tells licences apart among
+them, and no other family has a larger share of one.
 
 Weights are sparse: a word or pair that no template has costs one lookup, so scanning is one pass without a
 shuffle, and the model (FEATURES flags and the few weights that aren't zero) is of bounded size.
@@ -48,6 +49,22 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU Lesser General Public License version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -55,8 +72,14 @@ TEMPLATES = {
         "Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the 3-clause BSD license.",
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the 2-clause BSD license."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
 }
+#: Words besides numbers that tell licences of one family of texts apart; a template's pairs with one, or with a
+#: number, must all be in a text that it confirms.
+TELLING = {"lesser", "library", "affero", "noncommercial", "attribution-noncommercial", "attribution-sharealike", "sharealike", "noderivatives", "attribution-noderivatives", "nc", "sa", "nd", "by-nc", "by-sa", "by"}
 #: Licences that training doesn't see; the threshold of the unknown class is fitted on them.
 OTHERS = [
     "Licensed under the Open Software License version 3.0.", "This document is licensed under the Free Art License.", "Distributed under the terms of the Eclipse Public License.",
@@ -140,6 +163,13 @@ def _bigrams(text: str) -> set[int]:
     return set(feature[words:].tolist()) if words > 1 else set(feature.tolist())
 
 
+def _telling(text: str) -> set[int]:
+    """The bigrams of a notice that hold a number or a word that tells licences apart."""
+    words = [w.strip(".,;:()\"'").lower() for w in text.split()]
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if any(w in TELLING or any(c.isdigit() for c in w) for w in (a, b))]
+    return set().union(*(_bigrams(p) for p in pairs))
+
+
 def _once(place: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each feature of a text once."""
     keys = np.unique(place * FEATURES + feature)
@@ -180,6 +210,7 @@ def train(negatives: list[str], seed: int = 7, steps: int = 150) -> dict:
     """Model from the templates and corpus paragraphs; the last class is no licence."""
     families, rng = list(TEMPLATES), np.random.default_rng(seed)
     grams = [[_bigrams(t) for t in TEMPLATES[f]] for f in families]
+    telling = [[_telling(t) for t in TEMPLATES[f]] for f in families]
     like = [g for own in grams for g in own]
     place, feature = features(pa.array(negatives, pa.large_string()))
     owns: list[set] = [set() for _ in negatives]
@@ -228,7 +259,7 @@ def train(negatives: list[str], seed: int = 7, steps: int = 150) -> dict:
     temperature = min(losses, key=losses.get)
     strange = _softmax(_logits([v for t in OTHERS for v in variations(t, rng, 10)], weights, theta[-1]) / temperature)[:, :-1].max(axis=1)
     threshold = float(np.clip(np.quantile(strange, 0.9), 0.5, 0.95))
-    return {"families": families, "grams": grams, "kept": kept, "weights": theta[:-1], "bias": theta[-1], "temperature": temperature, "threshold": threshold}
+    return {"families": families, "grams": grams, "telling": telling, "kept": kept, "weights": theta[:-1], "bias": theta[-1], "temperature": temperature, "threshold": threshold}
 
 
 def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
@@ -262,7 +293,9 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
         family = int(p[i, :-1].argmax())
         chance = float(p[i, family])
         own = _bigrams(parts[int(some[i])].as_py())
-        confirmed = chance >= model["threshold"] and any(len(g & own) >= similar * len(g) for g in model["grams"][family])
+        # the share of each family's nearest template; another family's may not be nearer than that of the class
+        shares = [max((len(g & own) / len(g) for g, t in zip(*x, strict=True) if t <= own), default=0.0) for x in zip(model["grams"], model["telling"], strict=True)]
+        confirmed = chance >= model["threshold"] and shares[family] >= max(similar, *shares)
         name, best, sure, n, found = out[at]
         if (confirmed, chance) > (sure, best):
             name, best, sure = (model["families"][family] if confirmed else UNKNOWN), chance, confirmed
@@ -277,8 +310,8 @@ def corpus_paragraphs(docs: DataFrame, sample: int) -> list[str]:
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     share = min(1.0, sample / 4 / max(rows.count(), 1))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    parts = rows.select(F.explode(F.split("text", "\n")).alias("part")).where("part <> '' AND pmod(xxhash64(part), 4) = 0").limit(sample)
-    return sorted(r.part for r in parts.collect())
+    parts = rows.select(F.explode(F.split("text", "\n")).alias("part")).where("part <> '' AND pmod(xxhash64(part), 4) = 0").distinct()
+    return sorted(r.part for r in parts.orderBy(F.xxhash64(F.lit(2), "part"), "part").limit(sample).collect())
 
 
 def scan(docs: DataFrame, similar: float = 0.8, sample: int = SAMPLE) -> DataFrame:
