@@ -139,14 +139,15 @@ def encode(texts: pa.Array, path: str, end_id: int, by_word: bool = True) -> tup
     tokenizer = _tokenizer(path)
     texts = whole(texts)
     if by_word and len(texts):
-        marks = [pc.match_substring(texts, t.content).to_numpy(zero_copy_only=False) for t in tokenizer.get_added_tokens_decoder().values()]
+        lower = pc.ascii_lower(texts)  # what the words are taken from; a text may spell a special token in capitals
+        marks = [pc.match_substring(lower, t.content.lower()).to_numpy(zero_copy_only=False) for t in tokenizer.get_added_tokens_decoder().values()]
         marked = np.any(marks, axis=0) if marks else np.zeros(len(texts), bool)
-        if marked.any():  # texts that spell a special token are encoded whole
+        if marked.any():  # texts that spell a special token, in whatever case, are encoded whole
             cuts = np.flatnonzero(np.diff(marked)) + 1
             runs = [encode(texts.slice(a, b - a), path, end_id, not marked[a]) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
             return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
         # punctuation after an ASCII letter is a word of its own (but for apostrophes, which contractions hold)
-        texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+        texts = pc.replace_substring_regex(lower, r"([a-z])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
         words, offsets = split_words(texts, lower=False)
         coded = words.dictionary_encode()
         known = held(("words", path), lambda: WordIds(tokenizer))

@@ -12,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", None, " ", "Don't stop, it's 3.5% O'Neil's!?", "a,b;c...d--e", "ÀÉÎ ñandú,; l'été…", "x y z", "tab\tnew\nline\r\nend.", "日本語テキスト。混在 text,", "😀 emoji!! ok",
-    "éä.", "ΑΣ ΣΑΣ", "KK İstanbul", "under_score a_ _b [x] {y} `z`", "<|endoftext|> </w>", "word" * 3000, "don't'", "''s 's's", "1,2 3.", "\x0b\x0c v",
+    "éä.", "ΑΣ ΣΑΣ", "KK İstanbul", "under_score a_ _b [x] {y} `z`", "<|endoftext|> </w>", "a<|EndOfText|>b", "<|STARTOFTEXT|> X", "word" * 3000, "don't'", "''s 's's", "1,2 3.", "\x0b\x0c v",
 ]
 
 
