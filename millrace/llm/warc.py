@@ -3,15 +3,15 @@
 Spark's text sink writes the archives: a row is a record, and the sink's line separator is the empty line pair
 that ends a record, so each file is a plain WARC/1.1 file in any file system that Spark writes. Each file is a
 run, sorted by url key and time. Reading takes a file at a time and follows Content-Length; its index entries
-are then dealt out by range of (url key, time, page), and each range merges its slices of the runs with a loser
-tree, which gives the capture history over all archives in order.
+are then dealt out by range of (url key, time, page), and each range, of bounded size, merges its slices of the
+runs with a loser tree, which gives the capture history over all archives in order.
 
 Of records with equal payloads of at least `least_bytes` bytes, that with the smallest page_id is a response
 and the others are revisits that refer to it; smaller ones are all responses.
 
 Defined results: a null html is an empty payload. A null page_id comes after all others (it is a revisit if a
 known page has the payload). Rows that repeat the smallest page_id of a payload are all responses. A null url
-has an empty url key. Columns besides those named are ignored.
+has an empty url key; CR and LF in urls are written as %0A, here and in keys. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch
 from millrace.llm.url_filter import LOWER, UPPER
 
+MOST_RECORDS, FILE_BYTES, RANGE_ROWS = 10_000, 64 << 20, 500_000
 BASE32HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CDX = "run string, offset long, length long, url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -46,14 +47,20 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, records_per_file: int = 10_000) -> None:
-    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, records_per_file: int | None = None) -> None:
+    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time. Files hold MOST_RECORDS
+    records, about FILE_BYTES of pages of mean size and 8 * FILE_BYTES of the largest, at most."""
     seconds = F.unix_timestamp(time_col) if time_col else F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + 1_577_836_800
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    # what the header will hold, as reading takes the key from there
+    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
     rows = pages.select(
-        "page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("html"), F.octet_length(payload).alias("bytes"),
-        base32_sha1(payload.cast("binary")).alias("digest"), F.timestamp_seconds(F.coalesce(seconds, F.lit(0))).alias("at"), url_key(F.col("url")).alias("key"),
+        "page_id", url.alias("url"), payload.alias("html"), F.octet_length(payload).alias("bytes"),
+        base32_sha1(payload.cast("binary")).alias("digest"), F.timestamp_seconds(F.coalesce(seconds, F.lit(0))).alias("at"), url_key(url).alias("key"),
     )
+    if records_per_file is None:
+        size = rows.agg(F.avg("bytes").alias("mean"), F.max("bytes").alias("most")).first()
+        records_per_file = max(1, min(MOST_RECORDS, int(FILE_BYTES / ((size["mean"] or 0) + 500)), int(8 * FILE_BYTES / ((size["most"] or 0) + 500))))
     # copies are found on digests alone, pre-aggregated; the texts are joined to the few digests that repeat
     firsts = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     rows = rows.join(firsts, ["digest", "bytes"], "left").withColumn("again", F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False)))
@@ -66,7 +73,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str
         F.concat(F.lit("WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), date),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "%0A")),
+        F.concat(F.lit("WARC-Target-URI: "), "url"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
         F.when(F.col("again"), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), "first", F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -154,8 +161,10 @@ def loser_merge(runs: list[list[tuple]]):
 def merge_index(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """All entries with `capture_rank`, their place (from 0) in the order of url key, time and page."""
     order = [F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_last()]
-    # a range holds slices of runs; offsets rise with the key inside a run, so each slice comes in order
-    slices = entries.repartitionByRange(*order).sortWithinPartitions("run", "offset")
+    # a range holds slices of runs, of RANGE_ROWS entries in all or so, which is what a task holds; offsets rise with
+    # the key inside a run, so each slice comes in order
+    ranges = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ROWS))
+    slices = entries.repartitionByRange(ranges, *order).sortWithinPartitions("run", "offset")
     names = [c.split()[0] for c in CDX.split(", ")]
 
     def run(frames):

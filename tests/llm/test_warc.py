@@ -29,7 +29,7 @@ def corpus():
     rng = random.Random(0)
     texts = ["", None, "ü\r\n\r\nWARC/1.1\r\nContent-Length: 3", "a" * 40_000, "\n", "x\r\n\r\n", "same"] + [f"<p>{k}</p>" for k in range(20)]
     rows = [(i, f"http://h{rng.randrange(5)}.Example.com/{rng.randrange(30)}?a=b#c", rng.choice(texts)) for i in range(300)]
-    return rows + [(1000, None, "same"), (1001, "no scheme\r\nX: y", "z"), (None, "http://a/", "same"), (None, "http://a/", "only"), (5, rows[5][1], rows[5][2])]
+    return rows + [(1000, None, "same"), (1001, "no scheme\r\nX: y", "z"), (1002, "http://a/x\ny", "q"), (1003, "http://a/x!z", "q2"), (1004, "http://a/x", "long " * 300_000), (None, "http://a/", "same"), (None, "http://a/", "only"), (5, rows[5][1], rows[5][2])]
 
 
 @pytest.mark.parametrize("least", [0, 100])
@@ -63,5 +63,13 @@ def test_loser_merge():
         assert list(W.loser_merge([[(x,) for x in r] for r in runs])) == sorted((x,) for r in runs for x in r)
 
 
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 100_000)
+    path = f"{Scratch(spark, 'w').path}/archives"
+    W.write_warc(spark.createDataFrame([(i, f"http://a/{i}", f"{i}" * 10_000) for i in range(60)], "page_id long, url string, html string").coalesce(1), path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 8 and max(sizes) < 200_000
+
+
 def test_empty_table(spark):
     assert W.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
