@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,38 +17,56 @@ def parent_edges(relations: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def on_cycle(edges: DataFrame, checkpoint: bool = True, most_rounds: int = 200) -> DataFrame:
-    """(node) of the nodes that lie on or between cycles of (child, parent): those left when nodes without parents
-    or without children are peeled off, round by round."""
-    left, before = edges.where("child <> parent"), -1
-    loops = edges.where("child = parent").select(F.col("child").alias("node"))
-    left = _cut(left, checkpoint)
-    for _ in range(most_rounds):
-        now = left.count()
-        if now in (0, before):
-            return left.select(F.explode(F.array("child", "parent")).alias("node")).unionByName(loops).distinct()
-        before = now
-        parents, children = left.select(F.col("parent").alias("_n")), left.select(F.col("child").alias("_n"))
-        left = left.join(parents.distinct(), F.col("child") == F.col("_n"), "left_semi")
-        left = _cut(left.join(children.distinct(), F.col("parent") == F.col("_n"), "left_semi"), checkpoint)
-    raise RuntimeError(f"chains longer than {most_rounds}")
-
-
-def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """(node) of the nodes that lie on a cycle of (child, parent).
+
+    Nodes without parents or without children are peeled off. Of what is left every node has a parent; each takes its
+    least one, and the nodes that such walks come to after at least as many steps as there are nodes are the cycles of
+    those choices, found by doubling the length of the steps. Each cycle becomes one node, and all is repeated with
+    the other edges until none are left. Rounds grow with the depth of what is peeled and the logarithm of a cycle.
+    """
+    edges = edges.where("child IS NOT NULL AND parent IS NOT NULL")
+    found = _cut(edges.where("child = parent").select(F.col("child").alias("node")).distinct())
+    left = _cut(edges.where("child <> parent").distinct())
+    while not (left := _peeled(left)).isEmpty():
+        step = left.groupBy("child").agg(F.min("parent").alias("to"))
+        walk = _cut(step.select(F.col("child").alias("node"), "to", F.least("child", "to").alias("low")))
+        for _ in range(walk.count().bit_length()):
+            ahead = walk.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+            walk = _cut(walk.join(ahead, "to").select("node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")))
+        ring = _cut(walk.join(walk.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", "low"))
+        found = _cut(found.unionByName(ring.select("node")).distinct())
+        into = [ring.select(F.col("node").alias(c), F.col("low").alias(f"_{c}")) for c in ("child", "parent")]
+        ends = left.join(into[0], "child", "left").join(into[1], "parent", "left").select(F.coalesce("_child", "child").alias("child"), F.coalesce("_parent", "parent").alias("parent"))
+        left = _cut(ends.where("child <> parent").distinct())
+    return found
+
+
+def _peeled(left: DataFrame) -> DataFrame:
+    """The edges that stay when nodes without parents or without children have gone, again and again."""
+    now, before = left.count(), -1
+    while now not in (0, before):
+        parents, children = left.select(F.col("parent").alias("child")).distinct(), left.select(F.col("child").alias("parent")).distinct()
+        left = _cut(left.join(parents, "child", "left_semi").join(children, "parent", "left_semi").select("child", "parent"))
+        now, before = left.count(), now
+    return left
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's shared folder; only a local master may go without one."""
     spark: SparkSession = df.sparkSession
-    if not checkpoint:
-        return df.cache()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
 def directory_issues(companies: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, issue): dangling targets, self-links, unknown types, repeated relations, and repeated names or INNs.
+    """(id, issue): dangling targets, self-links, unknown types, repeated relations, contradictory roles (different
+    structural types to one company), and repeated names or INNs.
 
     companies: (id, name, inn); relations: (source, target, type). A repeated name is no issue if both INNs differ.
     """
@@ -58,6 +78,8 @@ def directory_issues(companies: DataFrame, relations: DataFrame) -> DataFrame:
         issue(relations.where(~F.col("type").isin("head", "subsidiary", "branch", "partner", "other")), "source", "unknown-type"),
         issue(relations.groupBy("source", "target", "type").count().where("count > 1"), "source", "repeated-relation"),
     ]
+    structural = relations.where("type IN ('head', 'subsidiary', 'branch')").join(ids, F.col("target") == F.col("_id"), "left_semi")
+    out.append(issue(structural.groupBy("source", "target").agg(F.min("type").alias("lo"), F.max("type").alias("hi")).where("lo <> hi"), "source", "contradictory-role"))
     inns = companies.where("inn <> ''").groupBy("inn").agg(F.count("*").alias("n")).where("n > 1").select("inn")
     out.append(issue(companies.join(inns, "inn", "left_semi"), "id", "repeated-inn"))
     # of one name, all INNs known and different is fine
@@ -102,16 +124,15 @@ def merge_entities(companies: DataFrame, name_key: str, inn: str, order: str) ->
     return grouped.groupBy("component").applyInPandas(merge, "at long, entity long")
 
 
-def _groups(cards: DataFrame, most_rounds: int = 50) -> DataFrame:
+def _groups(cards: DataFrame) -> DataFrame:
     """Cards with the least place of their component of equal names and INNs, blanks apart."""
-    state = _cut(cards.withColumn("component", F.col("at")), True)
-    for _ in range(most_rounds):
+    state = _cut(cards.withColumn("component", F.col("at")))
+    while True:
         by_name = state.where("name <> ''").groupBy("name").agg(F.min("component").alias("c_name"))
         by_inn = state.where("inn <> ''").groupBy("inn").agg(F.min("component").alias("c_inn"))
         near = state.join(by_name, "name", "left").join(by_inn, "inn", "left")
         step = near.select("at", "name", "inn", F.col("component").alias("before"), F.least("component", "c_name", "c_inn").alias("component"))
-        step = _cut(step, True)
+        step = _cut(step)
         if step.where("component <> before").isEmpty():
             return step.drop("before")
         state = step.drop("before")
-    raise RuntimeError("groups did not settle")

@@ -177,19 +177,18 @@ def dup_detection_4key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.repeats(docs, [F.lower(F.trim("lang")), F.col("digest"), F.col("n_chars")], ["doc_id"]).select("doc_id")
 
 
-@query("""WITH i AS (SELECT c_custkey AS row, c_mktsegment AS seg, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS nat, CASE WHEN c_custkey % 3 = 0 THEN floor(c_acctbal / 500) END AS bal FROM customer WHERE c_custkey % 10 = 0),
-a AS (SELECT i.*, c.c_custkey AS m, c.c_nationkey AS n, floor(c.c_acctbal / 500) AS b FROM i LEFT JOIN customer c ON c.c_mktsegment = seg AND c.c_custkey % 20 = 0),
+@query("""WITH i AS (SELECT c_custkey AS row, c_mktsegment || c_nationkey AS seg, CASE WHEN c_custkey % 2 = 0 THEN floor(c_acctbal / 500) END AS nat, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 END AS bal FROM customer),
+a AS (SELECT i.*, c.c_custkey AS m, floor(c.c_acctbal / 500) AS n, c.c_custkey % 7 AS b FROM i LEFT JOIN customer c ON c.c_mktsegment || c.c_nationkey = seg),
 s1 AS (SELECT *, (m IS NOT NULL) AS k, count(m) OVER (PARTITION BY row) AS n1 FROM a),
 s2 AS (SELECT *, k AND (n1 <= 1 OR nat IS NULL OR nat IS NOT DISTINCT FROM n) AS k2 FROM s1),
 s3 AS (SELECT *, sum(k2::INT) OVER (PARTITION BY row) AS n2 FROM s2),
 s4 AS (SELECT *, k2 AND (n2 <= 1 OR bal IS NULL OR bal IS NOT DISTINCT FROM b) AS k3 FROM s3)
 SELECT row, CAST(sum(k3::INT) AS INTEGER) AS candidates, CASE WHEN sum(k3::INT) = 1 THEN min(m) FILTER (k3) END AS matched FROM s4 GROUP BY row""")
 def upsert_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), F.floor(F.col("c_acctbal") / 500).cast("string").alias("band"))
-    incoming = customer.where("c_custkey % 10 = 0").select(
-        F.col("c_custkey").alias("row"), "c_mktsegment", F.expr("CASE WHEN c_custkey % 2 = 0 THEN nation END").alias("nation"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN band END").alias("band")
-    )
-    return registry.upsert_match(incoming, customer.where("c_custkey % 20 = 0"), "c_custkey", "c_mktsegment", ["nation", "band"])
+    seg = F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("seg")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", seg, F.floor(F.col("c_acctbal") / 500).cast("string").alias("band"), (F.col("c_custkey") % 7).cast("string").alias("week"))
+    incoming = customer.select(F.col("c_custkey").alias("row"), "seg", F.expr("CASE WHEN c_custkey % 2 = 0 THEN band END").alias("band"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN week END").alias("week"))
+    return registry.upsert_match(incoming, customer, "c_custkey", "seg", ["band", "week"])
 
 
 @query("""SELECT facet, value, count(*) AS n FROM (SELECT 'p_brand' AS facet, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part)
@@ -506,12 +505,17 @@ def json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graphs and entities
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS child, (c_custkey * 7 + 3) % 997 AS parent FROM customer WHERE c_custkey % 5 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS child, (c_custkey * 7 + 3) % 997 AS parent FROM customer WHERE c_custkey % 5 <> 0 UNION ALL
+  SELECT -c_custkey - 1, -p - 1 FROM customer, (VALUES (0, 1), (1, 0), (1, 2), (2, 3), (3, 4), (4, 3)) AS x(c, p) WHERE c_custkey = c),
 walk(start, node, steps) AS (SELECT child, parent, 1 FROM e UNION SELECT w.start, e.parent, w.steps + 1 FROM walk w JOIN e ON e.child = w.node WHERE w.node <> w.start AND w.steps < 1100)
 SELECT DISTINCT start AS node FROM walk WHERE node = start""")
 def cycle_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    relations = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("source"), ((F.col("c_custkey") * 7 + 3) % 997).alias("target"), F.lit("head").alias("type"))
-    return graph.on_cycle(graph.parent_edges(relations))
+    customer = table(spark, sf_dir, "customer")
+    relations = customer.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("source"), ((F.col("c_custkey") * 7 + 3) % 997).alias("target"), F.lit("head").alias("type"))
+    # two cycles and what lies between them
+    joined = F.explode(F.expr("element_at(map(0L, array(1), 1L, array(0, 2), 2L, array(3), 3L, array(4), 4L, array(3)), c_custkey)")).alias("p")
+    more = customer.where("c_custkey < 5").select((-F.col("c_custkey") - 1).alias("source"), joined).select("source", (-F.col("p") - 1).cast("long").alias("target"), F.lit("head").alias("type"))
+    return graph.on_cycle(graph.parent_edges(relations.unionByName(more)))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, 'N' || (c_custkey % 900) AS name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey % 1100 AS VARCHAR) END AS inn FROM customer),

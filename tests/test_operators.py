@@ -127,6 +127,28 @@ def test_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("g", "g")], "child string, parent string")
     assert rows(graph.on_cycle(edges)) == [("a",), ("b",), ("c",), ("g",)]
     assert rows(graph.on_cycle(edges.where("child = 'e'"))) == []
+    # what lies between two cycles is on none, and a cycle may run through another one's node
+    joined = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "h"), ("h", "e"), (None, "a")]
+    assert rows(graph.on_cycle(spark.createDataFrame(joined, "child string, parent string"))) == [(x,) for x in "abdefh"]
+
+
+def test_long_cycles(spark):
+    ring = [(i, (i * 7 + 1) % 1_000) for i in range(1_000)] + [(5_000 + i, 5_001 + i) for i in range(30)]
+    want, seen = set(), dict(ring)
+    for i in range(1_000):
+        at = seen[i]
+        for _ in range(1_000):
+            if at == i:
+                want.add(i)
+                break
+            at = seen[at]
+    assert {r.node for r in graph.on_cycle(spark.createDataFrame(ring, "child long, parent long")).collect()} == want
+
+
+def test_contradictory_roles(spark):
+    companies = spark.createDataFrame([(1, "a", "1"), (2, "b", "2")], "id long, name string, inn string")
+    relations = spark.createDataFrame([(1, 2, "head"), (1, 2, "branch"), (2, 1, "head"), (1, 9, "head"), (1, 9, "branch")], "source long, target long, type string")
+    assert rows(graph.directory_issues(companies, relations)) == [(1, "contradictory-role"), (1, "dangling")]
 
 
 def test_entities_depend_on_order(spark):
