@@ -7,9 +7,10 @@ the product of both remaining masses (Cauchy-Schwarz), and what falls short of t
 away before the next dimensions are read. The k best after the first dimensions are scored in full first, which
 gives a bound to start from; it rises from block to block.
 
-Queries and candidates meet in tiles: query blocks of at most QUERIES rows and candidate slots of about SLOT
-rows, joined by a shuffle on (query block, slot). Every task holds one tile, lists of k per query and tile are
-merged by a window. Nothing is broadcast or collected.
+Queries and candidates meet in tiles: query blocks of at most QUERY_BYTES and candidate slots of about SLOT_BYTES,
+joined by a shuffle on (query block, slot). A candidate is sent once for each query block, so blocks are as large
+as a task may hold; inside a tile, QUERIES of them at a time are compared with a candidate block. Lists of k per
+query and tile are merged by a window. Nothing is broadcast or collected.
 
 Components become floor(scale * x), so scores are exact integers: sums below 2**53 are taken in doubles, others
 in whole numbers of any length. Scores beyond a long are held at its limits, and tie there.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
 
-DIMS, BLOCK, QUERIES, SLOT, EXACT = 16, 8_192, 512, 65_536, float(2**53)
+DIMS, QUERIES, EXACT = 16, 512, float(2**53)
+BLOCK_BYTES, QUERY_BYTES, SLOT_BYTES = 4 << 20, 32 << 20, 64 << 20
 PACKED = "slot long, seq long, dim int, n int, ids binary, whole boolean, rows binary"
 LISTS = "query_id long, vec_id long, score long"
 
@@ -52,8 +54,8 @@ def floored(values: np.ndarray, scale: int) -> tuple[np.ndarray, bool]:
     return np.array([floor(Fraction(float(x)) * scale) for x in values.ravel()], object).reshape(values.shape), False
 
 
-def _pack(vectors: DataFrame, slots: int, most: int, scale: int) -> DataFrame:
-    """Blocks of vectors of one length, dealt over `slots` slots."""
+def _pack(vectors: DataFrame, slots: int, most_bytes: int, scale: int) -> DataFrame:
+    """Blocks of vectors of one length, of most_bytes or one vector at most, dealt over `slots` slots."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -64,7 +66,7 @@ def _pack(vectors: DataFrame, slots: int, most: int, scale: int) -> DataFrame:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             starts = np.cumsum(sizes) - sizes
             for dim in np.unique(sizes):
-                of_dim = np.flatnonzero(sizes == dim)
+                of_dim, most = np.flatnonzero(sizes == dim), max(1, most_bytes // (8 * int(dim)))
                 for i in range(0, len(of_dim), most):
                     at = of_dim[i : i + most]
                     rows, whole = floored(flat[starts[at][:, None] + np.arange(dim)], scale)
@@ -155,24 +157,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1
     """(query_id, rank, vec_id, score) of each query's k best candidates; both frames have (vec_id, embedding)."""
     scratch = scratch or Scratch(queries.sparkSession, "topk")
     queries, candidates = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding")) for x in (queries, candidates))
-    slots = max(1, -(-candidates.count() // SLOT))
-    # one vector for each query id; the blocks of a partition are small beside a tile
+    held = lambda vectors: 8 * (vectors.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0)
+    slots = max(1, -(-held(candidates) // SLOT_BYTES))
+    # one vector for each query id
     asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = scratch.save(_pack(asked.repartition(max(1, -(-asked.count() // (4 * QUERIES))), "vec_id"), 1, QUERIES, scale), "queries")
-    packed = scratch.save(_pack(candidates, slots, BLOCK, scale), "candidates")
+    asked = scratch.save(_pack(asked.repartition(max(1, -(-held(asked) // QUERY_BYTES)), "vec_id"), 1, QUERY_BYTES, scale), "queries")
+    packed = scratch.save(_pack(candidates, slots, BLOCK_BYTES, scale), "candidates")
 
     blocks = asked.select("dim", F.col("seq").alias("block"))
-    # the list of query blocks is 24 bytes for each QUERIES queries
+    # the list of query blocks is 24 bytes for each
     wanted = packed.join(blocks, "dim").select("block", *packed.columns)
     left = asked.withColumn("block", F.col("seq")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).select("block", *asked.columns)
 
     def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in LISTS.split(", ")})
-        tile = Tile(*_unpack(own.iloc[0]), k)
+        ids, columns = _unpack(own.iloc[0])
+        tiles = [Tile(ids[i : i + QUERIES], columns[:, i : i + QUERIES], k) for i in range(0, len(ids), QUERIES)]
         for row in others.sort_values("seq").itertuples():
-            tile.search(*_unpack(row))
-        return tile.rows()
+            block = _unpack(row)
+            for tile in tiles:
+                tile.search(*block)
+        return pd.concat([tile.rows() for tile in tiles], ignore_index=True)
 
     lists = left.groupBy("block", "slot").cogroup(wanted.groupBy("block", "slot")).applyInPandas(run, LISTS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
