@@ -118,7 +118,20 @@ SELECT page_id, host, path, rule, coalesce(own.v, passed.v, 'allow') AS verdict
 
 
 def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+    index = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture_rank")
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') AS u, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, translate(CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE u END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id, count(*) OVER (PARTITION BY h, payload_bytes) AS n,
+  array_to_string(list_reverse(string_split(regexp_extract(r, '^[^/?#]*'), '.')), ',') || ')' || regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS url_key,
+  strftime(TIMESTAMP '2020-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y%m%d%H%M%S') AS ts FROM q),
+d AS (SELECT *, n > 1 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id NULLS LAST) - 1 AS capture_rank FROM d"""
 
 
 OPERATORS = (
@@ -132,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc_index_merge": OP8_SQL}
