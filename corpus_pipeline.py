@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents. The mix is an order of rows, which the Parquet
 files keep; the last stage reads it back from the places of rows in the files.
+
+Defined results: null and empty texts are scored as one empty line, are copies of nothing and hold no item; if they
+are kept they are mixed and encoded (as the end id). Rows with a null id stay in every stage but the first, which
+may reject them. Rows that repeat an id stay or go together, and count as one document for near copies. Empty
+tables pass as they are. Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +25,15 @@ from millrace.llm.quality import fit, score
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return score(docs, model).where("score >= 0.5").select(*docs.columns)
+    scored = score(docs.withColumnsRenamed({"score": "_score"}), model).where("score >= 0.5")
+    return scored.select(*[F.col("_score").alias(c) if c == "score" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five words, similarity 0.8."""
     groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100, counted=False)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
