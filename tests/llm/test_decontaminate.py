@@ -96,3 +96,39 @@ def test_asides_and_longer_names(spark):
     }
     found, _ = run(spark, [(d, " ".join(t)) for d, t in docs.items()], [(1, " ".join(short)), (2, " ".join(long)), (3, named)])
     assert found == {(1, 1), (2, 2), (3, 1), (4, 3)}
+
+
+def brute_covered(doc, item, width=5):
+    """Most words of the item that an ascending chain covers, of words in windows that both texts have: all pairs of
+    places, no hashes, no joins."""
+    d, i = doc.split(), item.split()
+    cells = set()
+    for p in range(len(d) - width + 1):
+        for q in range(len(i) - width + 1):
+            if d[p : p + width] == i[q : q + width]:
+                cells |= {(p + k, q + k) for k in range(width)}
+    best = {}
+    for p, q in sorted(cells):
+        best[p, q] = 1 + max((n for (a, b), n in best.items() if a < p and b < q), default=0)
+    return max(best.values(), default=0)
+
+
+def test_equals_brute_force(spark):
+    """Items cut, spread by asides, out of order and repeated in parts, in texts of few words."""
+    rng = np.random.default_rng(8)
+    vocabulary = words(rng, 40)
+    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(8, 24))))) for i in range(12)]
+    docs = []
+    for d in range(160):
+        own = items[int(rng.integers(12))][1].split()
+        a, b = sorted(rng.integers(0, len(own) + 1, 2)) if rng.random() < 0.3 else (0, len(own))
+        cut = int(rng.integers(0, len(own)))
+        parts = [own[a:b], list(rng.choice(vocabulary, int(rng.integers(0, 6)))), own[cut:]] if rng.random() < 0.5 else [own[:cut], list(rng.choice(vocabulary, int(rng.integers(0, 4)))), own[cut:]]
+        docs.append((d, " ".join([*rng.choice(vocabulary, int(rng.integers(0, 8))), *(w for p in parts for w in p)])))
+    found, _ = run(spark, docs, items)
+    flagged = {d for d, _ in found}
+    # by the whole text, which none of these is longer than a span of the shortest item
+    want = {d for d, t in docs if any(brute_covered(t, i) >= 0.8 * len(i.split()) - 1e-9 for _, i in items)}
+    assert flagged == want and 20 < len(want) < 150
+    for d, i in found:
+        assert brute_covered(dict(docs)[d], dict(items)[i]) >= 0.8 * len(dict(items)[i].split())

@@ -54,3 +54,21 @@ def test_run_equals_the_stages(spark):
     rows = P.run(spark, SF).collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
     assert sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", "src0", None, "x"), (None, "", None, None, 0, "x"), (2, "one", "en", "src9", 3, None), (2, "one", "en", "src9", 3, None), (3, " \n", "de", None, 2, "y"), (None, "word " * 50_000, "en", "src1", 250_000, "z")]])
+def test_odd_rows_pass_every_stage(spark, rows, tmp_path):
+    """Nulls, empty and long texts, repeated rows and no rows, with columns that operators use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string")
+    docs = docs.withColumns({c: docs.node for c in ("score", "component", "gone", "rep", "slot", "place", "part", "digest")})
+    for i, (_, stage) in enumerate(P.STAGES[1:], 1):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(i)))
+        got = spark.read.parquet(str(tmp_path / str(i)))
+        if i < len(P.STAGES) - 1:
+            assert got.columns == docs.columns and got.count() == len(rows)  # nothing here has a copy under another id
+            docs = got
+        else:
+            assert got.count() == len(rows)
+    kept = P.quality(spark, spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", P.F.lit("s")), SF)
+    assert "score" in kept.columns and kept.count() > 0
