@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from millrace.llm.url_filter import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("bad.net", "/", "block")]
@@ -68,5 +70,19 @@ def test_large_component_and_redirect_table(spark):
     assert {r.page_id: r.verdict for r in found.collect()} == {i: "allow" if i < 200 else "block" for i in range(400)}
 
 
+def test_shuffled_chains_of_links(spark):
+    """Chains of canonical links and redirects in random order of their names; one of them ends at a blocked url."""
+    rng = np.random.default_rng(4)
+    names = [f"http://q.io/{i}" for i in rng.permutation(1_200)]
+    chains = [names[:600], names[600:]]
+    rows = []
+    for chain, last in zip(chains, ("http://x.com/de/1", "http://free.io/")):
+        for k, (a, b) in enumerate(zip(chain, [*chain[1:], last])):
+            rows.append((a, f'<link rel="canonical" href="{b}">' if k % 2 else f"<meta http-equiv=refresh content='0; url={b}'>" + "<p>text</p>" * (5_000 if k == 7 else 1)))
+    pages = [(i, url, html) for i, (url, html) in enumerate(rows)]
+    found = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert found == {i: "block" if i < 600 else "allow" for i in range(1_200)}
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).collect() == []
