@@ -52,3 +52,13 @@ def diff(old: DataFrame, new: DataFrame, ignored: tuple[str, ...] = IGNORED) ->
 def paths_in(leaves: DataFrame, key: str = "relativePath", prefix: str = "attachments/") -> DataFrame:
     """Distinct values of a key anywhere in flattened records, under a prefix."""
     return leaves.where((F.element_at(F.split("path", r"\."), -1) == key) & F.col("value").startswith(prefix)).select(F.col("value").alias("path")).distinct()
+
+
+def labelled(leaves: DataFrame, labels: dict[str, str], ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(id, field, value) as a reader sees them: names of the path by their labels and joined by slashes, what is empty as
+    a dash, truth values as words; leaves under ignored names, at any depth, are left out."""
+    names = F.split("path", r"\.")
+    shown = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.lit(None).cast("map<string,string>")
+    field = F.array_join(F.transform(names, lambda n: F.coalesce(F.element_at(shown, n), n)), " / ")
+    value = F.when(F.col("value").isin("", "null", "{}", "[]"), "—").when(F.col("value") == "true", "Да").when(F.col("value") == "false", "Нет").otherwise(F.col("value"))
+    return leaves.where(~F.exists(names, lambda n: n.isin(*ignored))).select("id", field.alias("field"), value.alias("value"))

@@ -158,3 +158,11 @@ def test_names_hash_and_geometry(spark):
     assert tuple(value(row, pages.placed_rect(rect(2, -1, 5, 0)))) == pytest.approx((0.99, 0, 0.01, 0.01))
     assert tuple(value(row, pages.moved_rect(rect(0.5, 0.5, 0.25, 0.25), F.lit(0.5), F.lit(-0.6)))) == pytest.approx((0.75, 0, 0.25, 0.25))
     assert tuple(value(row, pages.rotated_size(F.lit(2.0), F.lit(1.0), F.lit(90.0)))) == pytest.approx((1, 2))
+
+
+def test_labelled_leaves(spark):
+    from millrace.operators import history
+
+    rows = spark.createDataFrame([("1", '{"name": "", "documents": [{"id": 7, "basis": true}, {"basis": "x"}], "updatedAt": "t"}')], "id string, p string")
+    got = history.labelled(history.flatten_json(rows, "id", "p"), {"name": "Название", "documents": "Документы"}).collect()
+    assert sorted((r.field, r.value) for r in got) == [("Документы / № 1 / basis", "Да"), ("Документы / № 2 / basis", "x"), ("Название", "—")]
