@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch
 from millrace.llm.url_filter import LOWER, UPPER
 
-MOST_RECORDS, FILE_BYTES, RANGE_ROWS = 10_000, 64 << 20, 500_000
+RANGE_ROWS = 500_000
 BASE32HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CDX = "run string, offset long, length long, url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -47,9 +47,9 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, records_per_file: int | None = None) -> None:
-    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time. Files hold MOST_RECORDS
-    records, about FILE_BYTES of pages of mean size and 8 * FILE_BYTES of the largest, at most."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, records_per_file: int = 10_000) -> None:
+    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time. A file holds no more than
+    a partition, whose bytes Spark bounds, and `records_per_file` records."""
     seconds = F.unix_timestamp(time_col) if time_col else F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + 1_577_836_800
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     # what the header will hold, as reading takes the key from there
@@ -58,9 +58,6 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str
         "page_id", url.alias("url"), payload.alias("html"), F.octet_length(payload).alias("bytes"),
         base32_sha1(payload.cast("binary")).alias("digest"), F.timestamp_seconds(F.coalesce(seconds, F.lit(0))).alias("at"), url_key(url).alias("key"),
     )
-    if records_per_file is None:
-        size = rows.agg(F.avg("bytes").alias("mean"), F.max("bytes").alias("most")).first()
-        records_per_file = max(1, min(MOST_RECORDS, int(FILE_BYTES / ((size["mean"] or 0) + 500)), int(8 * FILE_BYTES / ((size["most"] or 0) + 500))))
     # copies are found on digests alone, pre-aggregated; the texts are joined to the few digests that repeat
     firsts = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     rows = rows.join(firsts, ["digest", "bytes"], "left").withColumn("again", F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False)))
@@ -163,8 +160,9 @@ def merge_index(entries: DataFrame, scratch: Scratch) -> DataFrame:
     order = [F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_last()]
     # a range holds slices of runs, of RANGE_ROWS entries in all or so, which is what a task holds; offsets rise with
     # the key inside a run, so each slice comes in order
-    ranges = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ROWS))
-    slices = entries.repartitionByRange(ranges, *order).sortWithinPartitions("run", "offset")
+    ranges = -(-entries.count() // RANGE_ROWS)
+    many = ranges > int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = (entries.repartitionByRange(ranges, *order) if many else entries.repartitionByRange(*order)).sortWithinPartitions("run", "offset")
     names = [c.split()[0] for c in CDX.split(", ")]
 
     def run(frames):

@@ -63,12 +63,13 @@ def test_loser_merge():
         assert list(W.loser_merge([[(x,) for x in r] for r in runs])) == sorted((x,) for r in runs for x in r)
 
 
-def test_files_are_bounded_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(W, "FILE_BYTES", 100_000)
-    path = f"{Scratch(spark, 'w').path}/archives"
-    W.write_warc(spark.createDataFrame([(i, f"http://a/{i}", f"{i}" * 10_000) for i in range(60)], "page_id long, url string, html string").coalesce(1), path)
-    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
-    assert len(sizes) > 8 and max(sizes) < 200_000
+def test_more_ranges_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGE_ROWS", 20)
+    rows = corpus()
+    out = W.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), 0).collect()
+    ranked = sorted(out, key=lambda r: r.capture_rank)
+    keys = [(r.url_key.encode(), r.ts, r.page_id is None, r.page_id or 0) for r in ranked]
+    assert [r.capture_rank for r in ranked] == list(range(len(rows))) and keys == sorted(keys)
 
 
 def test_empty_table(spark):
