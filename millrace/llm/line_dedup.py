@@ -70,6 +70,12 @@ def signed(lines: DataFrame, width: int) -> DataFrame:
     return marked.withColumn("sigs", F.when(F.col("own").isNotNull(), F.array(*sigs))).drop("own", "marked", "around")
 
 
+def _once(value: F.Column, use) -> F.Column:
+    """use(value), with the value computed once, however often and wherever it is used: a column of a select may be put
+    in place of its name, in a filter or inside a lambda that runs for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _agree(common: F.Column, sizes: F.Column, num: int, den: int) -> F.Column:
     return (den + num) * common >= num * sizes
 
@@ -79,7 +85,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     sides = [texts.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line")) for c in ("node", "lead")]
     both = pairs.join(sides[0], "node").join(sides[1], "lead")
     x, y = (shingle_set(F.col(f"{c}_line"), width) for c in ("node", "lead"))
-    linked = both.withColumns({"x": x, "y": y}).where(_agree(F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), num, den))
+    linked = both.where(_once(F.struct(x.alias("x"), y.alias("y")), lambda s: _agree(F.size(F.array_intersect(s["x"], s["y"])), F.size(s["x"]) + F.size(s["y"]), num, den)))
     return linked.select(F.col("component").alias("a"), F.col("c_lead").alias("b"))
 
 
@@ -92,17 +98,22 @@ def compared_in_tiles(live: DataFrame, texts: DataFrame, width: int, num: int, d
     packed = each.groupBy("sig", "tile", "tiles").agg(F.collect_list(F.struct("component", "line")).alias("lines"))
     meet = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     meet = meet.select("sig", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "lines")
-    cells = meet.groupBy("sig", "lo", "hi").agg(F.collect_list("lines").alias("sides"))
+    # few bytes but much work: a number of partitions of its own keeps Spark from making one of them
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = meet.repartition(parts, "sig", "lo", "hi").groupBy("sig", "lo", "hi").agg(F.collect_list("lines").alias("sides"))
     sides = [F.transform(F.element_at("sides", i), lambda r: F.struct(r["component"].alias("component"), shingle_set(r["line"], width).alias("own"))) for i in (1, -1)]
 
     def fits(a, b):
         near = (den * F.least(F.size(a["own"]), F.size(b["own"])) >= num * F.greatest(F.size(a["own"]), F.size(b["own"]))) & (a["component"] != b["component"])
         return near & _agree(F.size(F.array_intersect(a["own"], b["own"])), F.size(a["own"]) + F.size(b["own"]), num, den)
 
-    def meets(a):
-        return F.transform(F.array_distinct(F.transform(F.filter("y", lambda b: fits(a, b)), lambda b: b["component"])), lambda c: F.struct(a["component"].alias("a"), c.alias("b")))
+    def meets(s):
+        def of(a):
+            return F.transform(F.array_distinct(F.transform(F.filter(s["y"], lambda b: fits(a, b)), lambda b: b["component"])), lambda c: F.struct(a["component"].alias("a"), c.alias("b")))
+
+        return F.array_distinct(F.flatten(F.transform(s["x"], of)))
 
-    edges = cells.select(sides[0].alias("x"), sides[1].alias("y")).select(F.array_distinct(F.flatten(F.transform("x", meets))).alias("edges"))
+    edges = cells.select(_once(F.struct(sides[0].alias("x"), sides[1].alias("y")), meets).alias("edges"))
     return edges.select(F.inline("edges"))
 
 
