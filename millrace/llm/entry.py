@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, mixing
+from millrace.llm import decontaminate, filter_audit, licenses, mixing
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.quality import classify
@@ -134,9 +134,31 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id NULLS LAST) - 1 AS capture_rank FROM d"""
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+f AS (SELECT doc_id, part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || g.c || h.c || e.c AS filter_order FROM x a, x b, x g, x h, x e WHERE len(list_distinct([a.c, b.c, g.c, h.c, e.c])) = 5),
+s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, CAST(list_sum(list_transform(string_split(filter_order[1:i], ''), lambda c: 1 << (ascii(c) - 65))) AS INTEGER) AS seen, 1 << (ascii(filter_order[i:i]) - 65) AS bit FROM o, range(1, 6) r(i)),
+t AS (SELECT part, filter_order, step, bit, seen, seen - bit AS before, mask, n, good, toxic FROM s, m),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & seen = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM t GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
 OPERATORS = (
     op1_exact_topk, op2_source_mixing, op3_benchmark_decontamination, op4_license_scan, op5_token_id_output,
     op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op9_line_dedup, op10_ngram_jaccard_join,
+    op12_filter_audit,
 )
 
 
@@ -145,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc_index_merge": OP8_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc_index_merge": OP8_SQL, "op12_filter_audit": OP12_SQL}
