@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, filter_audit, licenses, mixing
+from millrace.llm import decontaminate, filter_audit, licenses, mixing, vector_ann
+from millrace.llm.divergence import divergence
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.quality import classify
@@ -134,6 +135,26 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id NULLS LAST) - 1 AS capture_rank FROM d"""
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+o AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM o GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, coalesce(count(term), 0)::HUGEINT AS v, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce((SELECT sum(c) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) x),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (g.n + v.v) AS p FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+q AS (SELECT lang, term, 1 + (1000000000 * (k.c::HUGEINT + 1)) // (v.n + v.v) AS q FROM kept k JOIN v USING (lang)),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM every UNION ALL FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
@@ -155,10 +176,15 @@ r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & seen
 SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
 
 
+def op13_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_ann.search(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 OPERATORS = (
     op1_exact_topk, op2_source_mixing, op3_benchmark_decontamination, op4_license_scan, op5_token_id_output,
     op6_quality_classifier, op7_url_filter, op8_warc_index_merge, op9_line_dedup, op10_ngram_jaccard_join,
-    op12_filter_audit,
+    op11_source_divergence, op12_filter_audit, op13_ann_search,
 )
 
 
@@ -167,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc_index_merge": OP8_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc_index_merge": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_audit": OP12_SQL}
