@@ -6,6 +6,9 @@ run, sorted by url key and time. Reading takes a file at a time and follows Cont
 are then dealt out by range of (url key, time, page), and each range, of bounded size, merges its slices of the
 runs with a loser tree, which gives the capture history over all archives in order.
 
+Only pages that may be copies are shuffled, to learn which page had the payload first; the others are written where
+they are read.
+
 Of records with equal payloads of at least `least_bytes` bytes, that with the smallest page_id is a response
 and the others are revisits that refer to it; smaller ones are all responses.
 
@@ -29,6 +32,9 @@ from millrace.llm.common import Scratch
 from millrace.llm.url_filter import LOWER, UPPER
 
 RANGE_ROWS = 500_000
+#: Bytes of payloads in a file and in a partition of the join, payloads of the smallest size class, words of the filter
+#: of copies, rows of one payload for each salt.
+FILE_BYTES, PARTITION_BYTES, SMALLEST, WORDS, SALT_ROWS = 64 << 20, 128 << 20, 8 << 10, 1 << 17, 4_096
 BASE32HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CDX = "run string, offset long, length long, url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -47,20 +53,62 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, records_per_file: int = 10_000) -> None:
-    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time. A file holds no more than
-    a partition, whose bytes Spark bounds, and `records_per_file` records."""
+def _copies(slim: DataFrame, least_bytes: int) -> DataFrame:
+    """(digest, bytes, first, n) of the payloads that repeat and are not all of unnamed pages."""
+    each = slim.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    return each.where("n > 1 AND first IS NOT NULL")
+
+
+def _with_first(rows: DataFrame, copies: DataFrame, partitions: int) -> DataFrame:
+    """rows with `first`, the page that the row's payload was met on first, if it repeats.
+
+    A filter tells which rows may be copies: each repeating payload sets two bits in one of WORDS words. Rows that it
+    doesn't hold stay where they are; the others are joined. A word also has the salts of its most frequent payload,
+    by which that payload's rows are dealt out.
+    """
+    h = F.xxhash64("digest", "bytes")
+    word = lambda x: F.pmod(x, F.lit(WORDS)).cast("int")
+    bit = lambda x, by: F.expr(f"shiftleft(1L, int(pmod(shiftright({x}, {by}), 64)))")
+    marks = copies.withColumn("h", h).select(word(F.col("h")).alias("word"), bit("h", 20).bitwiseOR(bit("h", 40)).alias("bits"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    # WORDS rows at most
+    words = F.broadcast(marks.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.max("salts").alias("salts")))
+    told = rows.withColumn("h", h).withColumn("word", word(F.col("h"))).join(words, "word", "left")
+    mask = bit("h", 20).bitwiseOR(bit("h", 40))
+    may = F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))
+    told = told.withColumn("salt", F.when(may, F.pmod(F.xxhash64("page_id", "key"), F.col("salts")).cast("int")))
+    alone = told.where("salt IS NULL").select(*rows.columns, F.lit(None).cast("long").alias("first"))
+    salts = copies.withColumn("word", word(h)).join(words, "word").select("digest", "bytes", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    keys = ["digest", "bytes", "salt"]
+    met = told.where("salt IS NOT NULL").repartition(partitions, *keys).join(salts.repartition(partitions, *keys), keys, "left").select(*alone.columns)
+    return alone.unionByName(met)
+
+
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, time_col: str | None = None, file_bytes: int = FILE_BYTES, scratch: Scratch | None = None) -> None:
+    """Writes page rows (page_id, url, html) as WARC files, each sorted by url key and time. A file's payloads hold
+    file_bytes at most, or one record: pages are written by size class, each with as many records a file as fit."""
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
     seconds = F.unix_timestamp(time_col) if time_col else F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + 1_577_836_800
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     # what the header will hold, as reading takes the key from there
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
     rows = pages.select(
-        "page_id", url.alias("url"), payload.alias("html"), F.octet_length(payload).alias("bytes"),
+        F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("html"), F.octet_length(payload).alias("bytes"),
         base32_sha1(payload.cast("binary")).alias("digest"), F.timestamp_seconds(F.coalesce(seconds, F.lit(0))).alias("at"), url_key(url).alias("key"),
     )
-    # copies are found on digests alone, pre-aggregated; the texts are joined to the few digests that repeat
-    firsts = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    rows = rows.join(firsts, ["digest", "bytes"], "left").withColumn("again", F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False)))
+    slim = scratch.save(rows.select("page_id", "bytes", "digest"), "payloads")
+    copies = scratch.save(_copies(slim, least_bytes), "copies")
+    total = copies.agg(F.sum(F.col("bytes").cast("long") * F.col("n"))).first()[0] or 0
+    partitions = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    size = F.ceil(F.log2(F.greatest("bytes", F.lit(SMALLEST)) / SMALLEST) / 3).cast("int")
+    classes = sorted(r[0] for r in slim.select(size.alias("size")).distinct().collect())  # 7 at most, as bytes are an int
+    for c in classes or [0]:
+        own = _with_first(rows.where(size == c) if len(classes) > 1 else rows, copies, partitions)
+        _write_records(own, f"{path}/size={c}", max(1, file_bytes // (SMALLEST * 8**c)))
+    scratch.drop("payloads", "copies")
+
+
+def _write_records(rows: DataFrame, path: str, records_per_file: int) -> None:
+    rows = rows.withColumn("again", F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False)))
     crlf = F.lit("\r\n")
     date = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), "bytes", F.lit("\r\n\r\n"))
@@ -126,7 +174,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in CDX.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CDX)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CDX)
 
 
 def loser_merge(runs: list[list[tuple]]):
@@ -189,6 +237,6 @@ def merge_index(entries: DataFrame, scratch: Scratch) -> DataFrame:
 def archive(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Writes pages to archives, reads them back and merges their indexes: one row per page."""
     scratch = scratch or Scratch(pages.sparkSession, "warc")
-    write_warc(pages, f"{scratch.path}/archives", least_bytes)
+    write_warc(pages, f"{scratch.path}/archives", least_bytes, scratch=scratch)
     entries = scratch.save(read_warc(pages.sparkSession, f"{scratch.path}/archives"), "cdx")
     return merge_index(entries, scratch)

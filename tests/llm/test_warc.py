@@ -47,7 +47,7 @@ def test_round_trip(spark, least):
 def test_files_are_warc(spark):
     path = f"{Scratch(spark, 'w').path}/archives"
     W.write_warc(spark.createDataFrame(corpus(), "page_id long, url string, html string"), path)
-    rows = spark.read.format("binaryFile").load(path).collect()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
     seen = 0
     for f in rows:
         for offset, length, head, block in W.records(bytes(f.content)):
@@ -56,6 +56,24 @@ def test_files_are_warc(spark):
     assert seen == len(corpus())
 
 
+def test_files_are_bounded_by_bytes(spark):
+    rows = spark.range(60).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "repeat(concat('page ', id % 50, ' '), 130000) AS html").coalesce(1)
+    out = W.archive(rows.unionByName(spark.range(60, 3000).selectExpr("id AS page_id", "'http://b/' AS url", "'small' AS html")), 0)
+    path = f"{Scratch(spark, 'w').path}/archives"
+    W.write_warc(rows, path, file_bytes=16 << 20)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()
+    assert len(files) >= 3 and max(f[0] for f in files) < 17 << 20
+    assert out.count() == 3000 and out.where("record_type = 'revisit'").count() == 10 + 2939
+
+
+def test_a_payload_of_most_pages(spark, monkeypatch):
+    monkeypatch.setattr(W, "SALT_ROWS", 7)
+    monkeypatch.setattr(W, "WORDS", 2)
+    rows = [(i, f"http://a/{i}", "common" if i % 3 else f"own {i // 6}") for i in range(600)]
+    out = W.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), 0).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str) == brute(rows, 0)
+
+
 def test_loser_merge():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
