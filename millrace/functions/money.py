@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row, however often it is used: a column that is written out where it
+    is used doubles with every step that uses it twice, and inside a lambda nothing is shared."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def js_round(value: Column) -> Column:
     """Half up, towards positive infinity."""
     return F.floor(value + 0.5)
@@ -26,12 +32,29 @@ def gross(amount: Column, rate: Column) -> Column:
 def cost_breakdown(amount: Column, rate: Column, with_vat: Column, payer: Column, deductible: Column, included: Column | None = None) -> Column:
     """Struct of net, gross, VAT paid, VAT that can be deducted, and the cost that remains."""
     a = F.greatest(F.lit(0.0), F.when(F.isnan(amount) | (F.abs(amount) == float("inf")), 0.0).otherwise(F.coalesce(amount, F.lit(0.0))))
-    r = F.when(payer, rate).otherwise(0)
-    without, whole = net(a, r, with_vat), F.when(with_vat, a).otherwise(gross(a, r))
-    vat = F.greatest(F.lit(0.0), whole - without)
-    back = F.when(deductible & payer, vat).otherwise(0.0)
-    cost = whole - back if included is None else F.when(included, whole - back).otherwise(0.0)
-    return F.struct(without.alias("net"), whole.alias("gross"), vat.alias("input_vat"), back.alias("deductible_vat"), cost.alias("effective_cost"))
+    return let(
+        F.struct(a.alias("a"), F.when(payer, rate).otherwise(0).alias("r"), with_vat.alias("with_vat")),
+        lambda x: let(
+            F.struct(net(x["a"], x["r"], x["with_vat"]).alias("net"), F.when(x["with_vat"], x["a"]).otherwise(gross(x["a"], x["r"])).alias("gross")),
+            lambda y: let(F.greatest(F.lit(0.0), y["gross"] - y["net"]), lambda vat: _costs(y, vat, deductible & payer, included)),
+        ),
+    )
+
+
+def _costs(amounts: Column, vat: Column, deductible: Column, included: Column | None) -> Column:
+    back = F.when(deductible, vat).otherwise(0.0)
+    cost = amounts["gross"] - back if included is None else F.when(included, amounts["gross"] - back).otherwise(0.0)
+    return F.struct(amounts["net"].alias("net"), amounts["gross"].alias("gross"), vat.alias("input_vat"), back.alias("deductible_vat"), cost.alias("effective_cost"))
+
+
+def unit_costs(rate: Column, with_vat: Column, payer: Column, deductible: Column, included: Column) -> Column:
+    """Struct of the cost that remains of one unit of an amount and the VAT in it that can be deducted: a breakdown is
+    in proportion to its amount, if that isn't negative."""
+    share = rate / 100
+    vat = F.when(payer, F.greatest(F.lit(0.0), F.when(with_vat, share / (1 + share)).otherwise(share))).otherwise(0.0)
+    whole = F.when(payer & ~with_vat, 1 + share).otherwise(1.0)
+    back = F.when(deductible, vat).otherwise(0.0)
+    return F.struct(F.when(included, whole - back).otherwise(0.0).alias("cost"), back.alias("deductible"))
 
 
 def expense_amount(kind: Column, value: Column, base: Column, enabled: Column) -> Column:

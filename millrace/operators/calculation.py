@@ -6,7 +6,9 @@ the entries of `subcontractors` and, with a value in the amount's place, `expens
   agent: (present, kind, value, price_base, vat_rate, with_vat, payer, deductible, included)
   financing: (enabled, rate, monthly, advance, delay, stages (share, delay), factoring, guarantees, reserve)
   currency: (enabled, amount, rate); price_vat_rate, min_margin, warning_margin, target.
-Missing numbers count as zero, missing flags as false. All of it is narrow: a price and a row give a result.
+Missing numbers count as zero, missing flags as false. All of it is narrow: a price and a row give a result. Costs that
+follow the price do so in a straight line, so each calculation is reduced to a few coefficients first, once for however
+many prices are asked for; at a price there is only arithmetic left, without lambdas.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.money import cost_breakdown, gross
+from millrace.functions.money import cost_breakdown, gross, let, unit_costs
 
 EPSILON = 1e-9
 
@@ -36,23 +38,51 @@ def _sum(parts: Column, field: str) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[field])
 
 
-def expense_base(expense: Column, direct: Column, price_net: Column, price_gross: Column) -> Column:
-    """What a percentage is of: the contract price, a base of its own, or the direct costs."""
-    price = F.when(expense["price_base"] == "gross", price_gross).otherwise(price_net)
-    return F.when(expense["base"] == "contract-price", price).when(expense["base"] == "custom", _zero(expense["custom_base"])).otherwise(direct)
+def _unit(part: Column, included: Column) -> Column:
+    return unit_costs(F.coalesce(part["vat_rate"].cast("double"), F.lit(0.0)), _flag(part["with_vat"]), _flag(part["payer"]), _flag(part["deductible"]), included)
 
 
-def financing_cost(terms: Column, direct: Column, price_gross: Column) -> Column:
-    """Waiting for payment over the stages (one of what the advance leaves, if there are none), factoring of what is
-    financed, guarantees, and a reserve on the direct costs."""
+def _line(fixed: Column, slope: Column, unit: Column) -> Column:
+    """Cost and deductible VAT of an amount of fixed + slope * net price."""
+    return F.struct(
+        (fixed * unit["cost"]).alias("fixed"), (slope * unit["cost"]).alias("slope"),
+        (fixed * unit["deductible"]).alias("fixed_vat"), (slope * unit["deductible"]).alias("slope_vat"),
+    )
+
+
+def expense_line(expense: Column, direct: Column, price_factor: Column) -> Column:
+    """What an expense costs at any price: a fixed sum, or a percentage of the contract price, of a base of its own, or
+    of the direct costs. price_factor is the gross price over the net one."""
+    value, percent, contract = _zero(expense["value"]), expense["kind"] == "percent", expense["base"] == "contract-price"
+    of = F.when(contract, 0.0).when(expense["base"] == "custom", _zero(expense["custom_base"])).otherwise(direct)
+    fixed = F.when(~_flag(expense["enabled"]), 0.0).when(percent, of * value / 100).otherwise(value)
+    slope = F.when(_flag(expense["enabled"]) & percent & contract, value / 100 * F.when(expense["price_base"] == "gross", price_factor).otherwise(1.0)).otherwise(0.0)
+    return let(F.struct(fixed.alias("fixed"), slope.alias("slope"), _unit(expense, _flag(expense["enabled"]) & _flag(expense["included"])).alias("unit")), lambda x: _line(x["fixed"], x["slope"], x["unit"]))
+
+
+def agent_line(agent: Column, price_factor: Column) -> Column:
+    value, present = _zero(agent["value"]), _flag(agent["present"])
+    fixed = F.when(present & (agent["kind"] == "fixed"), value).otherwise(0.0)
+    slope = F.when(present & ~F.coalesce(agent["kind"] == "fixed", F.lit(False)), value / 100 * F.when(agent["price_base"] == "gross", price_factor).otherwise(1.0)).otherwise(0.0)
+    return let(_unit(agent, present & _flag(agent["included"])), lambda unit: _line(fixed, slope, unit))
+
+
+def financing_line(terms: Column, direct: Column, price_factor: Column) -> Column:
+    """(fixed, slope) of what financing costs: waiting for payment over the stages (one of what the advance leaves, if
+    there are none), factoring of what is financed, guarantees, and a reserve on the direct costs."""
     single = F.array(F.struct((F.lit(100.0) - F.least(F.lit(100.0), _zero(terms["advance"]))).alias("share"), terms["delay"].cast("double").alias("delay")))
     given = F.transform(F.coalesce(terms["stages"], F.array()), lambda s: F.struct(s["share"].cast("double").alias("share"), s["delay"].cast("double").alias("delay")))
     stages = F.when(F.size(given) > 0, given).otherwise(single)
     year = F.when(_flag(terms["monthly"]), 30.0).otherwise(365.0)
-    waiting = F.aggregate(stages, F.lit(0.0), lambda s, x: s + price_gross * _zero(x["share"]) / 100 * _zero(terms["rate"]) / 100 * _zero(x["delay"]) / year)
-    financed = price_gross * F.greatest(F.lit(0.0), F.aggregate(stages, F.lit(0.0), lambda s, x: s + F.coalesce(x["share"], F.lit(0.0)))) / 100
-    whole = waiting + financed * _zero(terms["factoring"]) / 100 + _zero(terms["guarantees"]) + direct * _zero(terms["reserve"]) / 100
-    return F.when(_flag(terms["enabled"]), whole).otherwise(0.0)
+    sums = F.aggregate(
+        stages,
+        F.struct(F.lit(0.0).alias("waited"), F.lit(0.0).alias("shares")),
+        lambda s, x: F.struct((s["waited"] + _zero(x["share"]) / 100 * _zero(x["delay"])).alias("waited"), (s["shares"] + F.coalesce(x["share"], F.lit(0.0))).alias("shares")),
+    )
+    enabled = _flag(terms["enabled"])
+    slope = let(sums, lambda s: s["waited"] * _zero(terms["rate"]) / 100 / year + F.greatest(F.lit(0.0), s["shares"]) / 100 * _zero(terms["factoring"]) / 100)
+    fixed = _zero(terms["guarantees"]) + direct * _zero(terms["reserve"]) / 100
+    return F.struct(F.when(enabled, fixed).otherwise(0.0).alias("fixed"), F.when(enabled, slope * price_factor).otherwise(0.0).alias("slope"))
 
 
 def calculation_issues() -> Column:
@@ -73,53 +103,76 @@ def calculation_issues() -> Column:
     return F.array_compact(F.array(*[F.when(holds, says) for holds, says in rules]))
 
 
+def price_free(df: DataFrame) -> DataFrame:
+    """df with `_calc`, what no price changes: own and subcontracted costs, the currency part, the issues, and the lines
+    (fixed + slope * net price) of what follows the price."""
+    kept = df.columns
+    factor = 1 + F.coalesce(F.col("price_vat_rate").cast("double"), F.lit(0.0)) / 100
+    df = df.withColumn("_own", _breakdown(F.col("cost"), F.col("cost.amount").cast("double")))
+    df = df.withColumn("_sub", F.transform(F.coalesce("subcontractors", F.array()), lambda s: _breakdown(s, s["amount"].cast("double"))))
+    currency = F.when(_flag(F.col("currency.enabled")), _zero(F.col("currency.amount")) * _zero(F.col("currency.rate"))).otherwise(0.0)
+    df = df.withColumns({"_direct": F.col("_own.effective_cost") + _sum(F.col("_sub"), "effective_cost"), "_currency": currency, "_factor": factor})
+    df = df.withColumns(
+        {
+            "_expenses": F.transform(F.coalesce("expenses", F.array()), lambda e: expense_line(e, F.col("_direct"), F.col("_factor"))),
+            "_agent": agent_line(F.col("agent"), F.col("_factor")),
+            "_financing": financing_line(F.col("financing"), F.col("_direct") + F.col("_currency"), F.col("_factor")),
+        }
+    )
+    fields = {
+        "factor": F.col("_factor"), "issues": calculation_issues(), "own_net": F.col("_own.net"), "subcontractors_net": _sum(F.col("_sub"), "net"), "direct": F.col("_direct"), "currency": F.col("_currency"),
+        "deductible": F.col("_own.deductible_vat") + _sum(F.col("_sub"), "deductible_vat"), "agent": F.col("_agent"), "financing": F.col("_financing"),
+        **{f"more_{c}": _sum(F.col("_expenses"), c) for c in ("fixed", "slope", "fixed_vat", "slope_vat")},
+    }
+    return df.select(*kept, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_calc"))
+
+
 def result_at_price(df: DataFrame, price: Column) -> DataFrame:
     """df with `result`: what the calculation comes to at a net price. Margin is infinite where the price is nothing
     and there is a loss, markup where the costs are nothing and there is a profit."""
+    return results_at_prices(df, F.array(price)).drop("step")
+
+
+def results_at_prices(df: DataFrame, prices: Column) -> DataFrame:
+    """df with `step` and `result` for each price of an array. The rows are made after what is common to all prices, and
+    the optimizer doesn't move that behind them, where it would be written out again for every use."""
+    kept = [c for c in df.columns if c != "step"]
+    steps = price_free(df).withColumn("_prices", prices).select(*kept, "_calc", F.posexplode("_prices").alias("step", "_price"))
+    return _priced(steps, F.col("_price"), [*kept, "step"])
+
+
+def _priced(df: DataFrame, price: Column, kept: list[str]) -> DataFrame:
     own = F.when(F.isnan(price) | (F.abs(price) == float("inf")), 0.0).otherwise(_zero(price))
-    kept = df.columns
-    df = df.withColumn("_net", own).withColumn("_gross", gross(F.col("_net"), F.coalesce(F.col("price_vat_rate"), F.lit(0.0))))
-    df = df.withColumn("_own", _breakdown(F.col("cost"), F.col("cost.amount").cast("double")))
-    df = df.withColumn("_sub", F.transform(F.coalesce("subcontractors", F.array()), lambda s: _breakdown(s, s["amount"].cast("double"))))
-    df = df.withColumn("_direct", F.col("_own.effective_cost") + _sum(F.col("_sub"), "effective_cost"))
-    df = df.withColumn("_currency", F.when(_flag(F.col("currency.enabled")), _zero(F.col("currency.amount")) * _zero(F.col("currency.rate"))).otherwise(0.0))
-
-    def expense(e: Column) -> Column:
-        percent = expense_base(e, F.col("_direct"), F.col("_net"), F.col("_gross")) * _zero(e["value"]) / 100
-        amount = F.when(~_flag(e["enabled"]), 0.0).when(e["kind"] == "percent", percent).otherwise(_zero(e["value"]))
-        return _breakdown(e, amount, _flag(e["enabled"]) & _flag(e["included"]))
-
-    df = df.withColumn("_expenses", F.transform(F.coalesce("expenses", F.array()), expense))
-    share = F.when(F.col("agent.price_base") == "gross", F.col("_gross")).otherwise(F.col("_net")) * _zero(F.col("agent.value")) / 100
-    quoted = F.when(~_flag(F.col("agent.present")), 0.0).when(F.col("agent.kind") == "fixed", _zero(F.col("agent.value"))).otherwise(share)
-    df = df.withColumn("_agent", _breakdown(F.col("agent"), quoted, _flag(F.col("agent.present")) & _flag(F.col("agent.included"))))
-    df = df.withColumn("_financing", financing_cost(F.col("financing"), F.col("_direct") + F.col("_currency"), F.col("_gross")))
-    df = df.withColumn("_more", _sum(F.col("_expenses"), "effective_cost"))
-    df = df.withColumn("_full", F.col("_direct") + F.col("_currency") + F.col("_more") + F.col("_agent.effective_cost") + F.col("_financing"))
-    df = df.withColumn("_profit", F.col("_net") - F.col("_full"))
-    profit, full, net, infinite = F.col("_profit"), F.col("_full"), F.col("_net"), float("inf")
+    c = lambda name: F.col(f"_calc.{name}")
+    net = F.col("_net")
+    df = df.withColumn("_net", own).withColumns(
+        {
+            "_gross": net * c("factor"), "_more": c("more_fixed") + c("more_slope") * net, "_agent": c("agent.fixed") + c("agent.slope") * net, "_financing": c("financing.fixed") + c("financing.slope") * net,
+            "_deductible": c("deductible") + c("more_fixed_vat") + c("more_slope_vat") * net + c("agent.fixed_vat") + c("agent.slope_vat") * net,
+        }
+    )
+    df = df.withColumn("_full", c("direct") + c("currency") + F.col("_more") + F.col("_agent") + F.col("_financing")).withColumn("_profit", net - F.col("_full"))
+    profit, full, infinite = F.col("_profit"), F.col("_full"), float("inf")
     rate = lambda whole, other: F.when(whole > EPSILON, profit / F.nullif(whole, F.lit(0.0)) * 100).otherwise(other)
-    margin = rate(net, F.when(profit < 0, -infinite).otherwise(0.0))
-    deductible = F.col("_own.deductible_vat") + _sum(F.col("_sub"), "deductible_vat") + _sum(F.col("_expenses"), "deductible_vat") + F.col("_agent.deductible_vat")
-    df = df.withColumns({"_margin": margin, "_deductible": deductible, "_issues": calculation_issues()})
-    bad = (F.size("_issues") > 0) | (profit < 0) | (F.col("_margin") < F.col("min_margin"))
+    df = df.withColumn("_margin", rate(net, F.when(profit < 0, -infinite).otherwise(0.0)))
+    bad = (F.size(c("issues")) > 0) | (profit < 0) | (F.col("_margin") < F.col("min_margin"))
     status = F.when(bad, "danger").when(F.col("_margin") < F.col("warning_margin"), "warning").otherwise("success")
     output = F.col("_gross") - net
     fields = {
-        "valid": F.size("_issues") == 0, "issues": F.col("_issues"), "price_net": net, "price_gross": F.col("_gross"), "output_vat": output, "deductible_vat": F.col("_deductible"), "vat_payable": output - F.col("_deductible"),
-        "own_net": F.col("_own.net"), "subcontractors_net": _sum(F.col("_sub"), "net"), "direct_costs": F.col("_direct"), "additional_costs": F.col("_more"), "agent_commission": F.col("_agent.effective_cost"),
-        "financing_cost": F.col("_financing"), "currency_cost": F.col("_currency"), "full_costs": full, "profit": profit, "margin": F.col("_margin"), "markup": rate(full, F.when(profit > 0, infinite).otherwise(0.0)),
+        "valid": F.size(c("issues")) == 0, "issues": c("issues"), "price_net": net, "price_gross": F.col("_gross"), "output_vat": output, "deductible_vat": F.col("_deductible"), "vat_payable": output - F.col("_deductible"),
+        "own_net": c("own_net"), "subcontractors_net": c("subcontractors_net"), "direct_costs": c("direct"), "additional_costs": F.col("_more"), "agent_commission": F.col("_agent"),
+        "financing_cost": F.col("_financing"), "currency_cost": c("currency"), "full_costs": full, "profit": profit, "margin": F.col("_margin"), "markup": rate(full, F.when(profit > 0, infinite).otherwise(0.0)),
         "profitability": rate(full, F.lit(0.0)), "status": status,
-    }
-    return df.withColumn("result", F.struct(*[c.alias(n) for n, c in fields.items()])).select(*[c for c in kept if c != "result"], "result")
+    }
+    return df.withColumn("result", F.struct(*[v.alias(n) for n, v in fields.items()])).select(*[n for n in kept if n != "result"], "result")
 
 
 def price_scenarios(df: DataFrame, price: Column, points: int = 9) -> DataFrame:
     """`points` prices from 80 to 120 percent, with what the calculation comes to at each: costs follow the price."""
-    steps = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    return result_at_price(steps, price * (0.8 + F.col("step") * (0.4 / max(1, points - 1))))
+    return results_at_prices(df, F.array(*[price * (0.8 + i * (0.4 / max(1, points - 1))) for i in range(points)]))
 
 
-def chart_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(low, high) of a curve for a chart, which always shows zero: the least of the values and 0, the largest and 1."""
-    return df.groupBy(*keys).agg(F.least(F.min(value), F.lit(0.0)).alias("low"), F.greatest(F.max(value), F.lit(1.0)).alias("high"))
+def chart_range(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """(low, high) of a curve for a chart, which always shows zero: the least of the values and 0, the largest and 1;
+    with more aggregates of the same groups."""
+    return df.groupBy(*keys).agg(F.least(F.min(value), F.lit(0.0)).alias("low"), F.greatest(F.max(value), F.lit(1.0)).alias("high"), *more)

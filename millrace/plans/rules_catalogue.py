@@ -170,8 +170,8 @@ def calculation_at_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CALCULATION.format(factor="(0.8 + step * 0.05)", steps=", range(9) AS t(step)") + """SELECT l_orderkey, round(least(min(profit), 0) + 0.000013, 4) AS low, round(greatest(max(profit), 1) + 0.000013, 4) AS high, round(sum(full_c), 0) AS costs FROM f GROUP BY 1""")
 def price_scenario_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = calculation.price_scenarios(_calculations(spark, sf_dir), F.col("proposed_price")).select("l_orderkey", F.col("result.profit").alias("profit"), F.col("result.full_costs").alias("costs"))
-    costs = found.groupBy("l_orderkey").agg(F.round(F.sum("costs"), 0).alias("costs"))
-    return calculation.chart_range(found, ["l_orderkey"], "profit").select("l_orderkey", F.round(F.col("low") + OFF, 4).alias("low"), F.round(F.col("high") + OFF, 4).alias("high")).join(costs, "l_orderkey")
+    ranges = calculation.chart_range(found, ["l_orderkey"], "profit", F.round(F.sum("costs"), 0).alias("costs"))
+    return ranges.select("l_orderkey", F.round(F.col("low") + OFF, 4).alias("low"), F.round(F.col("high") + OFF, 4).alias("high"), "costs")
 
 
 # ---- records and imports
