@@ -1,12 +1,14 @@
 """Text of DOCX and XLSX files as rows, a row for each fragment, from any file system that Spark reads.
 
 Files are read by Spark's binary source, one a row; a task holds one file at a time. A file that is not what its
-name says, is broken or goes beyond a bound gives one row with an error and no text, and the others go on. PDF
-needs a library that is not there, and is such an error.
+name says, is broken or goes beyond a bound gives one row with an error and no text, and the others go on; contents of
+files of more than MOST_BYTES are not read at all (and so have no digest). PDF needs a library that is not there, and
+is such an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,26 +18,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import REL, SHEET, WORD, _members
+from millrace.sources.tables import MOST_BYTES, MOST_UNPACKED_DOCX, WORD, Workbook, opened
 
 # Bounds, media types, and the texts that locate a fragment.
-MOST_FRAGMENTS, MOST_CHARS, MOST_BYTES = 50_000, 20 << 20, 1 << 30
+MOST_FRAGMENTS, MOST_CHARS = 50_000, 20 << 20
 OFFICE = "application/vnd.openxmlformats-officedocument."
 MEDIA = {".docx": OFFICE + "wordprocessingml.document", ".xlsx": OFFICE + "spreadsheetml.sheet"}
 PARAGRAPH, TABLE, TABLE_ROW, SECTION, HEADER, FOOTER, SHEET_NAME, HIDDEN = "Абзац", "Таблица", "Таблица, строка", "Раздел", "Верхний колонтитул", "Нижний колонтитул", "Лист", "Лист «{}» скрыт и включён в проверку."
-PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+SIZE = "a document has from 1 byte to 1 GiB"
 FRAGMENTS = "path string, media string, size long, sha256 string, place int, id string, locator string, section string, text string, warnings array<string>, error string"
 
 
-def _text(element) -> str:
-    return "".join(t.text or "" for t in element.iter(f"{WORD}t")).strip()
+def _text(element, told: frozenset | set = frozenset()) -> str:
+    """The text of an element, but for what has been told of below it."""
+    if element in told:
+        return ""
+    own = element.text or "" if element.tag == f"{WORD}t" else ""
+    return own + "".join(_text(child, told) for child in element)
 
 
 def docx_fragments(data: bytes) -> Iterator[tuple[str, str, str, str]]:
     """(id, locator, section, text) of paragraphs outside tables, table rows, headers and footers; numbers count blank
-    ones as well. Rows of nested tables come before the row that holds them."""
-    archive = _members(data)
-    counts = {"p": 0, "tr": 0}
+    ones as well. Rows of nested tables and paragraphs of text boxes come before what holds them, and are no part of it."""
+    archive = opened(data, MOST_UNPACKED_DOCX)
+    counts, told = {"p": 0, "tr": 0}, set()
 
     def walk(element, in_row: bool):
         for child in element:
@@ -45,54 +51,43 @@ def docx_fragments(data: bytes) -> Iterator[tuple[str, str, str, str]]:
                 counts[kind] += 1
                 n = counts[kind]
                 if kind == "p":
-                    yield f"paragraph-{n}", f"{PARAGRAPH} {n}", f"{PARAGRAPH} {n}", _text(child)
+                    yield f"paragraph-{n}", f"{PARAGRAPH} {n}", f"{PARAGRAPH} {n}", _text(child, told).strip()
                 else:
-                    yield f"table-row-{n}", f"{TABLE_ROW} {n}", TABLE, "\t".join(_text(c) for c in child.iter(f"{WORD}tc")).strip()
+                    inner = nested(child)
+                    cells = [c for c in child.iter(f"{WORD}tc") if c not in inner]
+                    yield f"table-row-{n}", f"{TABLE_ROW} {n}", TABLE, "\t".join(_text(c, told).strip() for c in cells).strip()
+                told.add(child)
+
+    def nested(row) -> set:
+        return {c for below in row.iter(f"{WORD}tr") if below is not row for c in below.iter(f"{WORD}tc")}
 
     yield from walk(ElementTree.fromstring(archive.read("word/document.xml")), False)
     parts = sorted(n for n in archive.namelist() if re.fullmatch(r"word/(header|footer).*\.xml", n))
     for i, name in enumerate(parts, 1):
         kind = HEADER if name.startswith("word/header") else FOOTER
-        paragraphs = [_text(p) for p in ElementTree.fromstring(archive.read(name)).iter(f"{WORD}p")]
+        paragraphs = [_text(p).strip() for p in ElementTree.fromstring(archive.read(name)).iter(f"{WORD}p")]
         yield f"section-{i}-{kind}", f"{SECTION} {i}: {kind}", f"{SECTION} {i}", "\n".join(filter(None, paragraphs))
 
 
 def xlsx_fragments(data: bytes, warnings: list[str]) -> Iterator[tuple[str, str, str, str]]:
-    """(id, locator, section, text) of the rows of all sheets, hidden ones with a warning."""
-    archive = _members(data)
-    names, shared, n = set(archive.namelist()), [], 0
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).findall(f"{SHEET}si")]
-    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")).iter(PACKAGE)}
-
-    def value(cell) -> str:
-        if cell.get("t") == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
-        raw = cell.findtext(f"{SHEET}v") or ""
-        return shared[int(raw)] if cell.get("t") == "s" and raw.isdigit() and int(raw) < len(shared) else raw
-
-    for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
-        name = sheet.get("name", SHEET_NAME)
-        if sheet.get("state", "visible") != "visible":
-            warnings.append(HIDDEN.format(name))
-        target = targets.get(sheet.get(f"{REL}id"), "")
-        part = target.lstrip("/") if target.startswith("/xl/") else f"xl/{target.lstrip('/')}"
-        if part not in names:
-            continue
-        for row in ElementTree.fromstring(archive.read(part)).iter(f"{SHEET}row"):
-            cells = row.findall(f"{SHEET}c")
-            text = "\t".join(map(value, cells)).strip()
-            if text:
-                n += 1
-                ends = [c.get("r", "") for c in (cells[0], cells[-1])]
-                yield f"sheet-{n}", f"{SHEET_NAME} {name}, {ends[0] if ends[0] == ends[1] else ':'.join(ends)}", name, text
+    """(id, locator, section, text) of the rows of all sheets, located by their first and last cells; hidden sheets are read
+    with a warning. A sheet whose part is missing has no rows."""
+    book, shown = Workbook(data), 0
+    for name, hidden, part in book.sheets():
+        title = SHEET_NAME if name is None else name
+        warnings += [HIDDEN.format(title)] if hidden else []
+        for cells in book.rows(part) if part else ():
+            if line := "\t".join(text for _, text in cells).strip():
+                shown += 1
+                span = ":".join(dict.fromkeys([cells[0][0], cells[-1][0]]))
+                yield f"sheet-{shown}", f"{SHEET_NAME} {title}, {span}", title, line
 
 
 def fragments_of(name: str, data: bytes) -> tuple[list[tuple[str, str, str, str]], list[str]]:
     """Fragments with text, and warnings; raises where the file is not to be read."""
     suffix = "." + name.rpartition(".")[2].lower()
     if not 1 <= len(data) <= MOST_BYTES:
-        raise ValueError("a document has from 1 byte to 1 GiB")
+        raise ValueError(SIZE)
     if suffix not in MEDIA or not data.startswith(b"PK\x03\x04"):
         raise ValueError("neither a DOCX nor an XLSX file")
     warnings: list[str] = []
@@ -116,15 +111,20 @@ def document_fragments(spark: SparkSession, path: str) -> DataFrame:
                     (found, warnings), error = fragments_of(name, data), None
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     found, warnings, error = [], [], f"{type(e).__name__}: {e}"
-                rows = [(name, data, i, *f, warnings, error) for i, f in enumerate(found)] or [(name, data, None, None, None, None, None, warnings, error)]
-                yield pd.DataFrame(rows, columns=["path", "content", "place", "id", "locator", "section", "text", "warnings", "error"]).astype({"place": "Int32"}).assign(size=len(data)).drop(columns="content")
+                rows = [(i, *f) for i, f in enumerate(found)] or [(None,) * 5]
+                own = pd.DataFrame(rows, columns=["place", "id", "locator", "section", "text"]).astype({"place": "Int32"})
+                yield own.assign(path=name, size=len(data), sha256=hashlib.sha256(data).hexdigest(), warnings=[warnings] * len(own), error=error)
 
     files = spark.read.format("binaryFile").load(path)
-    digests = files.select("path", F.sha2("content", 256).alias("sha256"))
-    out = files.select("path", "content").mapInPandas(run, "path string, place int, id string, locator string, section string, text string, warnings array<string>, error string, size long")
+    kinds = "path string, size long, sha256 string, place int, id string, locator string, section string, text string, warnings array<string>, error string"
+    # the bound is pushed to the source, which reads no contents beyond it
+    out = files.where(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(run, kinds)
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in kinds.split(", ")}
+    large = none | {"path": F.col("path"), "size": F.col("length"), "warnings": F.array().cast("array<string>"), "error": F.lit("ValueError: " + SIZE)}
+    out = out.unionByName(files.where(F.col("length") > MOST_BYTES).select(*[v.alias(c) for c, v in large.items()]))
     media = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])
     typed = out.withColumn("media", F.when(F.col("error").isNull(), media[F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))]))
-    return typed.join(digests, "path").select(*[c.split()[0] for c in FRAGMENTS.split(", ")])
+    return typed.select(*[c.split()[0] for c in FRAGMENTS.split(", ")])
 
 
 def document_texts(fragments: DataFrame) -> DataFrame:

@@ -1,36 +1,25 @@
-"""CSV in the spreadsheet dialect, and tables of XLSX and DOCX files by Python data sources (standard library only)."""
+"""CSV output in the spreadsheet dialect, and tables of XLSX and DOCX files (standard library only)."""
 
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.functions.text import csv_cell
+from millrace.sources.delimited import read_csv, sniff_delimiter  # noqa: F401  (the reading half of write_csv)
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-MOST_UNPACKED = 500 << 20
-
-
-def sniff_delimiter(first_line: str) -> str:
-    return ";" if first_line.count(";") >= first_line.count(",") else ","
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, cells) of CSV files: delimiter from the first line, quotes doubled, cells trimmed, empty rows dropped."""
-    first = spark.read.text(path).limit(1).collect()
-    delimiter = sniff_delimiter(first[0].value.removeprefix("﻿") if first else "")
-    raw = spark.read.csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, inferSchema=False)
-    cells = F.array(*[F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^﻿", "")) for c in raw.columns]) if raw.columns else F.array()
-    rows = raw.select(F.monotonically_increasing_id().alias("row_idx"), cells.alias("cells"))
-    return rows.where(F.exists("cells", lambda c: c != ""))
+# Bounds of archives.
+MOST_UNPACKED, MOST_UNPACKED_DOCX, MOST_PARTS, MOST_RATIO = 500 << 20, 4 << 30, 50_000, 500
+MOST_BYTES = 1 << 30
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,10 +32,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def _members(data: bytes) -> zipfile.ZipFile:
+class UnsafeArchive(ValueError):
+    """An archive that goes beyond a bound."""
+
+
+def opened(data: bytes, most_unpacked: int = MOST_UNPACKED) -> zipfile.ZipFile:
+    """The archive, if its parts are no more, no larger and no more compressed than they may be."""
     book = zipfile.ZipFile(io.BytesIO(data))
-    if sum(i.file_size for i in book.infolist()) > MOST_UNPACKED:
-        raise ValueError("the archive unpacks to more than 500 MiB")
+    parts = book.infolist()
+    if len(parts) > MOST_PARTS:
+        raise UnsafeArchive(f"the archive has more than {MOST_PARTS} parts")
+    if sum(p.file_size for p in parts) > most_unpacked:
+        raise UnsafeArchive(f"the archive unpacks to more than {most_unpacked >> 20} MiB")
+    for p in parts:
+        if p.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", p.filename):
+            raise UnsafeArchive("the archive has a part outside of itself")
+        if p.file_size > MOST_RATIO * p.compress_size > 0:
+            raise UnsafeArchive(f"a part of the archive unpacks to more than {MOST_RATIO} times its size")
     return book
 
 
@@ -57,32 +59,61 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+class Workbook:
+    """Sheets of an XLSX file, a row at a time."""
+
+    def __init__(self, data: bytes):
+        self.archive = opened(data)
+        self.parts = set(self.archive.namelist())
+        self.strings: list[str] = []
+        if "xl/sharedStrings.xml" in self.parts:
+            self.strings = [self._letters(e) for e in self._ended("xl/sharedStrings.xml", "si")]
+
+    @staticmethod
+    def _letters(element) -> str:
+        return "".join(t.text or "" for t in element.iter(f"{SHEET}t"))
+
+    def _ended(self, part: str, tag: str):
+        """Elements of a part as they end, emptied after use."""
+        with self.archive.open(part) as stream:
+            for _, element in ElementTree.iterparse(stream):
+                if element.tag == f"{SHEET}{tag}":
+                    yield element
+                    element.clear()
+
+    def sheets(self):
+        """(name, hidden, part) of every sheet; the part is None where it is missing."""
+        relations = ElementTree.fromstring(self.archive.read("xl/_rels/workbook.xml.rels"))
+        parts = {r.get("Id"): posixpath.normpath(posixpath.join("/xl", r.get("Target", ""))).lstrip("/") for r in relations}
+        for sheet in ElementTree.fromstring(self.archive.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
+            part = parts.get(sheet.get(f"{REL}id"))
+            yield sheet.get("name"), sheet.get("state", "visible") != "visible", part if part in self.parts else None
+
+    def _shown(self, cell) -> str:
+        kind = cell.get("t")
+        if kind == "inlineStr":
+            return self._letters(cell)
+        value = cell.findtext(f"{SHEET}v") or ""
+        return self.strings[int(value)] if kind == "s" and value.isdecimal() and int(value) < len(self.strings) else value
+
+    def rows(self, part: str):
+        """Each row as its cells (reference, text)."""
+        for row in self._ended(part, "row"):
+            yield [(c.get("r", ""), self._shown(c)) for c in row.iter(f"{SHEET}c")]
+
+
 def xlsx_sheets(data: bytes) -> list[tuple[str, bool, list[list[str]]]]:
-    """(name, hidden, rows of cells as text) of every sheet."""
-    book = _members(data)
-    names = set(book.namelist())
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    out = []
-    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
-        target = targets[sheet.get(f"{REL}id")].lstrip("/")
+    """(name, hidden, rows of cells as text, each in its column) of every sheet."""
+    book, out = Workbook(data), []
+    for name, hidden, part in book.sheets():
         rows = []
-        for row in ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{SHEET}row"):
-            cells: list[str] = []
-            for c in row.iter(f"{SHEET}c"):
-                at = _column(c.get("r", "")) if c.get("r") else len(cells)
-                cells += [""] * (at - len(cells))
-                if c.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{SHEET}t"))
-                else:
-                    v = c.find(f"{SHEET}v")
-                    value = "" if v is None else v.text or ""
-                    value = shared[int(value)] if c.get("t") == "s" and value else value
-                cells.append(value.strip())
-            rows.append(cells)
-        out.append((sheet.get("name"), sheet.get("state", "visible") != "visible", rows))
+        for cells in book.rows(part) if part else ():
+            row: list[str] = []
+            for reference, text in cells:
+                row += [""] * (_column(reference) - len(row)) if reference else []
+                row.append(text.strip())
+            rows.append(row)
+        out.append((name, hidden, rows))
     return out
 
 
@@ -104,7 +135,7 @@ def best_table(sheets: list[tuple[str, bool, list[list[str]]]]) -> tuple[str, li
 
 def docx_table(data: bytes) -> list[list[str]]:
     """Rows of the first table outside other tables; nested ones are flattened into their cell."""
-    body = ElementTree.fromstring(_members(data).read("word/document.xml")).find(f"{WORD}body")
+    body = ElementTree.fromstring(opened(data, MOST_UNPACKED_DOCX).read("word/document.xml")).find(f"{WORD}body")
     table = body.find(f"{WORD}tbl") if body is not None else None
     if table is None:
         return []
@@ -125,42 +156,9 @@ def docx_table(data: bytes) -> list[list[str]]:
     return rows if len(rows) >= 2 else []
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _TableReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File):
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        rows = docx_table(data) if partition.path.lower().endswith(".docx") else best_table(xlsx_sheets(data))[1]
-        for i, cells in enumerate(rows):
-            yield partition.path, i, cells
-
-
-class OfficeTable(DataSource):
-    """spark.read.format("office_table").load(path): (file, row_idx, cells) of local XLSX and DOCX files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "office_table"
-
-    def schema(self) -> str:
-        return "file string, row_idx int, cells array<string>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TableReader(self.options)
-
-
 def office_tables(spark: SparkSession, path: str) -> DataFrame:
-    """As OfficeTable, for files in any file system that Spark reads."""
+    """(file, row_idx, cells) of the best table of XLSX and DOCX files, in any file system that Spark reads. Files of more
+    than MOST_BYTES are an error, and their contents are not read."""
 
     def run(frames):
         import pandas as pd
@@ -170,4 +168,7 @@ def office_tables(spark: SparkSession, path: str) -> DataFrame:
                 rows = docx_table(data) if name.lower().endswith(".docx") else best_table(xlsx_sheets(data))[1]
                 yield pd.DataFrame({"file": [name] * len(rows), "row_idx": range(len(rows)), "cells": rows})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row_idx int, cells array<string>")
+    files = spark.read.format("binaryFile").load(path)
+    if large := files.where(F.col("length") > MOST_BYTES).select("path").first():
+        raise ValueError(f"{large.path} has more than {MOST_BYTES} bytes")
+    return files.where(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(run, "file string, row_idx int, cells array<string>")
