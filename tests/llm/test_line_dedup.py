@@ -2,8 +2,8 @@ import numpy as np
 
 import pytest
 
-from millrace.llm import line_dedup as D
-from millrace.llm.line_dedup import dedup_lines
+from millrace.llm import jaccard_join as J
+from millrace.llm.line_dedup import SMALL, characters, common, dedup_lines, windows
 
 
 def grams(line, w=5):
@@ -120,7 +120,7 @@ def test_recall(spark, similarity, least):
 
 def test_groups_that_leaders_do_not_settle(spark, monkeypatch):
     """Many lines of one base, near one another and far: compared in tiles, which must find all that pairs would."""
-    monkeypatch.setattr(D, "TILE", 7)
+    monkeypatch.setattr(J, "TILE", 7)
     rng, base, rows = np.random.default_rng(6), sentence(np.random.default_rng(5), 30), []
     for d in range(120):
         line = list(base)
@@ -130,5 +130,76 @@ def test_groups_that_leaders_do_not_settle(spark, monkeypatch):
     assert sum(a != b for a, b in zip(run(spark, rows), brute(rows))) <= 2  # what banding may miss
 
 
+def pair_of(rng, size, similarity):
+    """A line with about this many shingles, and one like it, just as similar as asked for."""
+    line = "".join(rng.choice(list("abcdefghijklmnop "), size + 4))
+    other, nearest = line, None
+    for _ in range(200):
+        at = int(rng.integers(len(other) + 1))
+        edited = [other[:at] + "#", other[:at] + other[at + 1 :], other[:at] + "+" + other[at:]][rng.integers(3)]
+        edited = edited if len(edited) > len(other) // 2 else other + "!"
+        x, y = grams(line), grams(edited)
+        if edited != line and len(x & y) >= similarity * len(x | y):
+            other = nearest = edited
+    return line, nearest or line + "!"
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("size", [5, 6, 8, 10, 14, 20, 28, 36, 42, 50, 60, 90])
+def test_shared_windows_by_size(size, similarity):
+    """Of pairs of this similarity, how many share a window: all of small sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    pairs = [pair_of(rng, size, similarity) for _ in range(400)]
+    pairs = [p for p in pairs if len(grams(p[0]) & grams(p[1])) >= similarity * len(grams(p[0]) | grams(p[1]))]
+    if not pairs:  # no two sets of this size are as similar
+        return
+    sides = []
+    for side in zip(*pairs, strict=True):
+        found = [windows(pa.array(side[i : i + 100]), 5) for i in range(0, len(side), 100)]
+        sides.append([set(sig[a:b].tolist()) for _, sig, at in found for a, b in zip(at[:-1], at[1:], strict=True)])
+    met = sum(bool(a & b) for a, b in zip(*sides, strict=True))
+    small = size <= SMALL - 8
+    assert met == len(pairs) if small else met >= 0.95 * len(pairs)
+
+
+def test_short_lines(spark):
+    """A line of 5 shingles and the same without its last character share 4 of 5."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in range(300):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+        rows += [(2 * d, line), (2 * d + 1, line[:-1])]
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(n for *_, n in got) == 300
+
+
+def test_sets_of_characters():
+    import pyarrow as pa
+
+    lines = ["", "ab", "naïve Été 日本語 x", "🙂🙂🙂🙂🙂🙂", "aaaaaaaa", "plain line"]
+    found, at = characters(pa.array(lines))
+    assert np.diff(at).tolist() == [len(x) for x in lines] and len({*found.tolist()}) == len({*"".join(lines)})
+    other = ["x", "ab", "naïve été 日本語 x", "🙂🙂🙂🙂🙂", "aaaaaaab", "plain line"]
+    m, n, both = common(pa.array(lines), pa.array(other), 5)
+    full = lambda x: grams(x) if len(x) >= 5 else set()
+    assert [m.tolist(), n.tolist(), both.tolist()] == [[len(full(x)) for x in lines], [len(full(x)) for x in other], [len(full(x) & full(y)) for x, y in zip(lines, other, strict=True)]]
+
+
+def test_clashing_columns(spark):
+    ddl = "doc_id long, text string, _gone string, _id string, line string, N_lines int, gone int, row int, whole int, id int"
+    rows = [(i, "the same line of words once more", "g", "i", "l", 7, 1, 2, 3, 4) for i in range(3)]
+    out = dedup_lines(spark.createDataFrame(rows, ddl))
+    assert out.columns == ["doc_id", "text", "_gone", "_id", "line", "gone", "row", "whole", "id", "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.n_removed, r._gone, r.id) for r in out.collect()) == [(0, 0, "g", 4), (1, 1, "g", 4), (2, 1, "g", 4)]
+
+
+def test_document_of_many_lines(spark):
+    rows = [(1, "\n".join(f"line number {i:09d} is its own {i * 7919 % 100003}" for i in range(20_000))), (2, "\n".join(["all the same words again"] * 50_000))]
+    got = {d: (n, r) for d, _, n, r in run(spark, rows)}
+    assert got[2] == (50_000, 49_999)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
