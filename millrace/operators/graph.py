@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import running
+from millrace.shared import saved
+
 
 def parent_edges(relations: DataFrame) -> DataFrame:
     """(child, parent) from (source, target, type): a head is the parent, a subsidiary or branch the child."""
@@ -92,47 +94,51 @@ def directory_issues(companies: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def merge_entities(companies: DataFrame, name_key: str, inn: str, order: str) -> DataFrame:
-    """(order, entity): cards merged in their order, by INN first, else by name where the INNs agree or one is
-    blank. Which entity a blank INN joins depends on the order, so connected components would not do; but merging
-    never crosses from one group of linked names and INNs to another, and groups are small.
+    """(order, entity): cards merged in their order, an entity named by the place of its first card.
+
+    A card joins the entity that has its INN; else the entity that was last opened under its name, if that one's INN or
+    its own is blank; else it opens one. What an entity is depends on the order, but only through a few cards of each
+    name, which aggregates find: an INN's first card opens an entity, or takes over the name's first card without an
+    INN, if that came before any entity of the name and no other INN has taken it; cards without an INN join the entity
+    opened last before them. The last is a running value, by a prefix scan: a name may have half of all cards.
 
-    Groups are components of equal names and INNs, found by rounds of minima; each is merged in one task.
+    A null name is none: without an INN such a card stays alone. Places are unique.
     """
     cards = companies.select(F.col(order).alias("at"), F.col(name_key).alias("name"), F.coalesce(F.col(inn), F.lit("")).alias("inn"))
-    grouped = _groups(cards)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        by_inn: dict[str, int] = {}
-        by_name: dict[str, list[int]] = {}
-        inns: dict[int, str] = {}
-        out = []
-        for at, name, number in group.sort_values("at")[["at", "name", "inn"]].itertuples(index=False):
-            entity = by_inn.get(number) if number else None
-            if entity is None:
-                entity = next((e for e in by_name.get(name, []) if not number or not inns[e] or inns[e] == number), None) if name else None
-            if entity is None:
-                entity = at
-                inns[entity] = number
-            inns[entity] = inns[entity] or number
-            if number:
-                by_inn.setdefault(number, entity)
-            if entity not in by_name.setdefault(name, []):
-                by_name[name].append(entity)
-            out.append((at, entity))
-        return pd.DataFrame(out, columns=["at", "entity"])
-
-    return grouped.groupBy("component").applyInPandas(merge, "at long, entity long")
-
-
-def _groups(cards: DataFrame) -> DataFrame:
-    """Cards with the least place of their component of equal names and INNs, blanks apart."""
-    state = _cut(cards.withColumn("component", F.col("at")))
-    while True:
-        by_name = state.where("name <> ''").groupBy("name").agg(F.min("component").alias("c_name"))
-        by_inn = state.where("inn <> ''").groupBy("inn").agg(F.min("component").alias("c_inn"))
-        near = state.join(by_name, "name", "left").join(by_inn, "inn", "left")
-        step = near.select("at", "name", "inn", F.col("component").alias("before"), F.least("component", "c_name", "c_inn").alias("component"))
-        step = _cut(step)
-        if step.where("component <> before").isEmpty():
-            return step.drop("before")
-        state = step.drop("before")
+    first = cards.where("inn <> ''").groupBy("inn").agg(F.min(F.struct("at", "name")).alias("f")).select("inn", "f.at", "f.name")
+    taker = first.where("name IS NOT NULL").groupBy("name").agg(F.min("at").alias("taken_at"))
+    blank = cards.where("inn = '' AND name IS NOT NULL")
+    opened = blank.groupBy("name").agg(F.min("at").alias("opened_at")).join(taker, "name", "left").where("taken_at IS NULL OR opened_at < taken_at")
+    opened = saved(opened, "entities-opened")
+    by_inn = first.join(opened, "name", "left").select("inn", "name", "at", F.when(F.col("at") == F.col("taken_at"), F.col("opened_at")).otherwise(F.col("at")).alias("entity"))
+    by_inn = saved(by_inn, "entities-inn")
+
+    # at one place an opening comes before the card
+    events = [
+        opened.select("name", F.col("opened_at").alias("at"), F.lit(0).alias("card"), F.col("opened_at").alias("entity")),
+        by_inn.where("name IS NOT NULL").select("name", "at", F.lit(0).alias("card"), "entity"),
+        blank.select("name", "at", F.lit(1).alias("card"), F.lit(None).cast(cards.schema["at"].dataType).alias("entity")),
+    ]
+    followed = running(events[0].unionByName(events[1]).unionByName(events[2]), ["name"], ["at", "card"], lasts={"into": F.col("entity")})
+    return (
+        cards.where("inn <> ''").join(by_inn.select("inn", "entity"), "inn").select("at", "entity")
+        .unionByName(followed.where("card = 1").select("at", F.col("into").alias("entity")))
+        .unionByName(cards.where("inn = '' AND name IS NULL").select("at", F.col("at").alias("entity")))
+    )
+
+
+def merged_cards(companies: DataFrame, entities: DataFrame, order: str, fields: list[str]) -> DataFrame:
+    """One card for each entity (see merge_entities): of each field the first value that isn't blank; internal and manual
+    if any card is (scope, source), archived if all are."""
+    each = companies.join(entities.select(F.col("at").alias(order), "entity"), order)
+    firsts = [F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col(order))), F.lit("")).alias(c) for c in fields]
+    flags = [F.when(F.count_if(F.col(c) == v) > 0, v).otherwise(F.min_by(c, order)).alias(c) for c, v in (("scope", "internal"), ("source", "manual"))]
+    return each.groupBy("entity").agg(F.min_by("name", order).alias("name"), *firsts, *flags, F.min("archived").alias("archived"))
+
+
+def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations (source, target, type, note) between entities, repeated ones once; a target that is no card stays."""
+    ends = entities.where("at <> entity")
+    for end in ("source", "target"):
+        relations = relations.join(ends.select(F.col("at").alias(end), F.col("entity").alias("_entity")), end, "left").withColumn(end, F.coalesce("_entity", end)).drop("_entity")
+    return relations.select("source", "target", "type", "note").distinct()

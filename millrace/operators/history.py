@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 IGNORED = ("id", "createdAt", "updatedAt", "schemaVersion")
 
 
-@udtf(returnType="path string, value string")
-class FlattenJson:
-    """Leaves of a JSON text as (path, value); array entries are numbered from 1. Unreadable text has none."""
-
-    def eval(self, payload: str) -> Iterator[tuple[str, str]]:
-        import json
+def json_depth(payload: Column) -> Column:
+    """How deep arrays and objects of a JSON text nest, from its brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(payload, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))
+    steps = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.coalesce(F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"]), F.lit(0))
 
-        try:
-            top = json.loads(payload) if payload else {}
-        except ValueError:
-            return
-        stack = [("", top)]
-        while stack:
-            path, value = stack.pop()
-            if isinstance(value, dict) and value:
-                stack += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
-            elif isinstance(value, list) and value:
-                stack += [(f"{path}.№ {i}" if path else f"№ {i}", v) for i, v in reversed(list(enumerate(value, 1)))]
-            elif path:
-                yield path, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
+def flatten_json(df: DataFrame, id_col: str, json_col: str, most_depth: int = 64) -> DataFrame:
+    """(id, path, value) of every leaf of a JSON text; array entries are numbered from 1, what is empty is a leaf. Unreadable
+    text has none.
 
-def flatten_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, path, value) of every leaf; a lateral join with the table function."""
+    Texts are parsed into variants, which are exploded a level at a time, as many times as the deepest one needs; a leaf
+    stays what it is. Deeper texts than most_depth are an error.
+    """
     spark = df.sparkSession
-    spark.udtf.register("millrace_flatten_json", FlattenJson)
-    slim = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("payload"))
-    return spark.sql("SELECT t.id, f.path, f.value FROM {slim} t, LATERAL millrace_flatten_json(t.payload) f", slim=slim)
+    slim = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("payload")).where(F.col("payload") != "")
+    deepest = slim.agg(F.max(F.when(F.try_parse_json("payload").isNotNull(), json_depth(F.col("payload"))))).first()[0] or 0
+    if deepest > most_depth:
+        raise ValueError(f"a JSON text nests {deepest} deep, and {most_depth} is the bound")
+    level = slim.select("id", F.lit("").alias("path"), F.try_parse_json("payload").alias("v")).where("v IS NOT NULL")
+    for _ in range(deepest):
+        level = spark.sql(
+            """SELECT t.id, IF(x.pos IS NULL, t.path, concat(t.path, IF(t.path = '', '', '.'), coalesce(x.key, concat('№ ', x.pos + 1)))) AS path, IF(x.pos IS NULL, t.v, x.value) AS v
+            FROM {t} t, LATERAL variant_explode_outer(t.v) AS x""",
+            t=level,
+        )
+    text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+    return level.where("path <> ''").select("id", "path", text.alias("value"))
 
 
 def diff(old: DataFrame, new: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:

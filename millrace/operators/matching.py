@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.shared import saved
 
 # The contract rule bank as (id, severity, pattern). \w is ASCII, as in the original rules, so it
 # stands for no Cyrillic letter.
@@ -23,7 +24,9 @@ CONTRACT_RULES = [
 
 
 def rule_hits(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(id, rule, severity, match): the first match of every rule that matches; the text is read once."""
+    """(id, rule, severity, match): the first match of every rule that matches. Texts that no rule matches, which are
+    most, are read once for all rules."""
+    df = df.where(F.col(text_col).rlike("(?iu)" + "|".join(f"(?:{p})" for _, _, p in rules)))
     found = [F.struct(F.lit(i).alias("rule"), F.lit(s).alias("severity"), F.regexp_extract(text_col, f"(?iu)(?:{p})", 0).alias("match")) for i, s, p in rules]
     hits = F.explode(F.filter(F.array(*found), lambda x: x["match"] != "")).alias("hit")
     return df.where(F.col(text_col).isNotNull()).select(id_col, hits).select(id_col, "hit.*")
@@ -32,11 +35,36 @@ def rule_hits(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str,
 def overlap_rank(needs: DataFrame, candidates: DataFrame, need_id: str, need_words: Column, candidate_id: str, candidate_words: Column, most: int) -> DataFrame:
     """The candidates with the most words in common with each need, ties by id.
 
-    Words meet in a join on the word, counts are pre-aggregated; only pairs with a common word appear.
+    Not all pairs with a common word are made. A need's words are ordered from rare to frequent. The first `most`
+    candidates of each of its words are scored in full; the most-th score s is a bound: who reaches s, and more than one
+    word, has one of all but the s - 1 most frequent words, so only candidates of those rarer words are scored, too. Who
+    has a single word and is on the list is among that word's first candidates.
     """
-    left = needs.select(F.col(need_id).alias("need"), F.explode(need_words).alias("word"))
-    right = candidates.select(F.col(candidate_id).alias("candidate"), F.explode(candidate_words).alias("word"))
-    scores = left.join(right, "word").groupBy("need", "candidate").agg(F.count("*").alias("relevance"))
+    left = needs.select(F.col(need_id).alias("need"), F.array_distinct(need_words).alias("words")).where("need IS NOT NULL")
+    asked = saved(left.select("need", F.explode("words").alias("word")), "overlap-asked")
+    right = candidates.select(F.col(candidate_id).alias("candidate"), F.explode(F.array_distinct(candidate_words)).alias("word"))
+    # only words that are asked for
+    postings = saved(right.join(asked.select("word").distinct(), "word", "left_semi"), "overlap-postings")
+    held = saved(postings.groupBy("candidate").agg(F.collect_set("word").alias("held")), "overlap-held")
+
+    frequency = postings.groupBy("word").agg(F.count("*").alias("frequency"))
+    by_rarity = Window.partitionBy("need").orderBy("frequency", "word")
+    ranked = saved(asked.join(frequency, "word").withColumn("place", F.row_number().over(by_rarity)).withColumn("words", F.count("*").over(Window.partitionBy("need"))), "overlap-ranked")
+
+    firsts = postings.withColumn("turn", F.row_number().over(Window.partitionBy("word").orderBy("candidate"))).where(F.col("turn") <= most).select("word", "candidate")
+    some = _scored(ranked.select("need", "word").join(firsts, "word").select("need", "candidate").distinct(), left, held)
+    bound = _first(some, most).groupBy("need").agg(F.when(F.count("*") >= most, F.min("relevance")).otherwise(1).alias("bound"))
+    rare = ranked.join(bound, "need").where(F.col("place") <= F.col("words") - F.greatest("bound", F.lit(2)) + 1).select("need", "word")
+    others = rare.join(postings, "word").select("need", "candidate").distinct().join(some.select("need", "candidate"), ["need", "candidate"], "left_anti")
+    return _first(some.unionByName(_scored(others, left, held)), most)
+
+
+def _scored(pairs: DataFrame, needs: DataFrame, held: DataFrame) -> DataFrame:
+    both = pairs.join(needs, "need").join(held, "candidate")
+    return saved(both.select("need", "candidate", F.size(F.array_intersect("words", "held")).cast("long").alias("relevance")), "overlap-scored")
+
+
+def _first(scores: DataFrame, most: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("need").orderBy(F.desc("relevance"), "candidate"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -28,22 +28,57 @@ def staff_load(assignments: DataFrame, start: str, end: str, hours_a_day: float
 
 
 def interval_conflicts(df: DataFrame, key: str, id_col: str, start: str, end: str, load: str, most: float, bucket_days: int = 30) -> DataFrame:
-    """Pairs (first_id < second_id) of one key that overlap and exceed the load together.
+    """Pairs (first_id < second_id) of one key that overlap and exceed the load together. An interval with a missing bound
+    overlaps all of its key; one that ends before it starts overlaps only those.
 
-    A missing bound overlaps everything. Dated intervals meet in buckets of days, once per pair, so a key with
-    many intervals is many small joins.
+    Of a pair that exceeds the load one is heavy, with more than half of it, so light rows never meet each other. Dated
+    intervals meet in buckets of days, wider by powers of two for longer ones, each with those as long in two or three
+    buckets and with longer ones in theirs. Open intervals and their partners meet by load: what a heavy row may go with is
+    all above a load, and that is a few nodes of a binary tree of loads, so nearly every pair that is made is a result.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(load).alias("load")).where("k IS NOT NULL")
-    dated, open_ended = rows.where("s IS NOT NULL AND e IS NOT NULL"), rows.where("s IS NULL OR e IS NULL")
-    number = lambda d: F.floor(F.unix_date(d) / bucket_days)
-    spread = dated.where("s <= e").withColumn("first", number(F.col("s"))).withColumn("bucket", F.explode(F.sequence("first", number(F.col("e")))))
-    a, b = (spread.select("k", "bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "e", "load", "first")]) for x in "ab")
-    met = a.join(b, ["k", "bucket"]).where("id_a < id_b AND s_a <= e_b AND s_b <= e_a AND bucket = greatest(first_a, first_b)")
-    left, right = (x.select("k", F.col("id").alias(f"id_{n}"), F.col("load").alias(f"load_{n}"), (F.col("s").isNull() | F.col("e").isNull()).alias(f"open_{n}")) for x, n in ((open_ended, "a"), (rows, "b")))
-    loose = left.join(right, "k").where("id_a <> id_b AND (NOT open_b OR id_a < id_b)")
-    loose = loose.select("k", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "load_a", "load_b")
-    pairs = met.select("k", "id_a", "id_b", "load_a", "load_b").unionByName(loose).where(F.col("load_a") + F.col("load_b") > most)
-    return pairs.select(F.col("k").alias(key), F.col("id_a").alias("first_id"), F.col("id_b").alias("second_id"), F.round(F.col("load_a") + F.col("load_b"), 6).alias("load"))
+    rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(load).cast("double").alias("load"))
+    rows = rows.where("k IS NOT NULL AND load IS NOT NULL").withColumns({"heavy": F.col("load") * 2 > most, "open": F.col("s").isNull() | F.col("e").isNull()})
+    pairs = _dated_pairs(rows.where("NOT open AND s <= e"), most, bucket_days).unionByName(_open_pairs(rows, most))
+    ids = [f("id_a", "id_b") for f in (F.least, F.greatest)]
+    return pairs.select(F.col("k").alias(key), ids[0].alias("first_id"), ids[1].alias("second_id"), F.round(F.col("load_a") + F.col("load_b"), 6).alias("load"))
+
+
+def _dated_pairs(rows: DataFrame, most: float, bucket_days: int) -> DataFrame:
+    number = lambda day, level: F.floor(F.unix_date(day) / (bucket_days * F.pow(F.lit(2), level)))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.datediff("e", "s") + 1) / F.lit(float(bucket_days))))).cast("int")
+    leveled = rows.withColumn("own", level)
+    # a key has as many levels as octaves of length, some 20 at most
+    levels = leveled.groupBy("k").agg(F.collect_set("own").alias("levels"))
+    met = leveled.join(levels, "k").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own"))))
+    met = met.withColumn("first", number(F.col("s"), F.col("level"))).withColumn("bucket", F.explode(F.sequence("first", number(F.col("e"), F.col("level")))))
+    a, b = (side.select("k", "level", "bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "e", "load", "first", "own", "heavy")]) for x, side in (("a", met.where("heavy")), ("b", met)))
+    once = "bucket = greatest(first_a, first_b) AND (own_a = level OR own_b = level) AND (NOT heavy_b OR id_a < id_b)"
+    found = a.join(b, ["k", "level", "bucket"]).where(f"{once} AND id_a <> id_b AND s_a <= e_b AND s_b <= e_a").where(F.col("load_a") + F.col("load_b") > most)
+    return found.select("k", "id_a", "id_b", "load_a", "load_b")
+
+
+def _open_pairs(rows: DataFrame, most: float, depth: int = 12) -> DataFrame:
+    side = lambda df, x: df.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "load", "open")])
+    heavy, light = rows.where("heavy"), rows.where("NOT heavy")
+    # two heavy ones always exceed the load
+    both = side(heavy.where("open"), "a").join(side(heavy, "b"), "k").where("id_a <> id_b AND (NOT open_b OR id_a < id_b)")
+
+    leaves = 1 << depth
+    leaf = lambda x: F.greatest(F.lit(0), F.least(F.lit(leaves - 1), F.floor(x / (abs(most) / 2 or 1.0) * leaves))).cast("int")
+    at = lambda j, of: F.struct(F.lit(j).alias("height"), of.alias("node"))
+    up = [at(j, F.shiftright("leaf", j)) for j in range(depth)]
+    # all leaves above a heavy row's own bound, as whole subtrees, and that leaf itself
+    above = [F.when(F.shiftright("leaf", j) % 2 == 0, at(j, F.shiftright("leaf", j) + 1)) for j in range(depth)]
+    asks = heavy.withColumn("leaf", leaf(most - F.col("load"))).withColumn("n", F.explode(F.array_compact(F.array(at(0, F.col("leaf")), *above))))
+    told = light.withColumn("leaf", leaf(F.col("load"))).withColumn("n", F.explode(F.array(*up)))
+    found = []
+    for a, b in ((asks.where("open"), told), (asks.where("NOT open"), told.where("open"))):
+        # only of keys where one of them is open
+        b = b.join(a.select("k").distinct(), "k", "left_semi")
+        sides = [df.select("k", "n.height", "n.node", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "load", "open")]) for df, x in ((a, "a"), (b, "b"))]
+        found.append(sides[0].join(sides[1], ["k", "height", "node"]).where("id_a <> id_b").where(F.col("load_a") + F.col("load_b") > most))
+    columns = ["k", "id_a", "id_b", "load_a", "load_b"]
+    return both.select(*columns).unionByName(found[0].select(*columns)).unionByName(found[1].select(*columns))
 
 
 def calendar(schedules: DataFrame, start: str, end: str, id_col: str, order: list[str], most: int = 4) -> DataFrame:

@@ -1,15 +1,24 @@
-"""Ordered operators: running balances, retention, fill-forward, version chains, eviction, page windows."""
+"""Ordered operators: running balances, retention, fill-forward, version chains, eviction, page windows.
+
+Where a key may have more rows than a task should hold, or where there is none, `hot` takes a prefix scan instead of a
+window.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import running
+
 
-def cash_flow(df: DataFrame, keys: list[str], order: list[str], date: Column, amount: str = "amount") -> DataFrame:
+def cash_flow(df: DataFrame, keys: list[str], order: list[str], date: Column, amount: str = "amount", hot: bool = False) -> DataFrame:
     """Closing balance, largest gap below zero and the date at which the balance first reaches its minimum."""
-    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    balance = df.withColumn("bal", F.round(F.sum(amount).over(running), 6)).withColumn("at", F.struct(*order))
+    if hot:
+        summed = running(df, keys, order, sums={"bal": amount})
+    else:
+        summed = df.withColumn("bal", F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    balance = summed.withColumn("bal", F.round("bal", 6)).withColumn("at", F.struct(*order))
     lowest = F.min(F.struct("bal", "at", date.alias("day")))
     return balance.groupBy(*keys).agg(F.round(F.sum(amount), 6).alias("closing_balance"), lowest.alias("low")).select(
         *keys, "closing_balance", F.abs(F.least("low.bal", F.lit(0.0))).alias("cash_gap"), F.when(F.col("low.bal") < 0, F.col("low.day")).alias("gap_date")
@@ -34,11 +43,14 @@ def version_chain(df: DataFrame, keys: list[str], order: list[str], version: str
     return df.withColumn("supersedes", F.lag(version).over(chain)).withColumn("stale", F.lead(version).over(chain).isNotNull())
 
 
-def evict(df: DataFrame, keys: list[str], order: list[Column], size: str, most_rows: int, most_size: int) -> DataFrame:
+def evict(df: DataFrame, keys: list[str], order: list[Column], size: str, most_rows: int, most_size: int, hot: bool = False) -> DataFrame:
     """Rows that a cache drops: beyond a rank or a running sum of sizes, in order of use."""
+    beyond = (F.col("rank") > most_rows) | (F.col("running") > most_size)
+    if hot:
+        return running(df, keys, order, sums={"rank": F.lit(1), "running": size}).where(beyond)
     used = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("rank", F.row_number().over(used)).withColumn("running", F.sum(size).over(used.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where((F.col("rank") > most_rows) | (F.col("running") > most_size))
+    return ranked.where(beyond)
 
 
 def rotate(df: DataFrame, keys: list[str], order: list[Column], keep: int, too_old: Column) -> DataFrame:
@@ -47,11 +59,14 @@ def rotate(df: DataFrame, keys: list[str], order: list[Column], keep: int, too_o
     return df.withColumn("rank", rank).where((F.col("rank") > keep) | too_old)
 
 
-def forward_fill(df: DataFrame, keys: list[str], order: list[str], marker: Column, columns: list[str]) -> DataFrame:
+def forward_fill(df: DataFrame, keys: list[str], order: list[str], marker: Column, columns: list[str], hot: bool = False) -> DataFrame:
     """Columns of the last row up to this one whose marker holds."""
-    up_to = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(marker, F.struct(*columns)), ignorenulls=True).over(up_to)
-    return df.withColumn("_last", last).withColumns({f"filled_{c}": F.col(f"_last.{c}") for c in columns}).drop("_last")
+    marked = F.when(marker, F.struct(*columns))
+    if hot:
+        filled = running(df, keys, order, lasts={"_last": marked})
+    else:
+        filled = df.withColumn("_last", F.last(marked, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.withColumns({f"filled_{c}": F.col(f"_last.{c}") for c in columns}).drop("_last")
 
 
 def page_window(df: DataFrame, keys: list[str], order: str, radius: int = 8) -> DataFrame:
@@ -67,8 +82,13 @@ def page_window(df: DataFrame, keys: list[str], order: str, radius: int = 8) ->
     )
 
 
-def share_of_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def share_of_max(df: DataFrame, keys: list[str], value: str, hot: bool = False) -> DataFrame:
     """Rank by value and percentage of the group's maximum, taken as 1 at least."""
+    if hot:
+        first = running(df, keys, [F.desc(value), "label"], sums={"rank": F.lit(1)})
+        largest = df.groupBy(*keys).agg(F.greatest(F.max(value), F.lit(1.0)).alias("_largest"))
+        both = first.join(largest, keys) if keys else first.join(F.broadcast(largest), F.lit(True))
+        return both.withColumn("share", F.round(F.col(value) / F.col("_largest") * 100, 6)).drop("_largest")
     group = Window.partitionBy(*keys)
     share = F.col(value) / F.greatest(F.max(value).over(group), F.lit(1.0)) * 100
     return df.withColumn("share", F.round(share, 6)).withColumn("rank", F.row_number().over(group.orderBy(F.desc(value), "label")))

@@ -531,9 +531,46 @@ def directory_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.directory_issues(companies, relations)
 
 
-@query()
+CARDS = "SELECT c_custkey AS p, c_custkey % 700 AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey % 1000 AS VARCHAR) END AS inn FROM customer"
+
+
+@query(f"""WITH c AS ({CARDS}), f AS (SELECT inn, min(p) AS p, arg_min(name, p) AS name FROM c WHERE inn <> '' GROUP BY inn),
+t AS (SELECT name, min(p) AS taken FROM f GROUP BY name), o AS (SELECT name, min(p) AS opened FROM c WHERE inn = '' GROUP BY name),
+e AS (SELECT f.inn, f.name, f.p, CASE WHEN f.p = t.taken AND o.opened < t.taken THEN o.opened ELSE f.p END AS entity FROM f JOIN t USING (name) LEFT JOIN o USING (name))
+SELECT c.p AS "at", coalesce(e.entity, (SELECT arg_max(x.entity, x.p) FROM e x WHERE x.name = c.name AND x.p < c.p), o.opened) AS entity FROM c LEFT JOIN e ON c.inn <> '' AND e.inn = c.inn LEFT JOIN o ON o.name = c.name""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent merging has no SQL form; tests compare it with a plain loop."""
     key = F.col("c_custkey")
     cards = table(spark, sf_dir, "customer").select(key, text.company_name_strict(F.concat(F.lit("Co. "), key % 700)).alias("name"), F.when(key % 3 == 0, "").otherwise((key % 1000).cast("string")).alias("inn"))
     return graph.merge_entities(cards, "name", "inn", "c_custkey")
+
+
+# ---- one key, or none, with all rows
+
+
+@query(f"""
+WITH e AS (SELECT event_id, ts, {SIGNED} AS amount FROM events),
+r AS (SELECT *, sum(amount) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bal FROM e), m AS (SELECT round(least(min(bal), 0), 6) AS lo FROM r)
+SELECT (SELECT round(sum(amount), 6) FROM e) AS closing_balance, abs(lo) AS cash_gap, (SELECT min(strftime(ts, '%Y-%m-%d')) FROM r WHERE lo < 0 AND round(bal, 6) = lo) AS gap_date FROM m""")
+def ledger_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.expr(SIGNED).alias("amount"))
+    return windows.cash_flow(events, [], ["ts", "event_id"], F.date_format("ts", "yyyy-MM-dd"), hot=True)
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS filled_value, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS filled_source
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def ledger_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "value", F.col("event_id").alias("source"))
+    return windows.forward_fill(events, [], ["ts", "event_id"], F.col("event_type") == "signup", ["value", "source"], hot=True).select("event_id", "filled_value", "filled_source")
+
+
+@query("""SELECT doc_id, rank, running FROM (SELECT doc_id, CAST(row_number() OVER w AS BIGINT) AS rank, CAST(sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM documents WINDOW w AS (ORDER BY doc_id DESC)) WHERE rank > 150 OR running > 200000""")
+def whole_cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return windows.evict(docs, [], [F.desc("doc_id")], "n_chars", 150, 200_000, hot=True).select("doc_id", F.col("rank").cast("long").alias("rank"), "running")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS label, l_returnflag, round(l_extendedprice / greatest(max(l_extendedprice) OVER (PARTITION BY l_returnflag), 1) * 100, 6) AS share,
+CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS BIGINT) AS rank FROM lineitem""")
+def share_of_few_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"))
+    return windows.share_of_max(line, ["l_returnflag"], "l_extendedprice", hot=True).select("label", "l_returnflag", "share", F.col("rank").cast("long").alias("rank"))

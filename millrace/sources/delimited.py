@@ -10,13 +10,13 @@ rows of a split, and of the splits before it.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.shared import saved
+
 #: Splits whose bits are broadcast (beyond, lines are joined by a shuffle), and characters that a record may have.
 MOST_BROADCAST, MOST_RECORD = 500_000, 256 << 20
 BOM = "﻿"
@@ -134,28 +134,17 @@ def _joined(fragments: DataFrame, states: DataFrame) -> DataFrame:
     return texts.select("file", "start", "delimiter", "text").mapInPandas(run, "file string, start long, j int, cells array<string>")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared folder; only a local master may go without one."""
-    spark = df.sparkSession
-    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not folder and not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{folder or tempfile.mkdtemp(prefix='millrace-')}/csv-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_idx, cells) of CSV files: the delimiter by each file's first line, cells trimmed, empty rows dropped,
     rows numbered from 0 in each file."""
     lines = _lines(spark, path)
-    states = _saved(_states(lines))
+    states = saved(_states(lines), "csv-states")
     if states.count() <= MOST_BROADCAST:
         # one row a split, and no more than the bound
         ready = lines.join(F.broadcast(states), ["file", "start"])
     else:
         ready = lines.join(states, ["file", "start"]).repartition("file", "start").sortWithinPartitions("file", "start", "at")
-    parsed = _saved(ready.select("file", "start", "value", "inside", "delimiter").mapInPandas(_parsed, PARSED))
+    parsed = saved(ready.select("file", "start", "value", "inside", "delimiter").mapInPandas(_parsed, PARSED), "csv")
     own = parsed.where("kind IS NULL").select("file", "start", F.lit(0).alias("later"), F.col("n").alias("j"), "cells")
     over = _joined(parsed.where("kind IS NOT NULL").select("file", "start", "kind", "fragment"), states)
     # a record that goes beyond its split is the last that begins there

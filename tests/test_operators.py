@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import graph, history, matching, planning, pricing, registry, windows
+from millrace.operators import graph, history, matching, planning, pricing, registry, scan, windows
 
 
 def rows(df):
@@ -151,25 +151,153 @@ def test_contradictory_roles(spark):
     assert rows(graph.directory_issues(companies, relations)) == [(1, "contradictory-role"), (1, "dangling")]
 
 
-def test_entities_depend_on_order(spark):
-    rng = random.Random(5)
-    cards = [(i, rng.choice(["n1", "n2", "n3", "n4", ""]), rng.choice(["", "1", "2", "3", "4", "5"])) for i in range(60)]
-    cards = [(i, f"{n}-{i // 15}" if n else "", f"{x}-{i // 15}" if x else "") for i, n, x in cards]
-    entities, of = [], {}
-    for i, n, x in cards:
-        hit = next((e for e in entities if x and x in e["inns"]), None) or next((e for e in entities if n and n in e["names"] and (not x or not e["inn"] or e["inn"] == x)), None)
+def merged_in_turn(cards):
+    """Card after card: by INN, else by the entity last opened under the name."""
+    by_name, by_inn, inn_of, of = {}, {}, {}, {}
+    for i, name, inn in sorted(cards):
+        match = by_name.get(name) if name is not None else None
+        hit = by_inn.get(inn) if inn else None
+        if hit is None and match is not None and (not inn or not inn_of[match] or inn_of[match] == inn):
+            hit = match
         if hit is None:
-            hit = {"id": i, "names": [], "inns": [], "inn": x}
-            entities.append(hit)
-        hit["inn"] = hit["inn"] or x
-        hit["names"].append(n)
-        hit["inns"] += [x] if x else []
-        of[i] = hit["id"]
-    found = graph.merge_entities(spark.createDataFrame(cards, "i long, n string, x string"), "n", "x", "i")
-    assert rows(found) == sorted(of.items(), key=str)
+            hit = i
+            inn_of[i] = inn
+            if name is not None:
+                by_name[name] = i
+        inn_of[hit] = inn_of[hit] or inn
+        if inn:
+            by_inn[inn] = hit
+        of[i] = hit
+    return sorted(of.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_entities_depend_on_order(spark, seed):
+    rng = random.Random(seed)
+    cards = [(i, rng.choice(["hub", "hub", *[f"n{j}" for j in range(25)], "", None]), rng.choice(["", "", *map(str, range(60))])) for i in range(400)]
+    found = graph.merge_entities(spark.createDataFrame(rng.sample(cards, len(cards)), "i long, n string, x string"), "n", "x", "i")
+    assert sorted(map(tuple, found.collect())) == merged_in_turn(cards)
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_entities_along_a_shuffled_chain(spark):
+    rng = random.Random(9)
+    cards = [(i, f"n{i // 2}", str((i + 1) // 2)) for i in range(5000)]
+    places = rng.sample(range(5000), 5000)
+    cards = [(p, n, x) for p, (_, n, x) in zip(places, cards, strict=True)]
+    assert sorted(map(tuple, graph.merge_entities(spark.createDataFrame(cards, "i long, n string, x string"), "n", "x", "i").collect())) == merged_in_turn(cards)
+
+
+def test_merged_cards(spark):
+    ddl = "i long, name string, inn string, kpp string, scope string, source string, archived boolean"
+    cards = spark.createDataFrame([(1, "a", "", "", "external", "contracts", True), (2, "a", "7", "k2", "internal", "contracts", True), (3, "b", "7", "k3", "external", "manual", False), (4, "c", "", "", "external", "manual", True)], ddl)
+    entities = graph.merge_entities(cards, "name", "inn", "i")
+    assert rows(graph.merged_cards(cards, entities, "i", ["inn", "kpp"])) == [(1, "a", "7", "k2", "internal", "manual", False), (4, "c", "", "", "external", "manual", True)]
+    relations = spark.createDataFrame([(4, 2, "head", ""), (4, 3, "head", ""), (2, 9, "other", "")], "source long, target long, type string, note string")
+    assert rows(graph.merged_relations(relations, entities)) == [(1, 9, "other", ""), (4, 1, "head", "")]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"], ["k", "j"]])
+def test_running_values_of_a_hot_key(spark, keys):
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(2), i, rng.choice([None, *range(-5, 9)]), rng.random() < 0.1) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, j int, i int, v int, m boolean").repartition(7)
+    got = scan.running(df, keys, [F.desc("i")], sums={"n": F.lit(1), "total": "v"}, lasts={"last": F.when(F.col("m"), F.struct("i", "v"))}, partitions=9)
+    w = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({"n": F.row_number().over(w), "total": F.coalesce(F.sum("v").over(w), F.lit(0)), "last": F.last(F.when(F.col("m"), F.struct("i", "v")), ignorenulls=True).over(w)})
+    assert rows(got.select(want.columns)) == rows(want)
+
+
+def test_running_values_are_dealt_out(spark):
+    """One key with all rows: no piece holds more than twice the median."""
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("o"), "id")
+    placed = scan.running(df, ["k"], ["o"], sums={"n": F.lit(1)}, partitions=8)
+    assert placed.agg(F.max("n")).first()[0] == 40_000
+    dealt = df.repartitionByRange(8, "k", "o").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
+def test_hot_variants_equal_windows(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(1, i, float(rng.randrange(-50, 50)), f"l{i:04d}", rng.random() < 0.2) for i in range(500)], "k int, i int, amount double, label string, mark boolean")
+    for f in (
+        lambda hot: windows.cash_flow(df, ["k"], ["i"], F.col("i"), hot=hot),
+        lambda hot: windows.forward_fill(df, ["k"], ["i"], F.col("mark"), ["amount"], hot=hot).select("i", "filled_amount"),
+        lambda hot: windows.evict(df, ["k"], [F.desc("i")], "i", 100, 20_000, hot=hot).select("i", "rank", "running"),
+        lambda hot: windows.share_of_max(df, ["k"], "amount", hot=hot).select("i", "share", "rank"),
+    ):
+        assert rows(f(True)) == rows(f(False))
+
+
+def plain_conflicts(data, most):
+    out = []
+    for i, a in enumerate(data):
+        for b in data[:i]:
+            if a[1] == b[1] and None not in (a[1], a[4], b[4]) and a[4] + b[4] > most and (None in (*a[2:4], *b[2:4]) or a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and b[2] <= a[3]):
+                out.append((a[1], *sorted((a[0], b[0])), round(a[4] + b[4], 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [10.0, 0.0, -3.0])
+def test_interval_conflicts_of_all_lengths(spark, most):
+    rng, day = random.Random(6), dt.date(2020, 1, 1)
+    data = []
+    for i in range(300):
+        s = day + dt.timedelta(rng.randrange(4000))
+        e = s + dt.timedelta(rng.choice([-5, 0, 1, 20, 29, 30, 31, 200, 3000, 20_000]))
+        data.append((i, rng.choice(["x", "y", None]), rng.choice([s, s, None]), rng.choice([e, e, None]), rng.choice([None, -2.0, 0.0, 2.5, 4.9, 5.0, 5.1, 8.0, 12.0, rng.random() * 10])))
+    df = spark.createDataFrame(data, "i int, k string, s date, e date, load double")
+    assert sorted(map(tuple, planning.interval_conflicts(df, "k", "i", "s", "e", "load", most).collect())) == plain_conflicts(data, most)
+
+
+def test_light_open_intervals_make_no_pairs(spark):
+    df = spark.range(100_000).select("id", F.lit("k").alias("k"), F.lit(None).cast("date").alias("s"), F.lit(None).cast("date").alias("e"), F.lit(3.0).alias("load"))
+    assert planning.interval_conflicts(df, "k", "id", "s", "e", "load", 10.0).count() == 0
+
+
+def test_overlap_rank_equals_all_pairs(spark):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    texts = [(i, " ".join(["common", *rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.randrange(6))])) for i in range(400)]
+    asks = [(i, " ".join(["common"] * (i % 3 > 0) + rng.choices(words, k=i % 5))) for i in range(30)]
+    want = []
+    for n, t in asks:
+        scores = sorted((-len({*t.split()} & {*c.split()}), i) for i, c in texts)
+        want += [(n, i, -s, r) for r, (s, i) in enumerate([x for x in scores if x[0]][:7], 1)]
+    found = matching.overlap_rank(spark.createDataFrame(asks, "n int, t string"), spark.createDataFrame(texts, "i int, t string"), "n", F.split("t", " "), "i", F.split("t", " "), 7)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_overlap_rank_makes_few_pairs(spark, monkeypatch):
+    """A word in every text makes no pairs for needs that have another."""
+    made = []
+    scored = matching._scored
+    monkeypatch.setattr(matching, "_scored", lambda pairs, *more: (made.append(pairs.count()), scored(pairs, *more))[1])
+    texts = spark.range(20_000).select("id", F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id") % 1000)).alias("w"))
+    asks = spark.range(50).select(F.col("id").alias("n"), F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id"))).alias("q"))
+    found = matching.overlap_rank(asks, texts, "n", F.col("q"), "id", F.col("w"), 10)
+    assert found.where("relevance = 2").count() == 500 and sum(made) <= 50 * 10 * 5  # of 1,000,000
 
 
 def test_overlap_rank(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha delta"), (3, None)], "id int, t string")
     out = matching.overlap_rank(spark.createDataFrame([(9, "Alpha BETA words")], "need int, t string"), docs, "need", text.tokens(F.col("t")), "id", text.tokens(F.col("t")), 5)
     assert rows(out) == [(9, 1, 2, 1), (9, 2, 1, 2)]
+
+
+def test_json_leaves(spark):
+    texts = {
+        1: '{"a": {"b": [1, {"c": "x"}, []], "e": {}}, "t": true, "n": null, "s": "[not {nested"}',
+        2: '[[["deep"]], 1.50, -2e3, 0]', 3: "broken {", 4: None, 5: "", 6: '"alone"', 7: "{}", 8: '{"q": "say \\"{\\" ü", "dot.ted": 1}',
+    }
+    found = history.flatten_json(spark.createDataFrame(list(texts.items()), "id int, p string"), "id", "p")
+    assert sorted(map(tuple, found.collect())) == sorted([
+        (1, "a.b.№ 1", "1"), (1, "a.b.№ 2.c", "x"), (1, "a.b.№ 3", "[]"), (1, "a.e", "{}"), (1, "t", "true"), (1, "n", "null"), (1, "s", "[not {nested"),
+        (2, "№ 1.№ 1.№ 1", "deep"), (2, "№ 2", "1.5"), (2, "№ 3", "-2000.0"), (2, "№ 4", "0"), (8, "q", 'say "{" ü'), (8, "dot.ted", "1"),
+    ])
+    assert "Python" not in found._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="deep"):
+        history.flatten_json(spark.createDataFrame([(1, "[[[]]]")], "id int, p string"), "id", "p", most_depth=2)
