@@ -117,10 +117,10 @@ def escape_html(value: Column) -> Column:
 
 
 def natural_key(value: Column) -> Column:
-    """Sort key: case and accents folded by collation elsewhere, runs of digits by value, null as blank."""
-    v = F.lower(F.translate(text(value), "ёЁ", "еЕ"))
-    parts = F.regexp_extract_all(v, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)), "")
+    """Sort key: runs of digits by value, each after its length, null as blank. Case and accents are left to a collation."""
+    parts = F.regexp_extract_all(text(value.cast("string")), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(p)), "")
 
 
 def csv_cell(value: Column, delimiter: str = ";") -> Column:
