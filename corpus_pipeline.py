@@ -25,8 +25,10 @@ from millrace.llm.quality import fit, score
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    scored = score(docs.withColumnsRenamed({"score": "_score"}), model).where("score >= 0.5")
-    return scored.select(*[F.col("_score").alias(c) if c == "score" else F.col(f"`{c}`") for c in docs.columns])
+    taken, name = {c.lower() for c in docs.columns}, "score"
+    while name in taken:
+        name = f"_{name}"
+    return score(docs, model, name).where(f"{name} >= 0.5").drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ paragraphs as negatives. Probabilities are calibrated by a temperature, fitted o
 seen, and the unknown class takes licence-like paragraphs whose best family stays below a threshold, fitted so
 that families left out of training fall under it. A family is confirmed if at least `similar` of the word bigrams
 of one of its templates are in the paragraph, all that hold a number or a word that tells licences apart among
-them, and no other family has a larger share of one.
+them, and no other family has a larger share of one; and if what tells it from its nearest kin is there: its name in
+the paragraph, or, as opening sentences are shared by kin, its own clauses in the document and none of the kin's
+(NAMES, CLAUSES). Kin that share the opening (KIN) are tried in turn. A notice that says that something is not under a
+licence confirms none.
 
 Weights are sparse: a word or pair that no template has costs one lookup, so scanning is one pass without a
 shuffle, and the model (FEATURES flags and the few weights that aren't zero) is of bounded size.
@@ -22,6 +25,8 @@ Repeated rows are each scanned; null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,38 +36,43 @@ from pyspark.sql import functions as F
 from millrace.llm.common import small_batches
 from millrace.llm.textops import hash_strings, mix, odd_factors, slices, split_words, whole
 
-SAMPLE, FEATURES, UNKNOWN = 4_000, 1 << 16, "unknown"
+SAMPLE, FEATURES, UNKNOWN = 4_000, 1 << 18, "unknown"
 STEP = 112  # more than a stretch, which has twice the longest template's words at most
 #: Marks of comments at the start and end of lines.
 MARKS = r"^\s*(?:(?:/+\*+!?|\*+/?|/{2,}!?|#+|<!--+|--+|;+|%+|>+|\"{3}|'{3}|(?i:rem|dnl)\b)\s*)+|\s*(?:\*+/|--+>|\"{3}|'{3}|\*|#)?\s*$"
 #: Notices by which texts are put under a licence, by family (fixed values; {y} a year, {h} a holder).
 TEMPLATES = {
     "MIT": [
-        "Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.",
+        "Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "MIT licensed.", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "Released under the Apache 2.0 license.",
+        "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License version 3.",
+        "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License version 3.", "Distributed under the GPL v3.", "Licensed under the GPLv3.",
+        "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License version 2.",
+        "This work is licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License version 2.", "Distributed under the GPL v2.", "Licensed under the GPLv2.",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "LGPL-2.1": [
-        "This work is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU Lesser General Public License version 2.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU Lesser General Public License version 2.1.", "Distributed under the LGPL v2.1.", "Licensed under the LGPLv2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "LGPL-3.0": [
-        "This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License version 3.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License version 3.", "Distributed under the LGPL v3.", "Licensed under the LGPLv3.",
+        "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "AGPL-3.0": [
-        "This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License version 3.", "Distributed under the AGPL v3.", "Licensed under the AGPLv3.",
+        "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -70,16 +80,47 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Released under the 3-clause BSD license.",
+        "Released under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the 2-clause BSD license."],
-    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the 2-clause BSD license.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+}
+#: What names a family in a paragraph, and what names its kin, whose names hold it; over words in lower case, one blank apart.
+NAMES = {
+    "MIT": (r"\bmit licen[sc]ed?\b|\bidentifier mit\b(?!-)", r"\bmit-0\b|\bmit no attribution\b|\bmit-[a-z]"),
+    "Apache-2.0": (r"\bapache (?:software )?licen[sc]e (?:version |v ?)?2(?:\.0)?\b|\bapache[ -]2(?:\.0)?\b", None),
+    "GPL-3.0": (r"\bgnu general public licen[sc]e\b.{0,120}\b(?:version |v ?)3\b|\bgpl[ -]?v?(?:ersion )?3(?:\.0)?\b", None),
+    "GPL-2.0": (r"\bgnu general public licen[sc]e\b.{0,120}\b(?:version |v ?)2\b|\bgpl[ -]?v?(?:ersion )?2(?:\.0)?\b", None),
+    "LGPL-2.1": (r"\blesser general public licen[sc]e\b.{0,120}\b(?:version |v ?)2\.1\b|\blgpl[ -]?v?(?:ersion )?2\.1\b", None),
+    "LGPL-3.0": (r"\blesser general public licen[sc]e\b.{0,120}\b(?:version |v ?)3\b|\blgpl[ -]?v?(?:ersion )?3(?:\.0)?\b", None),
+    "AGPL-3.0": (r"\baffero general public licen[sc]e\b.{0,120}\b(?:version |v ?)3\b|\bagpl[ -]?v?(?:ersion )?3(?:\.0)?\b", None),
+    "CC-BY-NC-4.0": (r"\bcc[ -]by-nc[ -]4\.0\b|\battribution-noncommercial 4\.0\b", None),
+    "CC-BY-4.0": (r"\bcc[ -]by[ -]4\.0\b|\bcommons attribution 4\.0\b", None),
+    "CC-BY-SA-4.0": (r"\bcc[ -]by-sa[ -]4\.0\b|\battribution-sharealike 4\.0\b", None),
+    "BSD-3-Clause": (r"\bbsd[ -]3[ -]clause\b|\b3[ -]clause bsd\b", r"\bbsd-3-clause-[a-z]"),
+    "BSD-2-Clause": (r"\bbsd[ -]2[ -]clause\b|\b2[ -]clause bsd\b", r"\bbsd-2-clause-[a-z]"),
+    "Unlicense": (r"\bunlicense\b|\bfree and unencumbered software released into the public domain\b", None),
+    "ISC": (r"\bisc licen[sc]e\b|\bidentifier isc\b", None),
+    "CC0-1.0": (r"\bcc0\b|\bhas waived all copyright and related or neighboring rights\b", None),
+    "MPL-2.0": (r"\bmozilla public licen[sc]e (?:version |v ?)2\.0\b|\bmpl[ -]2\.0\b", None),
 }
+#: Of families whose texts don't name themselves: clauses that the document must have, and those that only kin have.
+CLAUSES = {
+    "MIT": (["permission is hereby granted free of charge to any person obtaining a copy", "above copyright notice and this permission notice shall be included in all copies"], ["shall not be used in advertising or otherwise to promote"]),
+    "BSD-3-Clause": (["redistributions in binary form must reproduce the above copyright notice", "neither the name of"], ["all advertising materials mentioning features"]),
+    "BSD-2-Clause": (["redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", "this software is provided by"], ["neither the name of", "names of its contributors may", "all advertising materials mentioning features"]),
+    "ISC": (["for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"], ["shall not be used in advertising or"]),
+}
+#: Families whose texts open with the same sentence, by the family that has it as a template.
+KIN = {"BSD-3-Clause": ["BSD-2-Clause"]}
+#: Words before a licence's name that turn a notice around.
+NEGATED = r"\b(?:not|never|no longer|cannot|isn t|aren t|wasn t)\b(?: \S+){0,3} (?:licen[sc]ed|released|distributed|available|covered|provided|under)\b"
 #: Words besides numbers that tell licences of one family of texts apart; a template's pairs with one, or with a
 #: number, must all be in a text that it confirms.
-TELLING = {"lesser", "library", "affero", "noncommercial", "attribution-noncommercial", "attribution-sharealike", "sharealike", "noderivatives", "attribution-noderivatives", "nc", "sa", "nd", "by-nc", "by-sa", "by"}
+TELLING = {"gpl", "lgpl", "agpl", "mit", "isc", "unlicense", "lesser", "library", "affero", "noncommercial", "attribution-noncommercial", "attribution-sharealike", "sharealike", "noderivatives", "attribution-noderivatives", "nc", "sa", "nd", "by-nc", "by-sa", "by"}
 #: Licences that training doesn't see; the threshold of the unknown class is fitted on them.
 OTHERS = [
     "Licensed under the Open Software License version 3.0.", "This document is licensed under the Free Art License.", "Distributed under the terms of the Eclipse Public License.",
@@ -241,7 +282,7 @@ def train(negatives: list[str], seed: int = 7, steps: int = 150) -> dict:
     b[-1] = 1.0
     one = np.eye(len(b))[y]
     share = 1 / np.bincount(y, minlength=len(b))[y]
-    share[y == len(families)] *= 3
+    share[y == len(families)] *= len(families) / 2  # most text is no licence
     share = (share / share.sum())[:, None]
     m = v = 0.0
     theta = np.vstack([w, b])
@@ -262,6 +303,25 @@ def train(negatives: list[str], seed: int = 7, steps: int = 150) -> dict:
     return {"families": families, "grams": grams, "telling": telling, "kept": kept, "weights": theta[:-1], "bias": theta[-1], "temperature": temperature, "threshold": threshold}
 
 
+def plain(text: str) -> str:
+    """A text's words in lower case, one blank apart, without comment marks and punctuation around them."""
+    bare = re.sub(MARKS, " ", text.lower(), flags=re.MULTILINE)
+    return re.sub(r"\s+", " ", re.sub(r"[^\w.+/-]+|\.(?=\s|$)|(?<=\s)[-./]+(?=\s)", " ", bare)).strip()
+
+
+def told_apart(family: str, paragraph: str, document: str, around: str = "") -> bool:
+    """Whether what tells a family from its kin is there, and nothing turns it around, in the paragraph or in the words
+    before it where it is a part of a longer text `around`. All texts are plain."""
+    at = around.find(paragraph)
+    if re.search(NEGATED, around[max(0, at - 40) : at] + paragraph):
+        return False
+    name, kin = NAMES[family]
+    if re.search(name, paragraph):
+        return not (kin and re.search(kin, paragraph))
+    own, others = CLAUSES.get(family, ([], []))
+    return bool(own) and all(c in document for c in own) and not any(c in document for c in others)
+
+
 def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     """(family or UNKNOWN or None, probability, confirmed, paragraphs, licence-like paragraphs) of each text."""
     parts, text = paragraphs(texts)
@@ -288,6 +348,7 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     p = _softmax(z / model["temperature"]) if len(some) else z
     like = np.flatnonzero(p[:, :-1].sum(axis=1) >= 0.5) if len(some) else np.zeros(0, int)
     out = [(None, 0.0, False, int(n), 0) for n in full]
+    wholes: dict[int, str] = {}
     for i in like:
         at = text[some[i]]
         family = int(p[i, :-1].argmax())
@@ -296,6 +357,14 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
         # the share of each family's nearest template; another family's may not be nearer than that of the class
         shares = [max((len(g & own) / len(g) for g, t in zip(*x, strict=True) if t <= own), default=0.0) for x in zip(model["grams"], model["telling"], strict=True)]
         confirmed = chance >= model["threshold"] and shares[family] >= max(similar, *shares)
+        if confirmed:
+            if at not in wholes:
+                wholes[at] = plain(texts[int(at)].as_py())
+            shown = plain(parts[int(some[i])].as_py())
+            around = plain(joined[int(run[some[i]])].as_py()) if some[i] >= lines + n_runs else ""
+            names = [model["families"][family], *KIN.get(model["families"][family], [])]
+            right = next((f for f in names if told_apart(f, shown, wholes[at], around)), None)
+            confirmed, family = right is not None, family if right is None else model["families"].index(right)
         name, best, sure, n, found = out[at]
         if (confirmed, chance) > (sure, best):
             name, best, sure = (model["families"][family] if confirmed else UNKNOWN), chance, confirmed

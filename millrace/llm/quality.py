@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import small_batches
 from millrace.llm.textops import hash_strings, slices, split_words, whole
 
-SAMPLE = 6_000
+SAMPLE, MOST_LINES = 6_000, 500
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
 OWN = 20  # features of a line, besides those of its neighbours
 
@@ -170,7 +170,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Trains on labels (doc_id, quality) outside the held-out fold, on at most about `sample` documents."""
+    """Trains on labels (doc_id, quality) outside the held-out fold, on at most about `sample` documents, those of more
+    than MOST_LINES lines left out."""
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).groupBy("doc_id")
     usable = usable.agg(F.min("quality").alias("y"), F.max("quality").alias("hi")).where("y = hi").select("doc_id", "y")
@@ -182,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
         for batch in batches:
             for piece in slices(batch):
                 x, _, offsets = line_features(piece.column("text"))
-                packed = [x[a:b].astype(np.float32).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("y").cast(pa.int32()), pa.array(packed, pa.binary())], names=["y", "lines"])
+                short = np.diff(offsets) <= MOST_LINES
+                packed = [x[a:b].astype(np.float32).tobytes() for a, b, own in zip(offsets[:-1], offsets[1:], short, strict=True) if own]
+                yield pa.RecordBatch.from_arrays([piece.column("y").cast(pa.int32()).filter(pa.array(short)), pa.array(packed, pa.binary())], names=["y", "lines"])
 
     found = sorted((r.y, bytes(r.lines)) for r in rows.mapInArrow(run, "y int, lines binary").collect())
     y = np.array([f[0] for f in found])
@@ -193,18 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     return train(np.vstack(parts).astype(np.float64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y)
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with a column `score`; the text is read where it lies."""
-    columns = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """docs with a column `name` (one of that name, in whatever case, is replaced); the text is read where it lies."""
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     docs = docs.select(*columns)
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
                 scores = pa.array(score_texts(piece.column("text"), model), pa.float64())
-                yield pa.RecordBatch.from_arrays([*piece.columns, scores], names=[*piece.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, scores], names=[*piece.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ Rows that repeat an id are all written, ordered by text. Columns besides the id
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -103,12 +104,37 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of words, kept by the Python worker over its tasks; begun anew beyond `most` words, so memory is bounded."""
+    """Ids of words, kept by the Python worker over its tasks; begun anew beyond `most` words, so memory is bounded.
+
+    Words of Latin letters are one token of the pre-tokenizer each, so LINE of them are encoded as one text, and parted
+    where a token ends a word, if the vocabulary marks those.
+    """
+
+    LINE, LETTERS, ENDING = 256, re.compile("[a-zÀ-ÖØ-öø-ÿ]+"), "</w>"
 
     def __init__(self, tokenizer, most: int = 300_000):
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.ENDING)]] = True
         self.clear()
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else []
+        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter((i for e in encoded for i in e.ids), np.uint32, int(lens.sum())), lens
+
+    def _encoded_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        lines = [words[i : i + self.LINE] for i in range(0, len(words), self.LINE)]
+        for own, encoded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            whole = len(ends) == len(own) and ends[-1] == len(ids)
+            found.append((ids, np.diff(ends, prepend=0)) if whole else self._encoded(own))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.lens, self.flat, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
@@ -117,13 +143,15 @@ class WordIds:
         """Code of each word; words are distinct."""
         if len(self.codes) + len(words) > self.most:
             self.clear()
-        new = [w for w in words if w not in self.codes]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(lens.sum())
+        fresh = [w for w in words if w not in self.codes]
+        plain = [w for w in fresh if self.LETTERS.fullmatch(w)] if self.ends.any() else []
+        new = plain + [w for w in fresh if not self.LETTERS.fullmatch(w)] if plain else fresh
+        parts = ([self._encoded_lines(plain)] if plain else []) + [self._encoded(new[len(plain) :])]
+        ids, lens = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + total))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.used += total
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
         self.lens = np.concatenate([self.lens, lens])
