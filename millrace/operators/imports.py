@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from millrace.functions.text import text
 
@@ -32,25 +33,50 @@ def mapped_rows(sheet: DataFrame, mapping: dict[str, int], fields: list[str], de
     return rows.select(row.alias("row"), *[c.alias(f) for f, c in final.items()], issues.alias("issues"))
 
 
+def _json(value: Column) -> Column:
+    """The JSON text of a value of any type."""
+    wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(wrapped, 6, F.length(wrapped) - 6)
+
+
+def _value(json: Column, kind: DataType) -> Column:
+    return F.from_json(F.concat(F.lit('{"v":'), json, F.lit("}")), StructType([StructField("v", kind)]))["v"]
+
+
 def patches(baseline: DataFrame, edited: DataFrame, key: str = "row") -> DataFrame:
-    """(key, field, value): what an edit has changed, a row for each field whose JSON differs."""
+    """(key, field, value): what an edit has changed, a row for each field whose JSON differs; the value is JSON, so that
+    lists and null come back as they are."""
     fields = [c for c in edited.columns if c != key]
-    as_json = lambda c: F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
-    sides = [df.select(key, *[as_json(c).alias(f"{side}_{c}") for c in fields]) for side, df in (("old", baseline), ("new", edited))]
+    sides = [df.select(key, *[_json(F.col(c)).alias(f"{side}_{c}") for c in fields]) for side, df in (("old", baseline), ("new", edited))]
     both = sides[0].join(sides[1], key)
     changes = [F.when(~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")), F.struct(F.lit(c).alias("field"), F.col(f"new_{c}").alias("value"))) for c in fields]
-    return both.select(key, F.explode(F.array_compact(F.array(*changes))).alias("c")).select(key, "c.field", F.get_json_object("c.value", "$.v").alias("value"))
+    return both.select(key, F.explode(F.array_compact(F.array(*changes))).alias("c")).select(key, "c.field", "c.value")
 
 
-def patched(rows: DataFrame, overrides: DataFrame, key: str = "row") -> DataFrame:
-    """rows with the fields that `overrides` (key, field, value) sets; the last value of a field wins only if it is
-    alone, so a field should be set once."""
+def patched(rows: DataFrame, overrides: DataFrame, key: str = "row", order: str | None = None) -> DataFrame:
+    """rows with the fields that `overrides` (key, field, value as JSON) sets. Of a field that is set more than once the
+    last value counts, by the column `order` (without one the greatest JSON text)."""
     fields = [c for c in rows.columns if c != key]
-    wide = overrides.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_set"))
-    value = lambda c: F.when(F.map_contains_key("_set", F.lit(c)), F.col("_set")[c].cast(rows.schema[c].dataType)).otherwise(F.col(c))
+    each = overrides.groupBy(key, "field").agg((F.max_by("value", order) if order else F.max("value")).alias("value"))
+    wide = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_set"))
+    value = lambda c: F.when(F.map_contains_key("_set", F.lit(c)), _value(F.col("_set")[c], rows.schema[c].dataType)).otherwise(F.col(c))
     return rows.join(wide, key, "left").select(key, *[value(c).alias(c) for c in fields])
 
 
+def assignment_patches(before: Column, after: Column, fields: list[str]) -> Column:
+    """What an edit has changed in a list of structs, (replacement, patches): entry by entry the JSON of the fields that
+    differ, or, if the lists differ in length, the whole list."""
+    changed = lambda b, a: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.when(~_json(b[f]).eqNullSafe(_json(a[f])), _json(a[f])) for f in fields])), lambda _, v: v.isNotNull())
+    same = F.size(before) == F.size(after)
+    return F.struct(F.when(~same, after).alias("replacement"), F.when(same, F.zip_with(before, after, changed)).alias("patches"))
+
+
+def with_assignments(current: Column, override: Column, schema: StructType) -> Column:
+    """A list of structs after assignment_patches; schema is that of its entries."""
+    entry = lambda x, i: F.struct(*[F.coalesce(_value(F.get(override["patches"], i)[f.name], f.dataType), F.when(F.get(override["patches"], i)[f.name].isNull(), x[f.name])).alias(f.name) for f in schema.fields])
+    return F.when(override.isNull(), current).otherwise(F.coalesce(override["replacement"], F.transform(current, entry)))
+
+
 def missing_fields(required: dict[str, Column]) -> Column:
     """The names of the required fields whose condition (of being missing) holds, in their order."""
     return F.array_compact(F.array(*[F.when(missing, F.lit(name)) for name, missing in required.items()]))

@@ -166,3 +166,26 @@ def test_labelled_leaves(spark):
     rows = spark.createDataFrame([("1", '{"name": "", "documents": [{"id": 7, "basis": true}, {"basis": "x"}], "updatedAt": "t"}')], "id string, p string")
     got = history.labelled(history.flatten_json(rows, "id", "p"), {"name": "Название", "documents": "Документы"}).collect()
     assert sorted((r.field, r.value) for r in got) == [("Документы / № 1 / basis", "Да"), ("Документы / № 2 / basis", "x"), ("Название", "—")]
+
+
+def test_patches_of_lists(spark):
+    """Lists and nulls come back; a field that is set twice has its last value."""
+    ddl = "row int, name string, skills array<string>, hours double"
+    base = spark.createDataFrame([(1, "a", ["x"], 1.5), (2, "b", [], None), (3, "c", None, 2.0)], ddl)
+    edited = spark.createDataFrame([(1, "a", ["x", "y z"], None), (2, 'b "q"', ["k"], 3.0), (3, "c", None, 2.0)], ddl)
+    found = imports.patches(base, edited)
+    assert sorted((r.row, r.field) for r in found.collect()) == [(1, "hours"), (1, "skills"), (2, "hours"), (2, "name"), (2, "skills")]
+    assert sorted(map(str, imports.patched(base, found).collect())) == sorted(map(str, edited.collect()))
+    twice = spark.createDataFrame([(1, "name", '"first"', 1), (1, "name", '"last"', 2), (9, "name", '"x"', 1)], "row int, field string, value string, at int")
+    assert [r.name for r in imports.patched(base, twice, order="at").orderBy("row").collect()] == ["last", "b", "c"]
+
+
+def test_assignment_patches(spark):
+    kind = "array<struct<id: string, position: string, rate: double>>"
+    rows = [(1, [("i", "p", 1.0), ("j", "q", 2.0)], [("n1", "p2", 1.0), ("n2", "q", None)]), (2, [("i", "p", 1.0)], [("i", "p", 1.0), ("k", "r", 3.0)]), (3, [("i", "p", 1.0)], [("z", "p", 1.0)])]
+    df = spark.createDataFrame(rows, f"row int, before {kind}, after {kind}")
+    told = df.withColumn("o", imports.assignment_patches(F.col("before"), F.col("after"), ["position", "rate"]))
+    by = {r.row: r for r in told.collect()}
+    assert by[1].o.patches == [{"position": '"p2"'}, {"rate": "null"}] and by[1].o.replacement is None and len(by[2].o.replacement) == 2 and by[3].o.patches == [{}]
+    got = told.select("row", imports.with_assignments(F.col("before"), F.col("o"), df.schema["before"].dataType.elementType).alias("x"))
+    assert {r.row: [tuple(x) for x in r.x] for r in got.collect()} == {1: [("i", "p2", 1.0), ("j", "q", None)], 2: [("i", "p", 1.0), ("k", "r", 3.0)], 3: [("i", "p", 1.0)]}
