@@ -189,6 +189,13 @@ def email_state(value: Column, stored: Column | None = None) -> Column:
     return F.when(fine, "ok").when(legacy, "warning").otherwise("error")
 
 
+def nested_counts(df: DataFrame, array: str, rows: str, rows_with: str) -> DataFrame:
+    """(rows, `array`, rows_with): how many rows there are, entries in all of their arrays, and rows with any."""
+    n = F.coalesce(F.size(array), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    return df.agg(F.count("*").alias(rows), F.coalesce(F.sum(n), F.lit(0)).alias(array), F.count_if(n > 0).alias(rows_with))
+
+
 def next_job_status(status: Column, cancel: bool) -> Column:
     """Status after recovery (running jobs are interrupted) or a cancellation; cancelling what has ended raises."""
     if not cancel:

@@ -6,7 +6,7 @@ import sys
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import catalogue, forms_catalogue, registry_catalogue, rules_catalogue  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
