@@ -7,7 +7,7 @@ part of whatever scan it stands in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dates
@@ -22,6 +22,7 @@ ACTS_DONE = ["Не требуются", "Подписаны полностью"]
 WORK_DONE = ["Выполнен", "Закрыт"]
 GAPS = ["Не подтверждено", "Частично подтверждено", "Требует уточнения", "Истечёт до подачи", "Истечёт до завершения работ"]
 CONFIRMED, TO_CLARIFY = "Подтверждено", "Требует уточнения"
+SUBMITTED_OR_PAUSED, MANAGERS = ["Подана", "Приостановлена"], ["Руководитель заявки", "Менеджер"]
 COMPLEXITY = {"Низкая": (1, 24, 0), "Средняя": (2, 48, 2), "Высокая": (3, 80, 4), "Экспертная": (4, 120, 7)}
 DOCUMENT_LABELS = {"education": "Диплом", "contract": "Документ-основание", "certificate": "Действующий сертификат"}
 EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
@@ -196,6 +197,25 @@ def nested_counts(df: DataFrame, array: str, rows: str, rows_with: str) -> DataF
     return df.agg(F.count("*").alias(rows), F.coalesce(F.sum(n), F.lit(0)).alias(array), F.count_if(n > 0).alias(rows_with))
 
 
+def calendar_stats(schedules: DataFrame, loads: DataFrame, today: Column, least: int = 5) -> DataFrame:
+    """(active, urgent, without_manager, overloaded): schedules (status, internal_deadline, submission_deadline, roles) that
+    are neither submitted nor paused, those of them due in `least` days or overdue, and without a manager; people of
+    loads (load_percent, conflicts) with more than they can do, or with conflicts."""
+    active = ~text(F.col("status")).isin(SUBMITTED_OR_PAUSED)
+    left = F.datediff(F.coalesce("internal_deadline", "submission_deadline"), today)
+    managed = F.exists(F.coalesce(F.col("roles"), F.array().cast("array<string>")), lambda r: r.isin(MANAGERS))
+    own = schedules.agg(F.count_if(active).alias("active"), F.count_if(active & (left <= least)).alias("urgent"), F.count_if(active & ~managed).alias("without_manager"))
+    over = loads.agg(F.count_if((F.col("load_percent") > 100) | (F.col("conflicts") > 0)).alias("overloaded"))
+    # a row each
+    return own.join(F.broadcast(over), F.lit(True))
+
+
+def actual_result(final_price: Column, costs: Column) -> Column:
+    """(profit, margin) of a procedure that has ended."""
+    profit = final_price - costs
+    return F.struct(profit.alias("profit"), F.when(F.coalesce(final_price, F.lit(0.0)) != 0, profit / F.nullif(final_price, F.lit(0.0)) * 100).otherwise(0.0).alias("margin"))
+
+
 def next_job_status(status: Column, cancel: bool) -> Column:
     """Status after recovery (running jobs are interrupted) or a cancellation; cancelling what has ended raises."""
     if not cancel:

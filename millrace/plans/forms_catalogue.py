@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dates, money, pages, text
 from millrace.operators import history, records, rules, sorting
 from millrace.plans.catalogue import query, table
+from millrace.sources import calculations
 from millrace.streaming import job_states
 
 # ---- dates
@@ -191,3 +192,33 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + F.datediff("ts", F.lit("2024-01-01"))).alias("job"), F.col("ts").cast("timestamp").alias("at"), F.expr(JOB_EVENT).alias("event"))
     found = job_states.latest(job_states.folded(events, timedelta(days=400)))
     return found.select("job", F.coalesce("status", F.lit("")).alias("status"), "n_refused")
+
+
+@query("""WITH o AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'Подана' WHEN 1 THEN 'Приостановлена' ELSE 'В работе' END AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE END AS i, (o_orderdate + INTERVAL 3 DAY)::DATE AS d, o_orderkey % 4 AS r FROM orders),
+s AS (SELECT count(*) FILTER (status = 'В работе') AS active, count(*) FILTER (status = 'В работе' AND coalesce(i, d) - DATE '1998-01-01' <= 5) AS urgent, count(*) FILTER (status = 'В работе' AND r NOT IN (1, 2)) AS without_manager FROM o)
+SELECT *, (SELECT count(*) FROM customer WHERE c_acctbal / 50 > 100 OR c_custkey % 6 = 0) AS overloaded FROM s""")
+def calendar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    roles = F.when(key % 4 == 1, F.array(F.lit("Юрист"), F.lit("Менеджер"))).when(key % 4 == 2, F.array(F.lit("Руководитель заявки"))).when(key % 4 == 3, F.array(F.lit("Юрист")))
+    schedules = table(spark, sf_dir, "orders").select(
+        F.when(key % 5 == 0, "Подана").when(key % 5 == 1, "Приостановлена").otherwise("В работе").alias("status"), F.when(key % 3 > 0, F.to_date("o_orderdate")).alias("internal_deadline"), F.date_add(F.to_date("o_orderdate"), 3).alias("submission_deadline"), roles.alias("roles")
+    )
+    loads = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 50).alias("load_percent"), F.when(F.col("c_custkey") % 6 == 0, 2).otherwise(0).alias("conflicts"))
+    return rules.calendar_stats(schedules, loads, F.lit("1998-01-01").cast("date"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice - 200000, 4) AS profit, round((o_totalprice - 200000) / o_totalprice * 100, 4) AS margin FROM orders WHERE o_totalprice > 0")
+def actual_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.actual_result(F.col("o_totalprice"), F.lit(200_000.0))
+    return table(spark, sf_dir, "orders").where("o_totalprice > 0").select("o_orderkey", F.round(found["profit"], 4).alias("profit"), F.round(found["margin"], 4).alias("margin"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n_errors, CASE WHEN o_orderkey % 7 = 0 THEN 1000000.0 ELSE round(o_totalprice, 4) END AS cost,
+CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS n_expenses, o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 AS financed, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 THEN 18.0 ELSE 0.0 END AS rate FROM orders""".replace("CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END", "CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END"))
+def imported_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    listed = F.when(key % 5 == 0, '"none"').otherwise('[{"name": "x", "type": "percent", "value": 5}]')
+    written = F.format_string('{"cost": %.2f, "expenses": %s, "paymentRiskEnabled": %s, "paymentRiskPercent": 1.5}', F.col("o_totalprice"), listed, F.when(key % 3 == 0, "true").otherwise("false"))
+    files = table(spark, sf_dir, "orders").select(key, F.when(key % 7 == 0, "[1, 2]").otherwise(written).alias("content"))
+    found = calculations.calculations(files)
+    return found.select("o_orderkey", F.size("errors").alias("n_errors"), F.round("cost.amount", 4).alias("cost"), F.size("expenses").alias("n_expenses"), F.col("financing.enabled").alias("financed"), F.col("financing.rate").alias("rate"))
