@@ -23,6 +23,11 @@ WORK_DONE = ["Выполнен", "Закрыт"]
 GAPS = ["Не подтверждено", "Частично подтверждено", "Требует уточнения", "Истечёт до подачи", "Истечёт до завершения работ"]
 CONFIRMED, TO_CLARIFY = "Подтверждено", "Требует уточнения"
 SUBMITTED_OR_PAUSED, MANAGERS = ["Подана", "Приостановлена"], ["Руководитель заявки", "Менеджер"]
+PROVIDER = {
+    "redirects": "Автоматические перенаправления запрещены", "timeout": "Таймаут должен быть от 5 до 600 секунд", "jobs": "Допускается от 1 до 4 параллельных заданий", "no-address": "Для выбранного режима требуется адрес сервера",
+    "credentials": "Адрес не должен содержать учётные данные или fragment", "disabled": "У выключенного провайдера не должно быть адреса", "socket": "Для сервера на этом компьютере используйте Unix socket или Windows Named Pipe",
+    "https": "Для сервера в локальной сети разрешён только HTTPS", "secret": "Секрет должен храниться в системном хранилище учётных данных", "certificate": "Нужно закрепить сертификат локального сервера",
+}
 COMPLEXITY = {"Низкая": (1, 24, 0), "Средняя": (2, 48, 2), "Высокая": (3, 80, 4), "Экспертная": (4, 120, 7)}
 DOCUMENT_LABELS = {"education": "Диплом", "contract": "Документ-основание", "certificate": "Действующий сертификат"}
 EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
@@ -216,6 +221,24 @@ def actual_result(final_price: Column, costs: Column) -> Column:
     return F.struct(profit.alias("profit"), F.when(F.coalesce(final_price, F.lit(0.0)) != 0, profit / F.nullif(final_price, F.lit(0.0)) * 100).otherwise(0.0).alias("margin"))
 
 
+def _first_that_holds(*rules: tuple[Column, str | None]) -> Column:
+    found = F.lit(None).cast("string")
+    for holds, says in reversed(rules):
+        found = F.when(F.coalesce(holds, F.lit(False)), F.lit(says)).otherwise(found)
+    return found
+
+
+def provider_error(mode: Column, endpoint: Column, redirects: Column, timeout: Column, jobs: Column, secret: Column, fingerprint: Column) -> Column:
+    """Why a provider may not be used so (null: it may). mode is disabled, same-computer or local-network."""
+    here, near = mode == "same-computer", mode == "local-network"
+    return _first_that_holds(
+        (redirects, PROVIDER["redirects"]), (~F.coalesce(timeout.between(5, 600), F.lit(False)), PROVIDER["timeout"]), (~F.coalesce(jobs.between(1, 4), F.lit(False)), PROVIDER["jobs"]),
+        (endpoint.isNull() & (mode == "disabled"), None), (endpoint.isNull(), PROVIDER["no-address"]), (endpoint.contains("@") | endpoint.contains("#"), PROVIDER["credentials"]),
+        (mode == "disabled", PROVIDER["disabled"]), (here & ~endpoint.rlike("^(unix|npipe)://"), PROVIDER["socket"]), (near & ~endpoint.startswith("https://"), PROVIDER["https"]),
+        (near & (text(secret) == ""), PROVIDER["secret"]), (near & (text(fingerprint) == ""), PROVIDER["certificate"]),
+    )
+
+
 def next_job_status(status: Column, cancel: bool) -> Column:
     """Status after recovery (running jobs are interrupted) or a cancellation; cancelling what has ended raises."""
     if not cancel:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, money, pages, text
-from millrace.operators import history, records, rules, sorting
+from millrace.operators import history, records, reports, rules, sorting
 from millrace.plans.catalogue import query, table
 from millrace.sources import calculations
 from millrace.streaming import job_states
@@ -222,3 +222,26 @@ def imported_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select(key, F.when(key % 7 == 0, "[1, 2]").otherwise(written).alias("content"))
     found = calculations.calculations(files)
     return found.select("o_orderkey", F.size("errors").alias("n_errors"), F.round("cost.amount", 4).alias("cost"), F.size("expenses").alias("n_expenses"), F.col("financing.enabled").alias("financed"), F.col("financing.rate").alias("rate"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, string_agg('<tr><td>p&amp;' || l_partkey || '</td><td>' || l_shipmode || '</td><td>' || CAST(l_quantity AS INTEGER) || '</td><td>' || l_returnflag || '</td></tr>', '' ORDER BY l_linenumber, l_partkey, l_quantity) AS b, sum(l_quantity) AS t FROM (SELECT *, 'mode' AS l_shipmode FROM lineitem) GROUP BY 1)
+SELECT l_orderkey, '<h2>Распределение работ</h2><table><tr><th>Участник</th><th>Роль</th><th>Доля, %</th><th>Зона ответственности</th></tr>' || b || '<tr><td colspan="2"><b>Итого</b></td><td><b>' || CAST(t AS INTEGER) || '%</b></td><td>' || CASE WHEN t > 100 THEN '<span class="warn">Доля превышает 100%</span>' ELSE '' END || '</td></tr></table>' AS body FROM r""")
+def work_allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("p&"), F.col("l_partkey").cast("string")).alias("name"), F.lit("mode").alias("role"), F.col("l_quantity").alias("work_share"), F.col("l_returnflag").alias("responsibility"))
+    gathered = reports.listed(line, "l_orderkey", ["l_linenumber", "l_partkey", "work_share"], ["name", "role", "work_share", "responsibility"], "partners")
+    return gathered.select("l_orderkey", reports.work_allocation(F.col("partners")).alias("body"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'disabled' WHEN 1 THEN 'same-computer' ELSE 'local-network' END AS mode, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://h' WHEN 2 THEN 'unix://s' WHEN 3 THEN 'https://u@h' ELSE 'http://h' END AS e,
+o_orderkey % 31 = 0 AS redirects, o_orderkey % 700 AS timeout, o_orderkey % 6 AS jobs, o_orderkey % 2 AS secret, o_orderkey % 7 AS print FROM orders)
+SELECT o_orderkey, CASE WHEN redirects THEN 'Автоматические перенаправления запрещены' WHEN timeout NOT BETWEEN 5 AND 600 THEN 'Таймаут должен быть от 5 до 600 секунд' WHEN jobs NOT BETWEEN 1 AND 4 THEN 'Допускается от 1 до 4 параллельных заданий'
+WHEN e IS NULL AND mode = 'disabled' THEN NULL WHEN e IS NULL THEN 'Для выбранного режима требуется адрес сервера' WHEN e LIKE '%@%' THEN 'Адрес не должен содержать учётные данные или fragment' WHEN mode = 'disabled' THEN 'У выключенного провайдера не должно быть адреса'
+WHEN mode = 'same-computer' AND e NOT LIKE 'unix%' THEN 'Для сервера на этом компьютере используйте Unix socket или Windows Named Pipe' WHEN mode = 'local-network' AND e NOT LIKE 'https://%' THEN 'Для сервера в локальной сети разрешён только HTTPS'
+WHEN mode = 'local-network' AND secret = 0 THEN 'Секрет должен храниться в системном хранилище учётных данных' WHEN mode = 'local-network' AND print = 0 THEN 'Нужно закрепить сертификат локального сервера' END AS error FROM o""")
+def provider_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (key % n + 1).cast("int"))
+    error = rules.provider_error(
+        pick(3, "disabled", "same-computer", "local-network"), pick(5, None, "https://h", "unix://s", "https://u@h", "http://h"), key % 31 == 0, key % 700, key % 6, F.when(key % 2 == 1, "s"), F.when(key % 7 > 0, "f")
+    )
+    return table(spark, sf_dir, "orders").select(key, error.alias("error"))

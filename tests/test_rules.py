@@ -189,3 +189,16 @@ def test_assignment_patches(spark):
     assert by[1].o.patches == [{"position": '"p2"'}, {"rate": "null"}] and by[1].o.replacement is None and len(by[2].o.replacement) == 2 and by[3].o.patches == [{}]
     got = told.select("row", imports.with_assignments(F.col("before"), F.col("o"), df.schema["before"].dataType.elementType).alias("x"))
     assert {r.row: [tuple(x) for x in r.x] for r in got.collect()} == {1: [("i", "p2", 1.0), ("j", "q", None)], 2: [("i", "p", 1.0), ("k", "r", 3.0)], 3: [("i", "p", 1.0)]}
+
+
+def test_reports(spark):
+    from millrace.operators import reports
+
+    kinds = "name string, partners array<struct<name: string, role: string, work_share: double, responsibility: string>>, requirements array<struct<text: string, evidence_kind: string, evidence: string, status: string, question: string>>, checklist array<struct<text: string, done: boolean, responsible: string>>"
+    rows = [("A & B", [("x <1>", "r", 60.5, None), ("y", "r", 50.0, "z")], [("t1", "k", "e", "Подтверждено", ""), ("t2", "k", None, "Требует уточнения", ""), ("t3", "k", "e", "Нет", "why?")], [("c", True, "p"), ("d", None, None)]), ("C", [], [], [])]
+    df = spark.createDataFrame(rows, kinds)
+    made = df.select(reports.work_allocation(F.col("partners")).alias("w"), reports.summary(F.col("name"), F.lit("2026-01-01"), F.lit(None).cast("string"), F.col("requirements"), F.col("checklist")).alias("s"), reports.document(F.lit("T"), F.col("name"), F.lit("c"), F.lit("s"), F.lit(1234567.5), F.lit("<b/>")).alias("d")).collect()
+    assert "<td>x &lt;1&gt;</td><td>r</td><td>60.5</td><td></td>" in made[0].w and "<b>110.5%</b>" in made[0].w and "warn" in made[0].w
+    assert 'colspan="4"' in made[1].w and "<b>0%</b>" in made[1].w and "warn" not in made[1].w
+    assert made[0].s.endswith('<ul><li class="warn">t2: Требует уточнения</li><li class="warn">t3: Нет</li><li>t2</li><li>why?</li></ul>') and "<li>☑ c — p</li><li>☐ d — </li>" in made[0].s
+    assert "A &amp; B" in made[0].d and "1\u00a0234\u00a0568\u00a0₽" in made[0].d and made[0].d.endswith("<b/></html>")
