@@ -198,10 +198,20 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([text, text[:-1][same]]), np.concatenate([mix(h) % size, pairs[same] % size]).astype(np.int64)
 
 
+def bigram_sets(texts: pa.Array) -> list[set[int]]:
+    """The word bigrams of each text, of a single word itself."""
+    n = np.diff(split_words(texts)[1])
+    place, feature = features(texts)
+    words = int(n.sum())
+    found = []
+    for at, of in ((place[:words], feature[:words]), (place[words:], feature[words:])):
+        cuts = np.searchsorted(at, np.arange(len(n) + 1))
+        found.append([of[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return [set(pairs if many > 1 else own) for many, own, pairs in zip(n, *found, strict=True)]
+
+
 def _bigrams(text: str) -> set[int]:
-    place, feature = features(pa.array([text]))
-    words = len(split_words(pa.array([text]))[0])
-    return set(feature[words:].tolist()) if words > 1 else set(feature.tolist())
+    return bigram_sets(pa.array([text], pa.large_string()))[0]
 
 
 def _telling(text: str) -> set[int]:
@@ -329,10 +339,12 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     joined, of = runs(parts, text)
     lines, n_runs = len(parts), len(joined)
     place, feature = features(pa.concat_arrays([parts.cast(pa.large_string()), joined]))
+    # notices of two or three words stand in a line; of those, the hashes of some other words would be taken for one everywhere
+    wrapped = [g for own in model["grams"] for g in own if len(g) >= 3]
     wanted = np.zeros(FEATURES, bool)
-    wanted[[x for own in model["grams"] for g in own for x in g]] = True
+    wanted[[x for g in wrapped for x in g]] = True
     in_run = (place >= lines) & wanted[feature]
-    more, owner = stretches(joined, *_once(place[in_run] - lines, feature[in_run]), [g for own in model["grams"] for g in own], similar)
+    more, owner = stretches(joined, *_once(place[in_run] - lines, feature[in_run]), wrapped, similar)
     extra = features(pa.array(more, pa.large_string()))
     place, feature = np.concatenate([place, extra[0] + lines + n_runs]), np.concatenate([feature, extra[1]])
     parts = pa.concat_arrays([x.cast(pa.large_string()) for x in (parts, joined, pa.array(more, pa.large_string()))])
@@ -349,14 +361,19 @@ def scan_texts(texts: pa.Array, model: dict, similar: float) -> list[tuple]:
     like = np.flatnonzero(p[:, :-1].sum(axis=1) >= 0.5) if len(some) else np.zeros(0, int)
     out = [(None, 0.0, False, int(n), 0) for n in full]
     wholes: dict[int, str] = {}
+    # only these may be confirmed
+    sure_ones = like[p[like, :-1].max(axis=1) >= model["threshold"]] if len(like) else like
+    sets = dict(zip(sure_ones.tolist(), bigram_sets(parts.take(pa.array(some[sure_ones], pa.int64()))), strict=True)) if len(sure_ones) else {}
     for i in like:
         at = text[some[i]]
         family = int(p[i, :-1].argmax())
         chance = float(p[i, family])
-        own = _bigrams(parts[int(some[i])].as_py())
-        # the share of each family's nearest template; another family's may not be nearer than that of the class
-        shares = [max((len(g & own) / len(g) for g, t in zip(*x, strict=True) if t <= own), default=0.0) for x in zip(model["grams"], model["telling"], strict=True)]
-        confirmed = chance >= model["threshold"] and shares[family] >= max(similar, *shares)
+        confirmed = int(i) in sets
+        if confirmed:
+            own = sets[int(i)]
+            # the share of each family's nearest template; another family's may not be nearer than that of the class
+            shares = [max((len(g & own) / len(g) for g, t in zip(*x, strict=True) if t <= own), default=0.0) for x in zip(model["grams"], model["telling"], strict=True)]
+            confirmed = shares[family] >= max(similar, *shares)
         if confirmed:
             if at not in wholes:
                 wholes[at] = plain(texts[int(at)].as_py())
