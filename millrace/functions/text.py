@@ -117,8 +117,8 @@ def escape_html(value: Column) -> Column:
 
 
 def natural_key(value: Column) -> Column:
-    """Sort key: runs of digits by value, each after its length, null as blank. Case and accents are left to a collation."""
-    parts = F.regexp_extract_all(text(value.cast("string")), F.lit(r"(\d+|\D+)"), F.lit(1))
+    """Sort key in lower case: runs of digits by value, each after its length, null as blank. Accents are left to a collation."""
+    parts = F.regexp_extract_all(F.lower(F.translate(text(value.cast("string")), "ёЁ", "еЕ")), F.lit(r"(\d+|\D+)"), F.lit(1))
     digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(p)), "")
 
