@@ -454,8 +454,14 @@ def settle(live: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratc
     ball = met.select("lead", "node", "n", "tiles", "component").distinct()
     found = merged(forests(balls(ball), sets, num, den), "balls")
     # of a ball in one cell all pairs have been compared, and so have those of all groups that it leads
-    rest = met.where("node <> lead").drop("lead")
-    rest = unsettled(renamed(rest, merges[-1]) if found else rest).where("tiles > 1").drop("tiles")
+    rest = met.where("tiles > 1")
+    if found:
+        # who is in another component than its leader, told for each pair and not for each group that it shares
+        names = [merges[-1].select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("node", "lead")]
+        apart = ball.where("tiles > 1").join(names[0], "node", "left").join(names[1], "lead", "left").where("coalesce(c_node, node) <> coalesce(c_lead, lead)")
+        split = rest.join(apart.select("lead", "node"), ["lead", "node"], "left_semi").select("sig").distinct()
+        rest = renamed(rest.where("node <> lead").join(split, "sig", "left_semi"), merges[-1])
+    rest = unsettled(rest.where("node <> lead").drop("lead", "tiles"))
     live = scratch.save(enough(rest), "groups-1")
     scratch.drop("met")
     if not live.isEmpty():
