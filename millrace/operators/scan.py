@@ -43,3 +43,15 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dic
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_piece") == F.col("_of_piece"))
     found = {n: F.coalesce(F.col(f"_before_{n}"), F.lit(0)) + F.col(f"_own_{n}") for n in sums} | {n: F.coalesce(f"_own_{n}", f"_before_{n}") for n in lasts}
     return own.join(prefix, same).select(*[c for c in df.columns if c not in found], *[c.alias(n) for n, c in found.items()])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """df with `name`, the place of each row in the order, from 1. A row's place in its piece is known when the piece is
+    written, so no row is shuffled again."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = saved(dealt.withColumn("_at", F.monotonically_increasing_id()), "scan").withColumn("_piece", F.shiftright("_at", 33))
+    earlier = F.coalesce(F.sum("_rows").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = placed.groupBy("_piece").agg(F.count("*").alias("_rows")).select(F.col("_piece").alias("_of_piece"), earlier.alias("_before"))
+    place = F.col("_before") + F.col("_at") % PLACE + 1
+    return placed.join(F.broadcast(before), F.col("_piece") == F.col("_of_piece")).select(*[c for c in df.columns if c != name], place.alias(name))
