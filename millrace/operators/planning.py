@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates
 from millrace.functions.money import js_round
+from millrace.shared import saved
+
+#: Rows of a key whose pairs are made outright.
+FEW = 100
 
 
 def staff_load(assignments: DataFrame, start: str, end: str, hours_a_day: float = 8.0, limit: float = 8.01) -> DataFrame:
@@ -27,22 +31,35 @@ def staff_load(assignments: DataFrame, start: str, end: str, hours_a_day: float
     )
 
 
-def interval_conflicts(df: DataFrame, key: str, id_col: str, start: str, end: str, load: str, most: float, bucket_days: int = 30) -> DataFrame:
+def interval_conflicts(df: DataFrame, key: str, id_col: str, start: str, end: str, load: str, most: float, bucket_days: int = 30, few: int = FEW) -> DataFrame:
     """Pairs (first_id < second_id) of one key that overlap and exceed the load together. An interval with a missing bound
     overlaps all of its key; one that ends before it starts overlaps only those.
 
-    Of a pair that exceeds the load one is heavy, with more than half of it, so light rows never meet each other. Dated
+    Of a pair that exceeds the load one is heavy, with more than half of it, so light rows never meet each other. In keys
+    of at most `few` rows each heavy row meets all others: that costs less than dealing rows out. In larger ones dated
     intervals meet in buckets of days, wider by powers of two for longer ones, each with those as long in two or three
     buckets and with longer ones in theirs. Open intervals and their partners meet by load: what a heavy row may go with is
     all above a load, and that is a few nodes of a binary tree of loads, so nearly every pair that is made is a result.
     """
     rows = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(load).cast("double").alias("load"))
     rows = rows.where("k IS NOT NULL AND load IS NOT NULL").withColumns({"heavy": F.col("load") * 2 > most, "open": F.col("s").isNull() | F.col("e").isNull()})
-    pairs = _dated_pairs(rows.where("NOT open AND s <= e"), most, bucket_days).unionByName(_open_pairs(rows, most))
+    large = saved(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > few).select("k"), "large-keys")
+    if large.isEmpty():
+        pairs = _few_pairs(rows, most)
+    else:
+        many = rows.join(large, "k", "left_semi")
+        pairs = _few_pairs(rows.join(large, "k", "left_anti"), most).unionByName(_dated_pairs(many.where("NOT open AND s <= e"), most, bucket_days)).unionByName(_open_pairs(many, most))
     ids = [f("id_a", "id_b") for f in (F.least, F.greatest)]
     return pairs.select(F.col("k").alias(key), ids[0].alias("first_id"), ids[1].alias("second_id"), F.round(F.col("load_a") + F.col("load_b"), 6).alias("load"))
 
 
+def _few_pairs(rows: DataFrame, most: float) -> DataFrame:
+    a, b = (side.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "e", "load", "heavy", "open")]) for x, side in (("a", rows.where("heavy")), ("b", rows)))
+    meet = "open_a OR open_b OR (s_a <= e_a AND s_b <= e_b AND s_a <= e_b AND s_b <= e_a)"
+    found = a.join(b, "k").where(f"id_a <> id_b AND (NOT heavy_b OR id_a < id_b) AND ({meet})").where(F.col("load_a") + F.col("load_b") > most)
+    return found.select("k", "id_a", "id_b", "load_a", "load_b")
+
+
 def _dated_pairs(rows: DataFrame, most: float, bucket_days: int) -> DataFrame:
     number = lambda day, level: F.floor(F.unix_date(day) / (bucket_days * F.pow(F.lit(2), level)))
     level = F.greatest(F.lit(0), F.ceil(F.log2((F.datediff("e", "s") + 1) / F.lit(float(bucket_days))))).cast("int")
