@@ -17,6 +17,11 @@ def js_round(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """To the nearest, for values that are kept off the halves: round() of a double writes it out as text for each row."""
+    return F.rint(value * 10.0**digits) / 10.0**digits + 0.0
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.nullif(b, F.lit(0)))
 
@@ -32,16 +37,13 @@ def gross(amount: Column, rate: Column) -> Column:
 def cost_breakdown(amount: Column, rate: Column, with_vat: Column, payer: Column, deductible: Column, included: Column | None = None) -> Column:
     """Struct of net, gross, VAT paid, VAT that can be deducted, and the cost that remains."""
     a = F.greatest(F.lit(0.0), F.when(F.isnan(amount) | (F.abs(amount) == float("inf")), 0.0).otherwise(F.coalesce(amount, F.lit(0.0))))
-    return let(
-        F.struct(a.alias("a"), F.when(payer, rate).otherwise(0).alias("r"), with_vat.alias("with_vat")),
-        lambda x: let(
-            F.struct(net(x["a"], x["r"], x["with_vat"]).alias("net"), F.when(x["with_vat"], x["a"]).otherwise(gross(x["a"], x["r"])).alias("gross")),
-            lambda y: let(F.greatest(F.lit(0.0), y["gross"] - y["net"]), lambda vat: _costs(y, vat, deductible & payer, included)),
-        ),
-    )
+    # written out, as a lambda is interpreted for every row; what is shared here is small
+    r = F.when(payer, rate).otherwise(0)
+    amounts = {"net": net(a, r, with_vat), "gross": F.when(with_vat, a).otherwise(gross(a, r))}
+    return _costs(amounts, F.greatest(F.lit(0.0), amounts["gross"] - amounts["net"]), deductible & payer, included)
 
 
-def _costs(amounts: Column, vat: Column, deductible: Column, included: Column | None) -> Column:
+def _costs(amounts: dict[str, Column], vat: Column, deductible: Column, included: Column | None) -> Column:
     back = F.when(deductible, vat).otherwise(0.0)
     cost = amounts["gross"] - back if included is None else F.when(included, amounts["gross"] - back).otherwise(0.0)
     return F.struct(amounts["net"].alias("net"), amounts["gross"].alias("gross"), vat.alias("input_vat"), back.alias("deductible_vat"), cost.alias("effective_cost"))

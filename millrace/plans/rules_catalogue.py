@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import pages, text
+from millrace.functions import money, pages, text
 from millrace.operators import calculation, imports, records, rules
 from millrace.plans.catalogue import query, table
 
@@ -164,14 +164,14 @@ round(profit / net * 100 + 0.000013, 4) AS margin, round(profit / full_c * 100 +
 def calculation_at_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = calculation.result_at_price(_calculations(spark, sf_dir), F.col("proposed_price"))
     numbers = ("direct_costs", "additional_costs", "financing_cost", "full_costs", "profit", "margin", "markup", "vat_payable")
-    return found.select("l_orderkey", "l_linenumber", *[F.round(F.col(f"result.{c}") + OFF, 4).alias(c) for c in numbers], "result.valid", "result.status")
+    return found.select("l_orderkey", "l_linenumber", *[money.rounded(F.col(f"result.{c}") + OFF, 4).alias(c) for c in numbers], "result.valid", "result.status")
 
 
 @query(CALCULATION.format(factor="(0.8 + step * 0.05)", steps=", range(9) AS t(step)") + """SELECT l_orderkey, round(least(min(profit), 0) + 0.000013, 4) AS low, round(greatest(max(profit), 1) + 0.000013, 4) AS high, round(sum(full_c), 0) AS costs FROM f GROUP BY 1""")
 def price_scenario_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = calculation.price_scenarios(_calculations(spark, sf_dir), F.col("proposed_price")).select("l_orderkey", F.col("result.profit").alias("profit"), F.col("result.full_costs").alias("costs"))
     ranges = calculation.chart_range(found, ["l_orderkey"], "profit", F.round(F.sum("costs"), 0).alias("costs"))
-    return ranges.select("l_orderkey", F.round(F.col("low") + OFF, 4).alias("low"), F.round(F.col("high") + OFF, 4).alias("high"), "costs")
+    return ranges.select("l_orderkey", money.rounded(F.col("low") + OFF, 4).alias("low"), money.rounded(F.col("high") + OFF, 4).alias("high"), "costs")
 
 
 # ---- records and imports
