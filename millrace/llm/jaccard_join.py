@@ -13,7 +13,8 @@ Copies (equal sets) collapse first. A signature's group is not expanded into pai
 member of the most groups, and the sets that share a group with a leader form its ball, which holds the group.
 Balls are cut into cells of bounded size. In a cell, sketches of a few bits an element tell which sets may link at
 all, and these are compared as products of incidence matrices; of a cell only the edges of a spanning forest come out. Balls of several cells are compared with their leader and inside
-each cell first, and where the members of a group are still in several components then, in all pairs of cells.
+each cell first; of those whose sets are still in several components then, the sets that share enough groups with
+such leaders are compared in all pairs of cells.
 Exact set arithmetic decides. All links lie inside the components that this finds and are counted there, in cells
 as well: rows grow with the size of a component over TILE, and only arithmetic with its square.
 
@@ -449,24 +450,20 @@ def settle(live: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratc
         scratch.drop(label)
         return found
 
-    met = scratch.save(led(live), "met")
+    # what follows goes by pairs of a leader and a set, not by each group that they share; `many` counts these
+    ball = led(live).groupBy("lead", "node", "n", "tiles", "component").agg(F.sum("many").alias("many"), F.max("need").alias("need"))
+    ball = scratch.save(ball, "ball")
     scratch.drop("groups-0")
-    ball = met.select("lead", "node", "n", "tiles", "component").distinct()
     found = merged(forests(balls(ball), sets, num, den), "balls")
-    # of a ball in one cell all pairs have been compared, and so have those of all groups that it leads
-    rest = met.where("tiles > 1")
-    if found:
-        # who is in another component than its leader, told for each pair and not for each group that it shares
-        names = [merges[-1].select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("node", "lead")]
-        apart = ball.where("tiles > 1").join(names[0], "node", "left").join(names[1], "lead", "left").where("coalesce(c_node, node) <> coalesce(c_lead, lead)")
-        split = rest.join(apart.select("lead", "node"), ["lead", "node"], "left_semi").select("sig").distinct()
-        rest = renamed(rest.where("node <> lead").join(split, "sig", "left_semi"), merges[-1])
-    rest = unsettled(rest.where("node <> lead").drop("lead", "tiles"))
-    live = scratch.save(enough(rest), "groups-1")
-    scratch.drop("met")
-    if not live.isEmpty():
-        ball = led(live).select("lead", "node", "n", "component").distinct()
-        merged(forests(tiled(ball, "lead"), sets, num, den), "rest")
+    # of a ball in one cell all pairs have been compared; of others, sets of one component are settled, and only those
+    # that share enough groups of the rest may have a link that has not been seen
+    rest = ball.where("tiles > 1 AND node <> lead").withColumnRenamed("lead", "sig").drop("tiles")
+    rest = scratch.save(renamed(rest, merges[-1]) if found else rest, "rest-0")
+    rest = scratch.save(enough(unsettled(rest)), "rest-1")
+    rest = scratch.save(enough(unsettled(rest)), "rest-2")
+    scratch.drop("ball", "rest-0", "rest-1")
+    if not rest.isEmpty():
+        merged(forests(tiled(rest, "sig"), sets, num, den), "rest")
     if not merges:
         return None
     nodes = reduce(DataFrame.unionByName, [m.select("node") for m in merges]).distinct().withColumn("component", F.col("node"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import jaccard_join
+from millrace.llm.common import Scratch, renamed, unsettled
 from millrace.llm.jaccard_join import _tell, bands, jaccard_components, may_link, need, plan, signatures, sketch
 
 
@@ -158,3 +159,24 @@ def test_every_link_is_counted(spark, monkeypatch, tile):
     assert max(want.values()) > 10 and want[2002] == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in jaccard_components(docs, 3, 90, 100).collect()} == want
+
+
+def test_rows_of_large_balls_do_not_follow_their_groups(spark, monkeypatch):
+    """Sets of one leader's ball that share many groups with it and have no link, and a few that link across tiles: what
+    is looked up again is a row for each of the sets, not for each group, and only where there may be a link."""
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    held = []
+    monkeypatch.setattr(jaccard_join, "renamed", lambda df, merged: held.append(df.count()) or renamed(df, merged))
+    monkeypatch.setattr(jaccard_join, "unsettled", lambda df: held.append(df.count()) or unsettled(df))
+    rng, sets = np.random.default_rng(7), {}
+    for i in range(60):
+        sets[i] = np.sort(rng.integers(1, 2**62, 40))
+    for i in range(1, 60, 2):
+        if i % 3 == 0:
+            sets[i] = np.sort(np.concatenate([sets[i - 1][:38], rng.integers(1, 2**62, 2)]))
+    groups = [(s, i, 20, 1) for s in range(30) for i in sets]
+    frame = spark.createDataFrame([(i, len(x), x.tolist(), bytearray(sketch(x.astype(np.uint64)))) for i, x in sets.items()], "node long, n long, elements array<long>, sketch binary")
+    live = spark.createDataFrame(groups, "sig long, node long, need long, many long")
+    found = jaccard_join.settle(live, frame, 80, 100, Scratch(spark, "test"))
+    assert sorted(map(tuple, found.collect())) == sorted((j, i - 1) for i in range(1, 60, 2) if i % 3 == 0 for j in (i - 1, i))
+    assert 0 < max(held) <= len(sets)
